@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .quality import op7_line_first_cleaning
 from .sharding import op6_histogram_sort_shards
 
 QUERIES = {
+    "op7_line_first_cleaning": op7_line_first_cleaning,
     "op6_histogram_sort_shards": op6_histogram_sort_shards,
 }
 
