@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .bpe import op9_bitmap_queue_bpe
 from .quality import op7_line_first_cleaning
 from .sharding import op6_histogram_sort_shards
+from .tokens import op10_token_counts
 
 QUERIES = {
     "op7_line_first_cleaning": op7_line_first_cleaning,
     "op6_histogram_sort_shards": op6_histogram_sort_shards,
+    "op9_bitmap_queue_bpe": op9_bitmap_queue_bpe,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}
