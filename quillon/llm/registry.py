@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from .bpe import op9_bitmap_queue_bpe
+from .idcodec import op5_mixing_id_files
 from .quality import op7_line_first_cleaning
 from .sharding import op6_histogram_sort_shards
 from .tokens import op10_token_counts
+from .toxicity import op3_nnpu_toxicity
 
 QUERIES = {
+    "op3_nnpu_toxicity": op3_nnpu_toxicity,
+    "op5_mixing_id_files": op5_mixing_id_files,
     "op7_line_first_cleaning": op7_line_first_cleaning,
     "op6_histogram_sort_shards": op6_histogram_sort_shards,
     "op9_bitmap_queue_bpe": op9_bitmap_queue_bpe,
