@@ -87,7 +87,7 @@ def train_nnpu(
     positive: list[str | None],
     unlabelled: list[str | None],
     prior: float,
-    rounds: int = 300,
+    rounds: int = 500,
     rate: float = 0.1,
     decay: float = 1e-4,
     max_features: int = 4096,
@@ -98,7 +98,9 @@ def train_nnpu(
 
     Features are kept when at least ``min_texts`` positives have them and they
     are ``min_z`` standard deviations more frequent there than in the
-    unlabelled texts.  Without positives the model scores every text near 0.
+    unlabelled texts.  Weights are never negative: a toxic passage counts the
+    same in a long text as in a short one.  Without positives the model scores
+    every text near 0.
     """
     known: dict[str, tuple[int, ...]] = {}
     p_rows = [text_features(t, known) for t in positive]
@@ -137,7 +139,7 @@ def train_nnpu(
         m1 = 0.9 * m1 + 0.1 * g
         m2 = 0.99 * m2 + 0.01 * g * g
         move = rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-9)
-        w -= move[:n]
+        w = np.maximum(w - move[:n], 0.0)
         b -= move[n]
     return ToxicityModel({f: float(w[i]) for f, i in column.items()}, float(b))
 
