@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op9_bitmap_queue_bpe
+from .html_text import op4_crf_extraction
 from .idcodec import op5_mixing_id_files
 from .quality import op7_line_first_cleaning
 from .sharding import op6_histogram_sort_shards
@@ -10,6 +11,7 @@ from .tokens import op10_token_counts
 from .toxicity import op3_nnpu_toxicity
 
 QUERIES = {
+    "op4_crf_extraction": op4_crf_extraction,
     "op3_nnpu_toxicity": op3_nnpu_toxicity,
     "op5_mixing_id_files": op5_mixing_id_files,
     "op7_line_first_cleaning": op7_line_first_cleaning,
