@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op9_bitmap_queue_bpe
+from .decontam import op8_qgram_decontamination
 from .html_text import op4_crf_extraction
 from .idcodec import op5_mixing_id_files
 from .quality import op7_line_first_cleaning
@@ -11,6 +12,7 @@ from .tokens import op10_token_counts
 from .toxicity import op3_nnpu_toxicity
 
 QUERIES = {
+    "op8_qgram_decontamination": op8_qgram_decontamination,
     "op4_crf_extraction": op4_crf_extraction,
     "op3_nnpu_toxicity": op3_nnpu_toxicity,
     "op5_mixing_id_files": op5_mixing_id_files,
