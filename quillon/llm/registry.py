@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op9_bitmap_queue_bpe
+from .class_lm import op2_brown_class_scores
 from .decontam import op8_qgram_decontamination
 from .html_text import op4_crf_extraction
 from .idcodec import op5_mixing_id_files
@@ -12,6 +13,7 @@ from .tokens import op10_token_counts
 from .toxicity import op3_nnpu_toxicity
 
 QUERIES = {
+    "op2_brown_class_scores": op2_brown_class_scores,
     "op8_qgram_decontamination": op8_qgram_decontamination,
     "op4_crf_extraction": op4_crf_extraction,
     "op3_nnpu_toxicity": op3_nnpu_toxicity,
