@@ -50,19 +50,17 @@ def symbol_count(text: Column) -> Column:
     return F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
 
 
-def _line_fails(line: Column) -> Column:
-    """True for a line (with a word) that is a menu, notice, noise or not a sentence."""
-    n = F.size(words_of(line))
-    letters = F.length(F.regexp_replace(line, r"\P{L}+", ""))
-    capitals = F.length(F.regexp_replace(line, r"\P{Lu}+", ""))
+def _line_fails(line: Column, n: Column, distinct: Column) -> Column:
+    """True for a line of ``n`` words that is a menu, notice, noise or not a sentence."""
     marks = F.length(line) - F.length(F.translate(line, SYMBOLS + "{}=~^\\»›•", ""))
     shouts = F.length(line) - F.length(F.translate(line, "!", ""))
     # a line that breaks off after whole sentences is still prose
     unended = ~line.rlike(r"""[.!?…。！？:;"'”’»)\]]([\x20\x09-\x0D]*$|[\x20\x09-\x0D].{20,}$)""")
     menu_or_symbols = marks > 0.3 * n
-    shouting = ((n >= 4) & (capitals > 0.6 * letters) & (letters > 0)) | (shouts > 0.6 * n + 2)
-    repeating = (n >= 10) & (F.size(F.array_distinct(words_of(F.lower(line)))) < 0.35 * n)
-    notice = line.rlike("(?i)" + "|".join(BOILERPLATE))
+    capitals = F.regexp_count(line, F.lit(r"\p{Lu}{2}"))
+    shouting = (shouts > 0.6 * n + 2) | ((n >= 4) & (capitals > 0.6 * n))
+    repeating = (n >= 10) & (distinct < 0.35 * n)
+    notice = (n <= 20) & line.rlike("(?i)" + "|".join(BOILERPLATE))
     return unended | menu_or_symbols | shouting | repeating | notice
 
 
@@ -71,10 +69,11 @@ def line_first_cleaning(
     min_words: int = 50,
     max_repeat_percent: int = 50,
     min_kept_percent: int = 50,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Judge and clean ``docs`` (doc_id, text, ...).
 
-    Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines,
+    Returns the columns ``keep`` (doc_id alone when None), n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, n_kept_words, kept and clean_text (the lines
     that stay, in order).  A document is kept when it passes the base checks
     and the lines that stay hold at least ``min_kept_percent`` of its words.
@@ -84,77 +83,90 @@ def line_first_cleaning(
     empty result; other columns of ``docs`` are not read.  Three-word windows
     are compared by 64-bit hash within one text.
     """
-    base = docs.select("doc_id", text_or_empty().alias("text"))
-    split = base.select(
-        "doc_id", "text", words_of(F.col("text")).alias("w"), F.split("text", "\n").alias("raw")
+    # one struct carries what is kept, whatever its columns are called
+    base = docs.select(
+        F.struct(*(keep or ["doc_id"])).alias("row"), text_or_empty().alias("text")
     )
-    lined = split.select(
-        "doc_id",
-        "text",
-        "w",
-        F.size("w").cast("long").alias("n_words"),
-        F.filter("raw", lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
+    lined = base.select(
+        "row",
+        F.length(F.translate("text", BLANKS, "")).cast("long").alias("word_chars"),
+        symbol_count(F.col("text")).cast("long").alias("n_symbols"),
+        F.transform(
+            F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
+            lambda x: F.struct(x.alias("line"), words_of(x).alias("words")),
+        ).alias("lines"),
     )
-    windows = F.when(
-        F.col("n_words") >= 4,
+    worded = lined.select(
+        "row",
+        "word_chars",
+        "n_symbols",
+        F.flatten("lines.words").alias("w"),
+        (F.size("lines") - F.size(F.array_distinct("lines.line"))).cast("long").alias(
+            "n_dup_lines"
+        ),
+        # an equal line comes with equal words, so this keeps first lines
         F.transform(
-            F.sequence(F.lit(0), F.size("w") - 3),
-            lambda i: F.struct(
-                F.xxhash64(
-                    F.get(F.col("w"), i), F.get(F.col("w"), i + 1), F.get(F.col("w"), i + 2)
-                ).alias("h"),
-                i.alias("p"),
+            F.when(F.size("lines") > F.size(F.array_distinct("lines.line")),
+                   F.array_distinct("lines")).otherwise(F.col("lines")),
+            lambda x: F.struct(
+                x["line"].alias("line"),
+                F.size(x["words"]).alias("n"),
+                F.size(F.array_distinct(x["words"])).alias("distinct"),
             ),
-        ),
+        ).alias("first_lines"),
     )
-    counted = lined.select(
-        "doc_id",
-        "n_words",
-        F.length(F.translate("text", BLANKS, "")).cast("long").alias("word_chars"),
-        symbol_count(F.col("text")).cast("long").alias("n_symbols"),
-        "lines",
-        F.array_distinct("lines").alias("first_lines"),
-        F.sort_array(windows).alias("s"),
+    hashed = worded.select(
+        "row",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        F.size("w").cast("long").alias("n_words"),
+        F.filter(
+            "first_lines", lambda x: ~_line_fails(x["line"], x["n"], x["distinct"])
+        ).alias("stay"),
+        F.slice(
+            F.transform(
+                "w",
+                lambda x, i: F.xxhash64(x, F.get(F.col("w"), i + 1), F.get(F.col("w"), i + 2)),
+            ),
+            F.lit(1),
+            F.greatest(F.size("w") - 2, F.lit(0)),
+        ).alias("h"),
+    )
+    # most texts repeat no window; only the others are sorted
+    windows = F.when(
+        F.size(F.array_distinct("h")) < F.size("h"),
+        F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("p")))),
     )
+    ranked = hashed.select("*", windows.alias("s")).drop("h")
     # a window is repeated when a neighbour in hash order has its hash
     hits = F.filter(
         F.col("s"),
         lambda x, i: F.get(F.col("s"), i - 1)["h"].eqNullSafe(x["h"])
         | F.get(F.col("s"), i + 1)["h"].eqNullSafe(x["h"]),
     )
-    repeated = counted.select(
-        "doc_id",
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        (F.size("lines") - F.size("first_lines")).cast("long").alias("n_dup_lines"),
-        "first_lines",
-        F.transform(hits, lambda x: x["p"]).alias("at"),
-    )
+    placed = ranked.select("*", F.transform(hits, lambda x: x["p"]).alias("at")).drop("s")
     covered = F.size(
         F.array_union(
             F.array_union(F.col("at"), F.transform("at", lambda p: p + 1)),
             F.transform("at", lambda p: p + 2),
         )
     )
-    judged = repeated.select(
-        "doc_id",
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
+    counted = placed.select(
+        "*",
         F.when(F.size("at") > 0, covered).otherwise(0).cast("long").alias("n_repeat_words"),
-        F.filter("first_lines", lambda x: ~_line_fails(x)).alias("stay"),
+        F.aggregate("stay", F.lit(0).cast("long"), lambda sum_, x: sum_ + x["n"]).alias(
+            "n_kept_words"
+        ),
+        F.array_join("stay.line", "\n").alias("clean_text"),
+    )
+    judged = counted.withColumn(
+        "base_failed",
+        (F.col("n_words") < min_words)
+        | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")),
     )
-    judged = judged.withColumns(
-        {
-            "base_failed": (F.col("n_words") < min_words)
-            | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")),
-            "clean_text": F.array_join("stay", "\n"),
-        }
-    ).withColumn("n_kept_words", F.size(words_of(F.col("clean_text"))).cast("long"))
     return judged.select(
-        "doc_id",
+        "row.*",
         "n_words",
         "word_chars",
         "n_symbols",
