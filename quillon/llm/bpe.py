@@ -1,8 +1,8 @@
 """Byte-level BPE encoding by a hierarchical-bitmap rank queue, and decoding.
 
 A pre-token is a linked list of parts.  Every possible merge is filed under
-its rank: buckets by rank hold the list positions, and a three-level bitmap
-over the ranks tells by find-first-set which rank is next.  A merge changes
+its rank: buckets by rank hold the list positions, and a two-level bitmap over
+the ranks tells by find-first-set which rank is next.  A merge changes
 two neighbours; their old entries stay in the buckets and are skipped when
 they come up.  Each merge costs a few steps whatever the pre-token's length.
 """
@@ -13,60 +13,17 @@ import base64
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .tokens import SPACE, UNIT
 
-FAN = 6  # bits a level of the bitmap: 64-way nodes
-KEPT_TOKENS = 1 << 20  # pre-tokens whose ids a task keeps before it starts anew
-LONG_TOKEN = 64  # longer pre-tokens are encoded but not kept
-
-
-class RankQueue:
-    """Smallest rank first: buckets of positions under a hierarchy of bitmaps."""
-
-    __slots__ = ("buckets", "leaves", "middle", "top")
-
-    def __init__(self):
-        self.buckets: dict[int, list[int]] = {}
-        self.leaves: dict[int, int] = {}
-        self.middle: dict[int, int] = {}
-        self.top = 0
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            bucket.append(position)
-            return
-        self.buckets[rank] = [position]
-        leaf, mid = rank >> FAN, rank >> 2 * FAN
-        self.leaves[leaf] = self.leaves.get(leaf, 0) | 1 << (rank & 63)
-        self.middle[mid] = self.middle.get(mid, 0) | 1 << (leaf & 63)
-        self.top |= 1 << mid
-
-    def pop(self) -> tuple[int, list[int]] | None:
-        """The smallest rank and all its positions, which leave the queue."""
-        if not self.top:
-            return None
-        mid = (self.top & -self.top).bit_length() - 1
-        nodes = self.middle[mid]
-        leaf = mid << FAN | (nodes & -nodes).bit_length() - 1
-        ranks = self.leaves[leaf]
-        low = ranks & -ranks
-        rank = leaf << FAN | low.bit_length() - 1
-        if ranks == low:
-            del self.leaves[leaf]
-            nodes &= nodes - 1
-            if nodes:
-                self.middle[mid] = nodes
-            else:
-                del self.middle[mid]
-                self.top &= self.top - 1
-        else:
-            self.leaves[leaf] = ranks ^ low
-        return rank, self.buckets.pop(rank)
+FAN = 8  # bits of a leaf of the bitmap: 256 ranks
+KEPT_UNITS = 1 << 20  # units and pre-tokens whose ids a task keeps before it starts anew
+LONG_UNIT = 64  # longer units are encoded but not kept
 
 
 class ByteBPE:
@@ -76,65 +33,87 @@ class ByteBPE:
         self.ranks = ranks
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.single = [ranks[bytes([b])] for b in range(256)]
-        self.pair: dict[tuple[int, int], int | None] = {}
-
-    def merged(self, a: int, b: int) -> int | None:
-        """Rank of the token that two neighbouring parts make, if there is one."""
-        key = (a, b)
-        try:
-            return self.pair[key]
-        except KeyError:
-            if len(self.pair) > 1 << 20:
-                self.pair.clear()
-            rank = self.pair[key] = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
-            return rank
+        #: two neighbouring parts -> rank of the token that they make
+        self.pair = {
+            left << 32 | right: rank
+            for token, rank in ranks.items()
+            for cut in range(1, len(token))
+            if (left := ranks.get(token[:cut])) is not None
+            and (right := ranks.get(token[cut:])) is not None
+        }
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
+        """Ids of one pre-token.
+
+        ``buckets`` hold, for each rank, a heap of the positions whose merge
+        waits; ``leaves`` and ``root`` are the bitmaps that tell which ranks
+        have a bucket.  ``filed`` is the rank that a position waits under now:
+        an entry of a bucket that disagrees is stale and skipped.
+        """
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
         n = len(piece)
-        single = self.single
-        ids: list[int] = [single[b] for b in piece]
+        rank_of = self.pair.get
+        ids = [self.single[b] for b in piece]
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        queue = RankQueue()
-        filed: list[int | None] = [None] * n  # rank that a position waits under
-        merged = self.merged
+        filed: list[int | None] = [None] * n
+        buckets: dict[int, list[int]] = {}
+        leaves: dict[int, int] = {}
+        root = 0
+
         for i in range(n - 1):
-            rank = merged(ids[i], ids[i + 1])
+            rank = rank_of(ids[i] << 32 | ids[i + 1])
             if rank is not None:
                 filed[i] = rank
-                queue.push(rank, i)
-        while (found := queue.pop()) is not None:
-            rank, positions = found
-            positions.sort()  # equal ranks merge from the left
-            for k, i in enumerate(positions):
-                if filed[i] != rank:
-                    continue  # stale
-                j = after[i]
-                ids[i] = rank
-                filed[i] = filed[j] = None
-                after[i] = j2 = after[j]
-                if j2 < n:
-                    before[j2] = i
-                    new = merged(rank, ids[j2])
-                    if new is not None:
-                        filed[i] = new
-                        queue.push(new, i)
-                p = before[i]
-                if p >= 0:
-                    new = merged(ids[p], rank)
-                    filed[p] = new
-                    if new is not None:
-                        queue.push(new, p)
-                if queue.top and self._lower(queue, rank):
-                    # a merge made a pair of a lower rank: it goes first
-                    for rest in positions[k + 1 :]:
-                        if filed[rest] == rank:
-                            queue.push(rank, rest)
-                    break
+                if rank in buckets:
+                    buckets[rank].append(i)  # positions rise: still a heap
+                else:
+                    buckets[rank] = [i]
+                    leaf = rank >> FAN
+                    leaves[leaf] = leaves.get(leaf, 0) | 1 << (rank & 255)
+                    root |= 1 << leaf
+        while root:
+            leaf = (root & -root).bit_length() - 1
+            ranks = leaves[leaf]
+            low = ranks & -ranks
+            rank = leaf << FAN | low.bit_length() - 1
+            bucket = buckets[rank]
+            i = heappop(bucket)  # equal ranks merge from the left
+            if not bucket:
+                del buckets[rank]
+                if ranks == low:
+                    del leaves[leaf]
+                    root &= root - 1
+                else:
+                    leaves[leaf] = ranks ^ low
+            if filed[i] != rank:
+                continue  # stale
+            j = after[i]
+            k = after[i] = after[j]
+            ids[i] = rank
+            filed[j] = None
+            p = before[i]
+            if k < n:
+                before[k] = i
+                right = rank_of(rank << 32 | ids[k])
+            else:
+                right = None
+            left = rank_of(ids[p] << 32 | rank) if p >= 0 else None
+            if p >= 0:
+                filed[p] = left
+            filed[i] = right
+            for new, position in ((left, p), (right, i)):
+                if new is None:
+                    continue
+                if new in buckets:
+                    heappush(buckets[new], position)
+                else:
+                    buckets[new] = [position]
+                    leaf = new >> FAN
+                    leaves[leaf] = leaves.get(leaf, 0) | 1 << (new & 255)
+                    root |= 1 << leaf
         out = []
         i = 0
         while i < n:
@@ -142,19 +121,6 @@ class ByteBPE:
             i = after[i]
         return out
 
-    @staticmethod
-    def _lower(queue: RankQueue, rank: int) -> bool:
-        """Whether a rank at or below ``rank`` waits."""
-        mid = (queue.top & -queue.top).bit_length() - 1
-        if mid != rank >> 2 * FAN:
-            return mid < rank >> 2 * FAN
-        nodes = queue.middle[mid]
-        leaf = mid << FAN | (nodes & -nodes).bit_length() - 1
-        if leaf != rank >> FAN:
-            return leaf < rank >> FAN
-        ranks = queue.leaves[leaf]
-        return (ranks & -ranks).bit_length() - 1 <= rank & 63
-
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -170,45 +136,54 @@ def load(path: str) -> ByteBPE:
 
 
 class TextEncoder:
-    """Texts to packed ids; pre-tokens met before are looked up."""
+    """Texts to packed ids; units met before are looked up.
+
+    A unit is a run without white space and the space before it, or a run of
+    white space: the pattern's matches never cross from one to the next.
+    """
 
     def __init__(self, vocabulary: str, pattern: str):
         import regex
 
         self.bpe = load(vocabulary)
+        # white space as the tiktoken library has it
+        pattern = pattern.replace(r"[^\s", f"[^{SPACE}")
+        pattern = pattern.replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]")
         self.split = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
 
+    def unit_ids(self, unit: str) -> bytes:
+        """Ids of a unit that is not known yet; its pre-tokens may be."""
+        known = self.known
+        out = []
+        for piece in self.split(unit):
+            packed = known.get(piece)
+            if packed is None:
+                packed = array("I", self.bpe.encode_piece(piece.encode())).tobytes()
+                if len(piece) <= LONG_UNIT:
+                    known[piece] = packed
+            out.append(packed)
+        packed = b"".join(out)
+        if len(out) > 1 and len(unit) <= LONG_UNIT:
+            known[unit] = packed
+        return packed
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         known = self.known
-        if len(known) > KEPT_TOKENS:
+        if len(known) > KEPT_UNITS:
             known.clear()
-        pieces = self.split(text)
-        out = []
-        for piece in pieces:
-            ids = known.get(piece)
-            if ids is None:
-                ids = _packed(self.bpe.encode_piece(piece.encode()))
-                if len(piece) <= LONG_TOKEN:
-                    known[piece] = ids
-            out.append(ids)
-        return b"".join(out)
-
-
-def _packed(ids: list[int]) -> bytes:
-    import numpy as np
-
-    return np.array(ids, dtype="<u4").tobytes()
+        find = known.get
+        return b"".join([find(unit) or self.unit_ids(unit) for unit in UNIT.findall(text)])
 
 
 def encode_texts(
-    docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text"
+    docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", decode: bool = True
 ) -> DataFrame:
-    """Encode whole texts of ``docs`` and decode the ids again.
+    """Encode whole texts of ``docs`` and, with ``decode``, decode the ids again.
 
     Returns doc_id, ids (packed little-endian unsigned 32-bit integers) and
-    decoded (bytes).  A null text is an empty one; an empty text has no ids;
+    decoded (bytes, else null).  A null text is an empty one; an empty text has no ids;
     repeated rows each give a row; an empty table gives an empty result; other
     columns are not read.
     """
@@ -223,7 +198,9 @@ def encode_texts(
                     [
                         part.column(0),
                         pa.array(ids, pa.binary()),
-                        pa.array([encoder.bpe.decode(array("I", x)) for x in ids], pa.binary()),
+                        pa.array([encoder.bpe.decode(array("I", x)) for x in ids], pa.binary())
+                        if decode
+                        else pa.nulls(len(ids), pa.binary()),
                     ],
                     names=["doc_id", "ids", "decoded"],
                 )

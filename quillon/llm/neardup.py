@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, drop_table, materialize, read_table
 
-CELL_BITS = 20  # counters of the frequency sketch
+CELL_BITS = 22  # counters of the frequency sketch
 SLABS = 64  # parts in which sketches are added up
 MOST_MATCHES = 4  # largest l
 BITMAP_BITS = 22
@@ -170,7 +170,7 @@ def frequent_cells(sketch: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     for r in got:
         cells[r["slab"] * size : (r["slab"] + 1) * size] = np.frombuffer(r["data"], np.int64)
     mean = cells.mean()
-    hot = np.flatnonzero(cells > 2 * mean + 8 * np.sqrt(mean) + 32)
+    hot = np.flatnonzero(cells > mean + 6 * np.sqrt(mean) + 16)
     return hot, cells[hot]
 
 
@@ -356,36 +356,89 @@ def _meet(like: Similarity):
     return meet
 
 
-def verify_pairs(docs: DataFrame, pairs: DataFrame, size: int, like: Similarity) -> DataFrame:
-    """Those of ``pairs`` (x, y) whose whole sets are similar, as links (a, b).
+def _profile(s: np.ndarray) -> bytes:
+    """Shingles in each of some equal ranges of hash values, about four a range."""
+    bits = min(16, max(3, int(np.ceil(np.log2(max(len(s), 1) / 4)))))
+    counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype("<u2").tobytes()
 
-    Only texts of documents in a pair travel; which ones those may be is told
-    by a bitmap of fixed size over the ids, filled from all pairs."""
-    spark = docs.sparkSession
-    bit = F.pmod(F.xxhash64("id"), F.lit(1 << BITMAP_BITS))
+
+def _most_shared(a: bytes, b: bytes) -> tuple[int, int, int]:
+    """Sizes of two sets, and a bound on what they share, by their profiles."""
+    x = np.frombuffer(a, "<u2").astype(np.int64)
+    y = np.frombuffer(b, "<u2").astype(np.int64)
+    n, m = int(x.sum()), int(y.sum())
+    if len(x) > len(y):
+        x = x.reshape(len(y), -1).sum(axis=1)
+    elif len(y) > len(x):
+        y = y.reshape(len(x), -1).sum(axis=1)
+    return n, m, int(np.minimum(x, y).sum())
+
+
+def _id_bitmap(pairs: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size over the ids in ``pairs``: no id is missed."""
     words = (
         pairs.select(F.explode(F.array("x", "y")).alias("id"))
-        .select(bit.alias("bit"))
+        .select(F.pmod(F.xxhash64("id"), F.lit(1 << BITMAP_BITS)).alias("bit"))
         .groupBy(F.shiftright("bit", 5).alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("bits"))
         .toArrow()  # at most 2^17 words
     )
     bitmap = np.zeros(1 << (BITMAP_BITS - 5), np.int64)
     bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return bitmap
+
+
+def _in_bitmap(bitmap: np.ndarray, at: pa.Array) -> pa.Array:
+    at = at.to_numpy(zero_copy_only=False)
+    return pa.array((bitmap[at >> 5] >> (at & 31)) & 1 > 0)
+
+
+def verify_pairs(docs: DataFrame, pairs: DataFrame, size: int, like: Similarity) -> DataFrame:
+    """Those of ``pairs`` (x, y) whose whole sets are similar, as links (a, b).
+
+    First the sets' profiles are compared, which bound what two sets share and
+    are much smaller than texts; only the texts of pairs that may still be
+    similar travel, and their whole sets are compared."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP_BITS)).alias("place")
+    bitmap = _id_bitmap(pairs)
 
     def involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(size)
         for batch in batches:
-            at = batch.column(2).to_numpy(zero_copy_only=False)
-            keep = (bitmap[at >> 5] >> (at & 31)) & 1 > 0
-            yield batch.select([0, 1]).filter(pa.array(keep))
-
-    texts = (
-        docs.where("doc_id is not null")
-        .select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP_BITS)).alias("at"))
-        .mapInArrow(involved, "doc_id long, text string")
-        .dropDuplicates(["doc_id"])
+            part = batch.filter(_in_bitmap(bitmap, batch.column(2)))
+            profiles = [_profile(shingles(t.as_py())) for t in part.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array(profiles, pa.binary())],
+                names=["doc_id", "text", "profile"],
+            )
+
+    texts = docs.where("doc_id is not null").select("doc_id", "text", place)
+    texts = materialize(
+        texts.mapInArrow(involved, "doc_id long, text string, profile binary"), "pair-texts"
     )
-    texts = materialize(texts, "pair-texts")
+
+    def rough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                n, m, most = _most_shared(a.as_py(), b.as_py())
+                keep.append(most >= like.least_pair(n, m))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    profiles = texts.select("doc_id", "profile").dropDuplicates(["doc_id"])
+    close = materialize(
+        pairs.join(profiles.toDF("x", "px"), "x")
+        .join(profiles.toDF("y", "py"), "y")
+        .select("x", "y", "px", "py")
+        .mapInArrow(rough, "x long, y long"),
+        "close-pairs",
+    )
+    near = _id_bitmap(close)
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select([0, 1]).filter(_in_bitmap(near, batch.column(2)))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(size)
@@ -395,18 +448,28 @@ def verify_pairs(docs: DataFrame, pairs: DataFrame, size: int, like: Similarity)
             for x, y, tx, ty in zip(*(batch.column(k) for k in range(4))):
                 y_ = y.as_py()
                 if y_ != last:
-                    last, own = y_, shingles(ty.as_py().encode())
-                if like.holds(shingles(tx.as_py().encode()), own):
+                    last, own = y_, shingles((ty.as_py() or "").encode())
+                if like.holds(shingles((tx.as_py() or "").encode()), own):
                     a.append(x.as_py())
                     b.append(y_)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]
             )
 
-    left = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("tx"))
-    right = texts.select(F.col("doc_id").alias("y"), F.col("text").alias("ty"))
-    joined = pairs.join(left, "x").join(right, "y").select("x", "y", "tx", "ty")
-    return materialize(joined.mapInArrow(check, "a long, b long"), "pair-links")
+    whole = (
+        texts.select("doc_id", "text", place)
+        .mapInArrow(needed, "doc_id long, text string")
+        .dropDuplicates(["doc_id"])
+    )
+    joined = (
+        close.join(whole.toDF("x", "tx"), "x")
+        .join(whole.toDF("y", "ty"), "y")
+        .select("x", "y", "tx", "ty")
+    )
+    links = materialize(joined.mapInArrow(check, "a long, b long"), "pair-links")
+    drop_table(texts)
+    drop_table(close)
+    return links
 
 
 def jaccard_components(

@@ -81,7 +81,9 @@ def line_first_cleaning(
     A null or empty text has no words and fails the base checks; a null id is
     kept as it is; repeated rows are judged alike; an empty table gives an
     empty result; other columns of ``docs`` are not read.  Three-word windows
-    are compared by 64-bit hash within one text.
+    are compared by 64-bit hash within one text.  Write the result before
+    filtering on ``kept``: Spark copies what a verdict is made of into a filter
+    that it moves down, and would then compute it many times over.
     """
     # one struct carries what is kept, whatever its columns are called
     base = docs.select(

@@ -10,7 +10,6 @@ unlabelled text negative.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -44,14 +43,17 @@ def word_features(word: str) -> tuple[int, ...]:
     return tuple(found)
 
 
-def text_features(text: str | None, known: dict[str, tuple[int, ...]]) -> set[int]:
+def text_features(text: str | None, known: dict[str, tuple[int, ...]]) -> np.ndarray:
+    """Distinct features of a text, packed."""
     found: set[int] = set()
     for word in set((text or "").lower().split()):
         own = known.get(word)
         if own is None:
+            if len(known) > KEPT_WORDS >> 2:
+                known.clear()
             own = known[word] = word_features(word)
         found.update(own)
-    return found
+    return np.fromiter(found, np.int32, len(found))
 
 
 @dataclass
@@ -77,10 +79,13 @@ class ToxicityModel:
         return out
 
 
-def _csr(rows: list[set[int]], column: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    cut = [np.array(sorted(column[f] for f in r if f in column), np.int64) for r in rows]
-    owner = np.repeat(np.arange(len(rows)), [len(c) for c in cut])
-    return (np.concatenate(cut) if cut else np.zeros(0, np.int64)), owner
+def _kept_entries(rows: list[np.ndarray], column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of the kept features of each row, and the rows they are of."""
+    at = column[np.concatenate(rows)]
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    order = np.lexsort((at, owner))
+    at, owner = at[order], owner[order]
+    return at[at >= 0], owner[at >= 0]
 
 
 def train_nnpu(
@@ -107,15 +112,18 @@ def train_nnpu(
     u_rows = [text_features(t, known) for t in unlabelled]
     if not p_rows or not u_rows:
         return ToxicityModel({}, -6.0)
-    in_p = Counter(f for r in p_rows for f in r)
-    in_u = Counter(f for r in u_rows for f in r)
-    expected = {f: in_u[f] * len(p_rows) / len(u_rows) for f in in_p}
-    z = {f: (n - expected[f]) / np.sqrt(expected[f] + 1) for f, n in in_p.items() if n >= min_texts}
-    kept = sorted((f for f in z if z[f] >= min_z), key=lambda f: (-z[f], f))[:max_features]
-    column = {f: i for i, f in enumerate(kept)}
+    space = 1 << SPACE_BITS
+    in_p = np.bincount(np.concatenate(p_rows), minlength=space)
+    in_u = np.bincount(np.concatenate(u_rows), minlength=space)
+    expected = in_u * (len(p_rows) / len(u_rows))
+    z = np.where(in_p >= min_texts, (in_p - expected) / np.sqrt(expected + 1), -np.inf)
+    kept = np.argsort(-z, kind="stable")[:max_features]
+    kept = kept[z[kept] >= min_z]
     n = len(kept)
-    x_p, of_p = _csr(p_rows, column)
-    x_u, of_u = _csr(u_rows, column)
+    column = np.full(space, -1)
+    column[kept] = np.arange(n)
+    x_p, of_p = _kept_entries(p_rows, column)
+    x_u, of_u = _kept_entries(u_rows, column)
     w, b = np.zeros(n), -1.0
     m1, m2 = np.zeros(n + 1), np.zeros(n + 1)
 
@@ -141,7 +149,7 @@ def train_nnpu(
         move = rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-9)
         w = np.maximum(w - move[:n], 0.0)
         b -= move[n]
-    return ToxicityModel({f: float(w[i]) for f, i in column.items()}, float(b))
+    return ToxicityModel({int(f): float(x) for f, x in zip(kept, w)}, float(b))
 
 
 def fit_toxicity(
@@ -196,34 +204,39 @@ def score_toxicity(
     threshold: float = 0.3,
     folds: int = 4,
     held_fold: int = 2,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Score each whole text of ``docs`` (doc_id, text, ...).
 
-    Returns doc_id, held_out, score (0 to 1) and predicted.  A null or empty
-    text has the score of a text without features; a null doc_id is in the
-    fold of the empty string; repeated rows each give a row; an empty table
-    gives an empty result; other columns are not read.
+    Returns the columns ``keep`` (doc_id alone when None), held_out, score (0
+    to 1) and predicted.  A null or empty text has the score of a text without
+    features; a null doc_id is in the fold of the empty string; repeated rows
+    each give a row; an empty table gives an empty result; other columns are
+    not read.
     """
+    keep = keep or ["doc_id"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple] = {}
         for batch in batches:
             if len(known) > KEPT_WORDS:
                 known.clear()
-            scores = model.scores((t.as_py() for t in batch.column(2)), known)
+            text = batch.schema.get_field_index("text_")
+            scores = model.scores((t.as_py() for t in batch.column(text)), known)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
-                    batch.column(1),
+                    *(batch.column(x) for x in (*keep, "held_out")),
                     pa.array(scores, pa.float64()),
                     pa.array([int(s >= threshold) for s in scores], pa.int32()),
                 ],
-                names=["doc_id", "held_out", "score", "predicted"],
+                names=[*keep, "held_out", "score", "predicted"],
             )
 
-    return docs.select(
-        "doc_id", (fold_of("doc_id", folds) == held_fold).alias("held_out"), "text"
-    ).mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    read = docs.select(
+        *keep, (fold_of("doc_id", folds) == held_fold).alias("held_out"), F.col("text").alias("text_")
+    )
+    schema = docs.select(*keep).schema.add("held_out", "boolean")
+    return read.mapInArrow(score, schema.add("score", "double").add("predicted", "integer"))
 
 
 def op3_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
