@@ -1,36 +1,8 @@
-"""Queries by name, with the DuckDB SQL that gives the same rows."""
+"""All queries by name, with the DuckDB SQL that gives the same rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from . import reference_queries, relational
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def q1_pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    return (
-        table(spark, sf_dir, "lineitem")
-        .where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
-        .groupBy("l_returnflag", "l_linestatus")
-        .agg(
-            F.sum("l_quantity").alias("sum_qty"),
-            F.round(F.sum(price), 2).alias("revenue"),
-            F.count("*").alias("n_rows"),
-        )
-    )
-
-
-QUERIES = {"q1_pricing_summary": q1_pricing_summary}
-
-ORACLE_SQL = {
-    "q1_pricing_summary": """
-        SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty,
-               round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue,
-               count(*) AS n_rows
-        FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02'
-        GROUP BY ALL""",
-}
+QUERIES = {**reference_queries.QUERIES, **relational.QUERIES}
+ORACLE_SQL = {**reference_queries.oracle(), **relational.ORACLE_SQL}
