@@ -31,8 +31,8 @@ from .common import materialize, read_table
 
 FREQUENT = 800  # words that the exchange moves
 CLASSES = 32
-CHUNK_TOKENS = 5_000_000
-CHUNK_WORDS = 500_000
+CHUNK_TOKENS = 2_000_000
+CHUNK_WORDS = 400_000
 END = b" "  # never a word
 END_HASH = -1
 PULL = 200.0  # weight of the class frequencies in the smoothed transitions
@@ -154,13 +154,14 @@ def _pieces(frequent: np.ndarray):
             after = np.r_[near[1:], -1] if len(ids) else near
             # the end of a text has no right neighbour of its own
             after = np.where(ids == 0, -1, after)
-            keys = np.concatenate(
-                [
-                    (ids * (2 * k) + before)[before >= 0],
-                    (ids * (2 * k) + k + after)[after >= 0],
-                ]
-            )
-            keys, sums = np.unique(keys, return_counts=True)
+            sides = [
+                np.unique((ids * (2 * k) + shift + side)[side >= 0], return_counts=True)
+                for shift, side in ((0, before), (k, after))
+            ]
+            del near, before, after, ids
+            keys, sums = (np.concatenate(x) for x in zip(*sides))
+            order_ = np.argsort(keys, kind="stable")
+            keys, sums = keys[order_], sums[order_]
             entries = np.zeros(len(keys), NEAR)
             entries["code"], entries["n"] = keys % (2 * k), sums
             edges = np.searchsorted(keys, np.arange(n + 1) * (2 * k)) * NEAR.itemsize
@@ -169,7 +170,7 @@ def _pieces(frequent: np.ndarray):
                 n,
                 [None, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(entries.tobytes())],
             )
-            del keys, sums, entries, ids
+            del keys, sums, entries, sides, order_
             none = pa.nulls(n, pa.binary())
             for first in range(0, n, 50_000):
                 last = min(n, first + 50_000)
