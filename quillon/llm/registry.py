@@ -7,6 +7,7 @@ from .class_lm import op2_brown_class_scores
 from .decontam import op8_qgram_decontamination
 from .html_text import op4_crf_extraction
 from .idcodec import op5_mixing_id_files
+from .oracles import ORACLE_SQL
 from .neardup import op1_adaptive_prefix_join
 from .quality import op7_line_first_cleaning
 from .sharding import op6_histogram_sort_shards
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
