@@ -103,7 +103,7 @@ class Similarity:
 def _read_sets(size: int):
     """One pass over the texts: a row for each document, and the sketch.
 
-    kind 0: doc_id, n, digest (d1, d2) and its LEADERS smallest hashes;
+    kind 0: doc_id, n and digest (d1, d2);
     kind 1: slab number and its packed counters."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,14 +111,13 @@ def _read_sets(size: int):
         cells = np.zeros(1 << CELL_BITS, np.uint32)
         shift = np.uint64(64 - CELL_BITS)
         for batch in batches:
-            n_, d1, d2, low = [], [], [], []
+            n_, d1, d2 = [], [], []
             for text in batch.column(1).cast(pa.binary()):
                 s = shingles(text.as_py())
                 n_.append(len(s))
                 data = s.tobytes()
                 d1.append(xxhash.xxh3_64_intdigest(data) - (1 << 63))
                 d2.append(zlib.crc32(data))
-                low.append(s[:LEADERS].tobytes())
                 # distinct shingles may share a cell, so the cells are added one by one
                 np.add.at(cells, (s >> shift).astype(np.int64), 1)
             rows = batch.num_rows
@@ -129,7 +128,7 @@ def _read_sets(size: int):
                     pa.array(n_, pa.int64()),
                     pa.array(d1, pa.int64()),
                     pa.array(d2, pa.int64()),
-                    pa.array(low, pa.binary()),
+                    pa.nulls(rows, pa.binary()),
                 ],
                 names=["kind", "doc_id", "n", "d1", "d2", "data"],
             )
@@ -175,7 +174,8 @@ def frequent_cells(sketch: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(size: int, like: Similarity, hot: np.ndarray, counts: np.ndarray):
-    """Each document's longest prefix in the global order and its chosen l.
+    """Each document's longest prefix in the global order and its chosen l, its
+    LEADERS smallest hashes and the number of its shingles in ordinary cells.
 
     The order: shingles of ordinary cells by hash, then those of frequent
     cells by the logarithm of the count, then hash."""
@@ -188,7 +188,7 @@ def _prefixes(size: int, like: Similarity, hot: np.ndarray, counts: np.ndarray):
         rank_of = np.zeros(1 << CELL_BITS, np.int8)
         rank_of[hot] = np.log2(np.maximum(counts, 1)).astype(np.int8) + 1
         for batch in batches:
-            columns = [[], [], [], []]
+            columns = [[], [], [], [], [], []]
             for doc_id, text in zip(
                 batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
             ):
@@ -214,12 +214,17 @@ def _prefixes(size: int, like: Similarity, hot: np.ndarray, counts: np.ndarray):
                 columns[3].append(
                     s[order].tobytes() + np.minimum(grid, 30_000).astype("<u2").tobytes()
                 )
+                columns[4].append(s[:LEADERS].tobytes())
+                columns[5].append(int((rank_of[cell] == 0).sum()))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(c, t)
-                    for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))
+                    for c, t in zip(
+                        columns,
+                        (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64()),
+                    )
                 ],
-                names=["doc_id", "n", "l", "prefix"],
+                names=["doc_id", "n", "l", "prefix", "low", "ordinary"],
             )
 
     return prefixes
@@ -286,7 +291,8 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meet(like: Similarity):
-    """Postings sorted by key to pairs that may be similar (larger, smaller, l)."""
+    """Postings sorted by key to matches (larger, smaller, l), with what is left
+    of either set behind the match and what the pair needs to share."""
 
     def candidates(a: np.ndarray, b: np.ndarray, c: dict[str, np.ndarray]) -> np.ndarray:
         """Which of the row pairs (a larger, b smaller) may be similar."""
@@ -332,9 +338,17 @@ def _meet(like: Similarity):
                             found.append((a[ok], b[ok]))
             if found:
                 a, b = (np.concatenate(x) for x in zip(*found))
+                n, m, need = c["n"][a], c["n"][b], like.least_pair(c["n"][a], c["n"][b])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c["id"][a]), pa.array(c["id"][b]), pa.array(c["l"][a], pa.int32())],
-                    names=["x", "y", "l"],
+                    [
+                        pa.array(c["id"][a]),
+                        pa.array(c["id"][b]),
+                        pa.array(c["l"][a], pa.int32()),
+                        pa.array(n - c["place"][a] - 1, pa.int32()),
+                        pa.array(m - c["place"][b] - 1, pa.int32()),
+                        pa.array(need, pa.int32()),
+                    ],
+                    names=["x", "y", "l", "rest_x", "rest_y", "need"],
                 )
 
         held: list[pa.RecordBatch] = []
@@ -499,23 +513,31 @@ def jaccard_components(
         ),
         "sets",
     )
-    sets = read.where("kind = 0").select("doc_id", "n", "d1", "d2", "data")
+    sets = read.where("kind = 0").select("doc_id", "n", "d1", "d2")
     hot, counts = frequent_cells(read.where("kind = 1").select("doc_id", "data"))
+    prefixes = materialize(
+        texts.where("doc_id is not null").mapInArrow(
+            _prefixes(size, like, hot, counts),
+            "doc_id long, n long, l int, prefix binary, low binary, ordinary long",
+        ),
+        "prefixes",
+    )
 
     with_class = sets.where("n > 0 and doc_id is not null")
     heads = materialize(
-        with_class.groupBy("n", "d1", "d2").agg(
-            F.min("doc_id").alias("class_id"), F.first("data").alias("data")
-        ),
-        "classes",
+        with_class.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id")), "classes"
     )
-    # each class against the leaders of its smallest hashes
-    hashes = F.least(F.lit(LEADERS), (F.octet_length("data") / 8).cast("int"))
-    low = heads.select(
-        F.col("class_id").alias("x"), "data", F.explode(F.sequence(F.lit(1), hashes)).alias("k")
-    ).select("x", F.expr("substring(data, 8 * k - 7, 8)").alias("hash"))
-    leaders = low.groupBy("hash").agg(F.min("x").alias("y"))
-    star = low.join(leaders, "hash").where("x <> y").select("x", "y").distinct()
+    # Each class against the leaders of its smallest hashes: the texts with the
+    # fewest rare shingles, which stand in the middle of a group of near copies.
+    hashes = (F.octet_length("low") / 8).cast("int")
+    low = (
+        prefixes.join(heads.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
+        .select(F.col("doc_id").alias("x"), "ordinary", "low", F.explode(F.sequence(F.lit(1), hashes)).alias("k"))
+        .select("x", "ordinary", F.expr("substring(low, 8 * k - 7, 8)").alias("hash"))
+    )
+    leaders = low.groupBy("hash").agg(F.min(F.struct("ordinary", "x")).alias("first"))
+    leaders = leaders.select("hash", F.col("first.x").alias("y"))
+    star = low.select("x", "hash").join(leaders, "hash").where("x <> y").select("x", "y").distinct()
     star = materialize(star, "leader-pairs")
     star_links = verify_pairs(docs, star, size, like)
     grouped = connected_components(star_links, tag="leader-components")
@@ -523,9 +545,6 @@ def jaccard_components(
     members = heads.select(F.col("class_id").alias("doc_id")).join(
         grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left"
     ).select("doc_id", F.coalesce("component", "doc_id").alias("component"))
-    prefixes = texts.where("doc_id is not null").mapInArrow(
-        _prefixes(size, like, hot, counts), "doc_id long, n long, l int, prefix binary"
-    )
     postings = (
         prefixes.join(members, "doc_id")
         .select("doc_id", "n", "l", "prefix", "component")
@@ -533,23 +552,27 @@ def jaccard_components(
         .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
         .sortWithinPartitions("key")
     )
+    # Behind the last match of a pair no more can be shared than is left of
+    # either set, and all that is shared before it has been counted.
+    most = F.count("*") + F.least(F.min("rest_x"), F.min("rest_y"))
     met = (
-        postings.mapInArrow(_meet(like), "x long, y long, l int")
-        .groupBy("x", "y", "l")
-        .count()
-        .where("count >= l")
+        postings.mapInArrow(
+            _meet(like), "x long, y long, l int, rest_x int, rest_y int, need int"
+        )
+        .groupBy("x", "y")
+        .agg(F.count("*").alias("n"), F.max("l").alias("l"), most.alias("most"), F.max("need").alias("need"))
+        .where("n >= l and most >= need")
         .select("x", "y")
-        .distinct()
     )
     links = verify_pairs(docs, materialize(met, "candidates"), size, like)
     joined = connected_components(
         links.union(star_links)
-        .union(with_class.join(heads.drop("data"), ["n", "d1", "d2"]).select("doc_id", "class_id"))
+        .union(with_class.join(heads, ["n", "d1", "d2"]).select("doc_id", "class_id"))
         .where("a <> b"),
         tag="components",
     )
     return (
-        sets.join(heads.drop("data"), ["n", "d1", "d2"], "left")
+        sets.join(heads, ["n", "d1", "d2"], "left")
         .join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .select(
             "doc_id",
