@@ -72,6 +72,7 @@ def test_join_with_frequent_shingles_in_a_grid(spark, monkeypatch):
 
     whole = pa.Table.from_batches(prefixes).to_pandas()
     whole["component"] = whole["doc_id"]
+    whole = whole[["doc_id", "n", "l", "prefix", "component"]]
     batch = pa.RecordBatch.from_pandas(whole, preserve_index=False)
     posts = pa.Table.from_batches([*neardup._postings(iter([batch]))]).sort_by("key")
     pairs = collections.Counter()
