@@ -9,8 +9,10 @@ share is estimated from the words seen once.
 
 The texts are read twice.  The second reading turns them into chunks of local
 word numbers and one row for each distinct word of a chunk; these rows are
-exchanged by word to gather counts and classes, then by chunk to score, so no
-task ever needs the whole vocabulary.
+exchanged by word to gather counts and classes, then by chunk, where every
+pair of neighbouring training words counts for the class transitions.  The
+chunks are kept as class numbers until these are summed, so no task ever needs
+the whole vocabulary.
 """
 
 from __future__ import annotations
@@ -271,19 +273,16 @@ ANSWERS = "b long, i int, n long, class int, x int, y int"
 def _classify(frequent: np.ndarray, of: np.ndarray, weight: np.ndarray, prior: np.ndarray):
     """Rows sorted by word to answers for their chunks, and class statistics.
 
-    Statistics rows have b = -1: (x, y) is a class pair with its count, or
-    (x, -1) the tokens, (x, -2) the words and (x, -3) the words seen once of
-    a class."""
+    Statistics rows have b = -1: (x, -1) is the tokens, (x, -2) the words and
+    (x, -3) the words seen once of a class."""
     place = {int(h): p for p, h in enumerate(frequent)}
-    k, c = len(frequent), len(prior)
-    class_of_code = np.concatenate([of, of])
+    c = len(prior)
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((c, c), np.int64)
         totals = np.zeros((3, c), np.int64)
 
         def answer(b, i, h, n, near):
-            nonlocal table, totals
+            nonlocal totals
             edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             word = np.cumsum(np.r_[True, h[1:] != h[:-1]]) - 1
             words = len(edge)
@@ -302,13 +301,6 @@ def _classify(frequent: np.ndarray, of: np.ndarray, weight: np.ndarray, prior: n
             fixed = np.array([place.get(int(x), -1) for x in h[edge]])
             best = np.where(fixed >= 0, of[fixed], best)
             total = np.add.reduceat(n, edge)
-            code, n_near = flat["code"].astype(int), flat["n"].astype(np.int64)
-            mine, theirs = best[owner], class_of_code[code]
-            left = code < k
-            # a pair of frequent words is counted by its second word alone
-            use_right = ~left & (fixed[owner] < 0)
-            np.add.at(table, (theirs[left], mine[left]), n_near[left])
-            np.add.at(table, (mine[use_right], theirs[use_right]), n_near[use_right])
             seen = total > 0
             totals += np.stack(
                 [
@@ -356,14 +348,13 @@ def _classify(frequent: np.ndarray, of: np.ndarray, weight: np.ndarray, prior: n
                 held.append(batch.slice(cut))
         if held:
             yield answer(*columns(held))
-        xs, ys = np.nonzero(table)
-        x = np.concatenate([xs, np.tile(np.arange(c), 3)])
-        y = np.concatenate([ys, np.repeat([-1, -2, -3], c)])
+        x = np.tile(np.arange(c), 3)
+        y = np.repeat([-1, -2, -3], c)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.full(len(x), -1), pa.int64()),
                 pa.nulls(len(x), pa.int32()),
-                pa.array(np.concatenate([table[xs, ys], totals.reshape(-1)])),
+                pa.array(totals.reshape(-1)),
                 pa.nulls(len(x), pa.int32()),
                 pa.array(x, pa.int32()),
                 pa.array(y, pa.int32()),
@@ -374,6 +365,55 @@ def _classify(frequent: np.ndarray, of: np.ndarray, weight: np.ndarray, prior: n
     return classify
 
 
+CODED = (
+    "doc_id array<long>, held_out array<boolean>, n_tokens array<long>, n_known array<long>,"
+    " base array<double>, words array<double>, classes binary, size long, pairs array<long>"
+)
+
+
+def _code(c: int, n_all: int, n_words: int):
+    """A chunk's texts as classes, with what its words alone add to each score.
+
+    ``pairs`` counts each class (row) before each class over all neighbouring
+    training tokens, the end before a text's first word included."""
+    kind = np.min_scalar_type(c)
+
+    def code(answered: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for docs, size in zip(chunk["docs"], chunk["size"]):
+            head, ids = Chunk.unpack(docs, int(size))
+            n_of = np.zeros(len(answered), np.int64)
+            n_of[answered["i"]] = answered["n"]
+            class_of = np.zeros(len(answered), np.int64)
+            class_of[answered["i"]] = answered["class"]
+            n = n_of[ids]
+            known = n > 0
+            classes = np.where(known, class_of[ids], c)  # c: unseen
+            lengths = head[:, 3]
+            starts = np.cumsum(lengths) - lengths
+            train = np.repeat(head[:, 2] == 0, lengths)
+            before = np.r_[c - 1, classes[:-1]]  # the end's class
+            pairs = np.bincount(before[train] * c + classes[train], minlength=c * c)
+            base = np.log10((n + 0.1) / (n_all + 0.1 * n_words))
+            raw = classes.astype(kind).tobytes()
+            out.append(
+                (
+                    [int(i) if there else None for i, there in head[:, :2]],
+                    head[:, 2] > 0,
+                    lengths,
+                    np.add.reduceat(known.astype(np.int64), starts),
+                    np.add.reduceat(base, starts),
+                    np.add.reduceat(np.log10(np.maximum(n, 1)), starts),
+                    pa.compress(raw, codec="zstd", asbytes=True),
+                    len(raw),
+                    pairs,
+                )
+            )
+        return pd.DataFrame(out, columns=[x.split()[0] for x in CODED.split(", ")])
+
+    return code
+
+
 RESULT = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long,"
     " base_score double, score double"
@@ -451,69 +491,56 @@ def score_texts(
         "lm-answers",
     )
     c = n_classes + 1
-    table, tokens = np.zeros((c, c)), np.zeros(c)
-    for r in answers.where("b = -1").groupBy("x", "y").agg(F.sum("n").alias("n")).collect():
-        if r["y"] >= 0:
-            table[r["x"], r["y"]] = r["n"]
-        elif r["y"] == -1:
-            tokens[r["x"]] = r["n"]
-    n_all_, n_words = float(n_all), n_distinct + 1
+    tokens = np.zeros(c)
+    for r in answers.where("y = -1").groupBy("x").agg(F.sum("n").alias("n")).collect():
+        tokens[r["x"]] = r["n"]
+    chunks = pieces.where("docs is not null").select("b", "docs", "size")
+    coded = materialize(
+        answers.where("b >= 0")
+        .select("b", "i", "n", "class")
+        .groupBy("b")
+        .cogroup(chunks.groupBy("b"))
+        .applyInPandas(_code(c, n_all, n_distinct + 1), CODED),
+        "lm-coded",
+    )
+    table = np.zeros(c * c)
+    pair = coded.select(F.posexplode("pairs").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n"))
+    for r in pair.collect():  # the square of the classes
+        table[r["at"]] = r["n"]
+    table = table.reshape(c, c)
     unseen = (n_once + 0.1) / (n_all + 0.2)
     shares = (tokens + 1e-9) / (tokens.sum() + 1e-9 * c)
     step = np.concatenate([_log_transitions(table, shares, PULL), np.log(shares)[None]])
     step = (step + np.log1p(-unseen)) / np.log(10)
-    log_tokens = np.log10(np.maximum(tokens, 1))
-    log_unseen = float(np.log10(unseen))
-    end_class = n_classes
+    # what a token adds besides its own count; an unseen word is one event
+    step = np.c_[step - np.log10(np.maximum(tokens, 1)), np.full(c + 1, np.log10(unseen))]
+    kind = np.min_scalar_type(c)
 
-    def score(answered: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for docs_, size in zip(chunk["docs"], chunk["size"]):
-            head, ids = Chunk.unpack(docs_, int(size))
-            n_of = np.zeros(len(answered), np.int64)
-            n_of[answered["i"]] = answered["n"]
-            class_of = np.zeros(len(answered), np.int64)
-            class_of[answered["i"]] = answered["class"]
-            n = n_of[ids]
-            known = n > 0
-            classes = np.where(known, class_of[ids], c)  # c: unseen
-            before = np.r_[end_class, classes[:-1]]
-            base = np.log10((n + 0.1) / (n_all_ + 0.1 * n_words))
-            if n_all:
-                inside = np.minimum(classes, c - 1)
-                p = np.where(
-                    known,
-                    step[before, inside] + np.log10(np.maximum(n, 1)) - log_tokens[inside],
-                    log_unseen,
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, held, lengths, known, base, words_ = (
+                    batch.column(x)[row].values for x in range(6)
                 )
-            else:
-                p = base
-            lengths = head[:, 3]
-            starts = np.cumsum(lengths) - lengths
-            out.append(
-                pd.DataFrame(
-                    {
-                        "doc_id": pd.array(head[:, 0], "Int64"),
-                        "held_out": head[:, 2] > 0,
-                        "n_tokens": lengths,
-                        "n_known": np.add.reduceat(known.astype(np.int64), starts),
-                        "train_tokens": n_all,
-                        "base_score": np.add.reduceat(base, starts),
-                        "score": np.add.reduceat(p, starts),
-                    }
+                data, size = batch.column(6)[row].as_py(), batch.column(7)[row].as_py()
+                classes = np.frombuffer(pa.decompress(data, size, codec="zstd", asbytes=True), kind)
+                before = np.r_[kind.type(c - 1), classes[:-1]]
+                starts = np.cumsum(lengths.to_numpy()) - lengths.to_numpy()
+                total = np.add.reduceat(step[before, classes], starts) + words_.to_numpy()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids,
+                        held,
+                        lengths,
+                        known,
+                        pa.array(np.full(len(ids), n_all)),
+                        base,
+                        pa.array(total) if n_all else base,
+                    ],
+                    names=[x.split()[0] for x in RESULT.split(", ")],
                 )
-            )
-            out[-1].loc[head[:, 1] == 0, "doc_id"] = pd.NA
-        return pd.concat(out)
 
-    chunks = pieces.where("docs is not null").select("b", "docs", "size")
-    return (
-        answers.where("b >= 0")
-        .select("b", "i", "n", "class")
-        .groupBy("b")
-        .cogroup(chunks.groupBy("b"))
-        .applyInPandas(score, RESULT)
-    )
+    return coded.drop("pairs").mapInArrow(score, RESULT)
 
 
 def op2_brown_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

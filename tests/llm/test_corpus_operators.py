@@ -144,6 +144,39 @@ def test_class_model_learns_the_order_of_classes(spark):
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got) + 5 * len(got)
 
 
+def test_class_transitions_count_every_training_pair(spark):
+    # with one class besides the end's, the whole model is known
+    rows = [(k, prose(k, 30 + k % 9)) for k in range(120)] + [(500, None), (501, "")]
+    tokens = {i: (t or "").encode().lower().split() + [b" "] for i, t in rows}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in tokens}
+    counts = collections.Counter(w for i, t in tokens.items() if not held[i] for w in t)
+    table = np.zeros((2, 2))  # words, ends
+    for i, t in tokens.items():
+        for x, y in zip([b" ", *t], t):
+            table[int(x == b" "), int(y == b" ")] += not held[i]
+    total = np.array([sum(counts.values()) - counts[b" "], counts[b" "]])
+    share = total / total.sum()
+    step = (table + class_lm.PULL * share) / (table.sum(axis=1, keepdims=True) + class_lm.PULL)
+    once = (sum(n == 1 for n in counts.values()) + 0.1) / (total.sum() + 0.2)
+
+    def score(t):
+        sum_, before = 0.0, 1
+        for w in t:
+            of = int(w == b" ") if counts[w] else None
+            if of is None:
+                sum_ += math.log10(once)
+            else:
+                p = share[of] if before is None else step[before, of]
+                sum_ += math.log10(p * (1 - once) * counts[w] / total[of])
+            before = of
+        return sum_
+
+    got = class_lm.score_texts(frame(spark, rows), n_frequent=5, n_classes=1).collect()
+    assert len(got) == len(rows) and any(r["held_out"] for r in got)
+    for r in got:
+        assert r["score"] == pytest.approx(score(tokens[r["doc_id"]]), abs=1e-4)
+
+
 def test_exchange_never_lowers_the_likelihood():
     rnd = np.random.default_rng(3)
     bigrams = rnd.poisson(1.0, (30, 30)).astype(float)
