@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -185,25 +186,29 @@ def must_have(found: DataFrame, kind: str, column: str = "kind") -> DataFrame:
 # order and limits
 
 
-def topological_order(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
+def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Level of each node (id): one more than the largest level of those it
     depends on.  ``edges`` (before, after).  A cycle raises."""
-    level = nodes.select("id", F.lit(0).alias("level"))
-    for _ in range(most):
-        raised = (
-            edges.join(level, edges["before"] == level["id"])
-            .groupBy("after")
-            .agg((F.max("level") + 1).alias("least"))
+    level = nodes.select("id", F.lit(None).cast("int").alias("level"))
+    open_before = None
+    for k in count():
+        blocked = (
+            edges.select("before", "after")
+            .join(level.where("level is null"), F.col("before") == F.col("id"), "left_semi")
+            .select("after")
+            .distinct()
         )
-        new = level.join(raised, level["id"] == raised["after"], "left").select(
-            "id", F.greatest("level", F.coalesce("least", F.lit(0))).alias("level")
+        settled = F.when(F.col("after").isNull(), F.lit(k))
+        level = level.join(blocked, F.col("id") == F.col("after"), "left").select(
+            "id", F.coalesce("level", settled).alias("level")
         ).checkpoint()
-        if new.join(level.withColumnRenamed("level", "old"), "id").where("level <> old").isEmpty():
-            return new
-        level = new
-        if level.agg(F.max("level")).head()[0] > nodes.count():
-            break
-    raise ValueError("the dependencies have a cycle")
+        still_open = level.where("level is null").count()
+        if not still_open:
+            return level
+        # each round settles a node unless all that are open wait for each other
+        if still_open == open_before:
+            raise ValueError("the dependencies have a cycle")
+        open_before = still_open
 
 
 def bounded(df: DataFrame, n: int, order: list) -> DataFrame:

@@ -59,6 +59,17 @@ def test_order(spark):
         tools.topological_order(nodes, cycle)
 
 
+def test_order_has_no_round_cap(spark, monkeypatch):
+    # any cap on the rounds, made short: a chain is no cycle however long it is
+    monkeypatch.setattr(tools, "range", lambda n: iter([0, 1, 2]), raising=False)
+    nodes = spark.createDataFrame([(i,) for i in range(8)], "id long")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(7)], "before long, after long")
+    assert {r["id"]: r["level"] for r in tools.topological_order(nodes, edges).collect()} == {i: i for i in range(8)}
+    cycle = edges.union(spark.createDataFrame([(7, 6)], "before long, after long"))
+    with pytest.raises(ValueError, match="cycle"):
+        tools.topological_order(nodes, cycle)
+
+
 def test_epoch_text(spark):
     assert spark.range(1).select(tools.epoch_text(F.lit(305419896))).head()[0] == "1979-09-05 22:51:36"
     with pytest.raises(Exception, match="32-bit"):
