@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 
-Q = 12  # characters of a q-gram
+Q = 12  # characters of a q-gram, but for short items
 EDIT_SHARE = 0.05  # edits allowed, as a share of an item's length
 BLOCK_CHARS = 2_000_000  # benchmark text that is sent to the executors at once
 TEXT_CHARS = 1 << 20  # text that is searched at once
@@ -166,6 +166,20 @@ class ItemIndex:
         return found
 
 
+def item_indexes(ids: list[int], texts: list[str]) -> list[ItemIndex]:
+    """Indexes of non-empty normal items, one for each length of q-gram.
+
+    Items too short to share a ``Q``-gram after all their edits have the longest
+    q-grams that they do share, the whole item if it may have no edits."""
+    groups: dict[int, list[int]] = {}
+    for n, text in enumerate(texts):
+        m = len(text)
+        groups.setdefault(min(Q, m // (int(m * EDIT_SHARE) + 1)), []).append(n)
+    return [
+        ItemIndex([ids[n] for n in own], [texts[n] for n in own], q) for q, own in sorted(groups.items())
+    ]
+
+
 def _benchmark_blocks(benchmark: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
     """The benchmark in blocks of bounded size, whatever its length."""
     items = benchmark.select("item_id", "text").where("text is not null")
@@ -175,7 +189,7 @@ def _benchmark_blocks(benchmark: DataFrame) -> Iterator[tuple[list[int], list[st
     for b in range(blocks):
         rows = items.where(part == b).orderBy("item_id", "text").collect()  # one bounded block
         rows = [(r["item_id"], normal(r["text"])) for r in rows]
-        rows = [(i, t) for i, t in rows if len(t) >= Q]
+        rows = [(i, t) for i, t in rows if t]
         if rows:
             yield [i for i, _ in rows], [t for _, t in rows]
 
@@ -186,8 +200,8 @@ SPANS = "doc_id long, item_id long, start_char long, end_char long, n_edits int"
 def find_benchmark_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Places where whole texts of ``docs`` hold benchmark items.
 
-    An item (at least ``Q`` characters) is found where it occurs with no more
-    edits than ``EDIT_SHARE`` of its length, after lower-casing and turning
+    An item of any length is found where it occurs with no more edits than
+    ``EDIT_SHARE`` of its length (none below 20 characters), after lower-casing and turning
     white space runs into one space.  Returns doc_id, item_id, start_char and
     end_char (in the normal form of the text) and n_edits; one row a place.
 
@@ -199,7 +213,7 @@ def find_benchmark_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for ids, texts in _benchmark_blocks(benchmark):
 
         def search(batches, ids=ids, texts=texts):
-            index = ItemIndex(ids, texts)
+            indexes = item_indexes(ids, texts)
             for batch in batches:
                 rows = []
                 names = batch.column(0).to_pylist()
@@ -208,8 +222,9 @@ def find_benchmark_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     part.append(normal(batch.column(1)[k].as_py()))
                     size += len(part[-1])
                     if size >= TEXT_CHARS or k == batch.num_rows - 1:
-                        for d, spans in enumerate(index.search(part)):
-                            rows += [(names[first + d], ids[i], a, b, e) for i, a, b, e in spans]
+                        for index in indexes:
+                            for d, spans in enumerate(index.search(part)):
+                                rows += [(names[first + d], index.ids[i], a, b, e) for i, a, b, e in spans]
                         part, size, first = [], 0, k + 1
                 columns = list(zip(*rows)) or [[]] * 5
                 kinds = [pa.int64()] * 4 + [pa.int32()]

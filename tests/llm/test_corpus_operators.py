@@ -237,6 +237,33 @@ def test_decontamination_odd_rows(spark, monkeypatch):
     assert decontam.find_benchmark_passages(docs, benchmark.limit(0)).count() == 0
 
 
+def test_short_items_are_found(spark):
+    words = "zq", "qzx-qzx", "Qzqzqzqzqzq", "xzqzqxzzqxqzxzqzq", "abcdefghijklmnopqrst", "bcdefghijklmnopqrstuvwx"
+    items = [(k, w) for k, w in enumerate(words)]
+    rows = [(k, f"{prose(k, 20)} {w} {prose(50 + k, 20)}") for k, w in enumerate(words)]
+    # one edit in the middle of an item of 20 and of 23 characters
+    rows += [(10, prose(10, 20) + " abcdefghij0lmnopqrst"), (11, prose(11, 20) + " bcdefghijkl0nopqrstuvwx")]
+    rows += [(12, prose(12, 20)), (13, "a\0b"), (14, None)]
+    benchmark = spark.createDataFrame(items + [(90, None), (91, " \n")], "item_id long, text string")
+    got = decontam.find_benchmark_passages(frame(spark, rows), benchmark).collect()
+    wanted = {k: decontam.normal(w) for k, w in items}
+    expected = {
+        (i, k, a, a + len(w), 0)
+        for i, t in rows
+        for k, w in wanted.items()
+        for a in range(len(t or ""))
+        if decontam.normal(t).startswith(w, a)
+    }
+    assert {tuple(r) for r in got if r["n_edits"] == 0} == expected
+    assert {k for _, k, *_ in expected} == set(wanted)
+    edited = {(r["doc_id"], r["item_id"]) for r in got if r["n_edits"] == 1}
+    assert {(10, 4), (11, 5)} <= edited
+    texts = dict(rows)
+    for r in got:
+        piece = decontam.normal(texts[r["doc_id"]])[r["start_char"] : r["end_char"]]
+        assert edit_distance(wanted[r["item_id"]], piece) == r["n_edits"] <= 0.05 * len(wanted[r["item_id"]])
+
+
 def check_shards(rows, got, tolerance):
     assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(i for i, _ in rows)
     slots = collections.defaultdict(list)
