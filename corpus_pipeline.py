@@ -49,21 +49,40 @@ def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
+def number_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row's own (row), written so that it stays the same."""
+    return materialize(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate class.
 
-    Classes: five-word shingles, Jaccard similarity of 0.8 or more."""
-    classes = jaccard_components(docs)
-    keep = classes.where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi")
-    return named.unionByName(docs.where("doc_id is null")).select(COLUMNS)
+    Classes: five-word shingles, Jaccard similarity of 0.8 or more.  Each row
+    is a document, also one without id or with a repeated id: one row of a
+    class stays, one with an id if there is any.  Texts without words are
+    classes of their own."""
+    rows = number_rows(docs)
+    classes = jaccard_components(rows.select(F.col("row").alias("doc_id"), "text"))
+    keep = (
+        classes.select(F.col("doc_id").alias("row"), "component_id")
+        .join(rows.select("row", "doc_id"), "row")
+        .groupBy("component_id")
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"))
+        .select("first.row")
+    )
+    return rows.join(keep, "row", "left_semi").select(COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
-    found = find_benchmark_passages(docs, read_table(spark, sf_dir, "benchmark"))
-    hit = materialize(found.select("doc_id").distinct(), "contaminated")
-    return docs.join(hit, "doc_id", "left_anti").select(COLUMNS)
+    """Documents that hold no benchmark passage.
+
+    Each row is judged by its own text, whether its id is null or repeated."""
+    rows = number_rows(docs)
+    found = find_benchmark_passages(
+        rows.select(F.col("row").alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark")
+    )
+    hit = materialize(found.select(F.col("doc_id").alias("row")).distinct(), "contaminated")
+    return rows.join(hit, "row", "left_anti").select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -313,3 +313,21 @@ def test_pipeline(spark, sf_dir):
         docs, n = after, after.count()
     ids = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert ids.count() == n and ids.where("octet_length(ids) <> 4 * n_tokens").isEmpty()
+
+
+def test_pipeline_rows_without_own_ids(spark, sf_dir):
+    import corpus_pipeline
+
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("text is not null").orderBy("item_id").head()["text"]
+    rows = [(None, prose(1)), (None, prose(1) + " end"), (7, prose(2)), (7, prose(2)), (None, prose(2)), (5, prose(2))]
+    rows += [(9, prose(3)), (9, prose(4)), (None, prose(5))]
+    docs = frame(spark, rows).select(corpus_pipeline.COLUMNS)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()]
+    alone = [(5, prose(2)), (9, prose(3)), (9, prose(4)), (None, prose(5))]
+    assert len(got) == 5 and collections.Counter(alone) <= collections.Counter(got)
+    assert sum(t.startswith(prose(1)) for _, t in got) == 1
+
+    rows = [(None, prose(1) + " " + item), (None, prose(2)), (3, prose(3) + " " + item), (3, prose(4)), (4, prose(5))]
+    docs = frame(spark, rows).select(corpus_pipeline.COLUMNS)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_contaminated(spark, docs, sf_dir).collect()]
+    assert collections.Counter(got) == collections.Counter([(None, prose(2)), (3, prose(4)), (4, prose(5))])
