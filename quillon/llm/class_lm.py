@@ -2,7 +2,8 @@
 
 Exchange clustering assigns the most frequent words to classes: each word in
 turn moves to the class that raises the class-bigram likelihood most.  Every
-other word then takes the class that its frequent neighbours make likeliest.
+other word then takes the class that its frequent neighbours make likeliest,
+and once more the class that all its neighbours do, by their classes.
 A text's probability is the product of class transitions and of word
 emissions within the class, both smoothed; an unseen word is one event whose
 share is estimated from the words seen once.
@@ -10,7 +11,8 @@ share is estimated from the words seen once.
 The texts are read twice.  The second reading turns them into chunks of local
 word numbers and one row for each distinct word of a chunk; these rows are
 exchanged by word to gather counts and classes, then by chunk, where every
-pair of neighbouring training words counts for the class transitions.  The
+pair of neighbouring training words counts for the class transitions, and all
+this twice, with the frequent neighbours and with the classes of all.  The
 chunks are kept as class numbers until these are summed, so no task ever needs
 the whole vocabulary.
 """
@@ -29,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
+from .common import drop_table, materialize, read_table
 
 FREQUENT = 800  # words that the exchange moves
 CLASSES = 32
@@ -133,6 +135,28 @@ PIECES = "b long, i int, h long, n long, near binary, docs binary, size long"
 NEAR = np.dtype([("code", "<u2"), ("n", "<u4")])
 
 
+def _neighbours(ids: np.ndarray, n: int, k: int, before: np.ndarray, after: np.ndarray) -> pa.Array:
+    """The neighbours of each of ``n`` words: for each place in ``ids`` the code
+    (below ``k``, or -1 for none) of the word before, and k more of that after."""
+    # the end of a text has no right neighbour of its own
+    after = np.where(ids == 0, -1, after)
+    sides = [
+        np.unique((ids * (2 * k) + shift + side)[side >= 0], return_counts=True)
+        for shift, side in ((0, before), (k, after))
+    ]
+    keys, sums = (np.concatenate(x) for x in zip(*sides))
+    order = np.argsort(keys, kind="stable")
+    keys, sums = keys[order], sums[order]
+    entries = np.zeros(len(keys), NEAR)
+    entries["code"], entries["n"] = keys % (2 * k), sums
+    edges = np.searchsorted(keys, np.arange(n + 1) * (2 * k)) * NEAR.itemsize
+    return pa.Array.from_buffers(
+        pa.binary(),
+        n,
+        [None, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(entries.tobytes())],
+    )
+
+
 def _pieces(frequent: np.ndarray):
     """Rows of a chunk: one for each distinct word, one with the texts.
 
@@ -154,25 +178,8 @@ def _pieces(frequent: np.ndarray):
             near = place[ids]
             before = np.r_[place[0], near[:-1]] if len(ids) else near
             after = np.r_[near[1:], -1] if len(ids) else near
-            # the end of a text has no right neighbour of its own
-            after = np.where(ids == 0, -1, after)
-            sides = [
-                np.unique((ids * (2 * k) + shift + side)[side >= 0], return_counts=True)
-                for shift, side in ((0, before), (k, after))
-            ]
+            near_bytes = _neighbours(ids, n, k, before, after)
             del near, before, after, ids
-            keys, sums = (np.concatenate(x) for x in zip(*sides))
-            order_ = np.argsort(keys, kind="stable")
-            keys, sums = keys[order_], sums[order_]
-            entries = np.zeros(len(keys), NEAR)
-            entries["code"], entries["n"] = keys % (2 * k), sums
-            edges = np.searchsorted(keys, np.arange(n + 1) * (2 * k)) * NEAR.itemsize
-            near_bytes = pa.Array.from_buffers(
-                pa.binary(),
-                n,
-                [None, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(entries.tobytes())],
-            )
-            del keys, sums, entries, sides, order_
             none = pa.nulls(n, pa.binary())
             for first in range(0, n, 50_000):
                 last = min(n, first + 50_000)
@@ -267,12 +274,14 @@ def _log_transitions(table: np.ndarray, share: np.ndarray, pull: float) -> np.nd
     return np.log((table + pull * share) / (table.sum(axis=1, keepdims=True) + pull))
 
 
-ANSWERS = "b long, i int, n long, class int, x int, y int"
+ANSWERS = "b long, i int, h long, n long, class int, x int, y int"
 
 
 def _classify(frequent: np.ndarray, of: np.ndarray, weight: np.ndarray, prior: np.ndarray):
     """Rows sorted by word to answers for their chunks, and class statistics.
 
+    ``weight`` has a row for each code of a neighbour; frequent words keep ``of``.
+
     Statistics rows have b = -1: (x, -1) is the tokens, (x, -2) the words and
     (x, -3) the words seen once of a class."""
     place = {int(h): p for p, h in enumerate(frequent)}
@@ -317,12 +326,13 @@ def _classify(frequent: np.ndarray, of: np.ndarray, weight: np.ndarray, prior: n
                 [
                     pa.array(b),
                     pa.array(i, pa.int32()),
+                    pa.array(h),
                     pa.array(total[word]),
                     pa.array(best[word], pa.int32()),
                     pa.nulls(rows, pa.int32()),
                     pa.nulls(rows, pa.int32()),
                 ],
-                names=["b", "i", "n", "class", "x", "y"],
+                names=["b", "i", "h", "n", "class", "x", "y"],
             )
 
         held: list[pa.RecordBatch] = []
@@ -354,17 +364,63 @@ def _classify(frequent: np.ndarray, of: np.ndarray, weight: np.ndarray, prior: n
             [
                 pa.array(np.full(len(x), -1), pa.int64()),
                 pa.nulls(len(x), pa.int32()),
+                pa.nulls(len(x), pa.int64()),
                 pa.array(totals.reshape(-1)),
                 pa.nulls(len(x), pa.int32()),
                 pa.array(x, pa.int32()),
                 pa.array(y, pa.int32()),
             ],
-            names=["b", "i", "n", "class", "x", "y"],
+            names=["b", "i", "h", "n", "class", "x", "y"],
         )
 
     return classify
 
 
+CLASS_PIECES = "b long, i int, h long, n long, near binary, pairs array<long>"
+
+
+def _class_pieces(c: int):
+    """Rows of a chunk as those of ``_pieces``, where every neighbour is coded by
+    its class, and one row with the pairs of classes of its training texts."""
+
+    def pieces(answered: pa.Table, chunk: pa.Table) -> pa.Table:
+        head, ids = Chunk.unpack(chunk["docs"][0].as_py(), chunk["size"][0].as_py())
+        i, n = answered["i"].to_numpy(), len(answered)
+        class_of, h = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        class_of[i], h[i] = answered["class"].to_numpy(), answered["h"].to_numpy()
+        ids = ids[np.repeat(head[:, 2] == 0, head[:, 3])].astype(np.int64)
+        classes = class_of[ids]
+        before = np.r_[c - 1, classes[:-1]] if len(ids) else classes
+        after = np.r_[classes[1:], -1] if len(ids) else classes
+        pairs = np.bincount(before * c + classes, minlength=c * c)
+        near = _neighbours(ids, n, c, before, after)
+        lists = pa.list_(pa.int64())
+        rows = pa.table(
+            [
+                pa.array(np.full(n + 1, chunk["b"][0].as_py())),
+                pa.array(np.arange(-1, n), pa.int32()),
+                pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(h)]),
+                pa.array(np.r_[0, np.bincount(ids, minlength=n)]),
+                pa.concat_arrays([pa.nulls(1, pa.binary()), near]),
+                pa.concat_arrays([pa.array([pairs], lists), pa.nulls(n, lists)]),
+            ],
+            names=["b", "i", "h", "n", "near", "pairs"],
+        )
+        # in small batches, each of which Spark holds outside its heap
+        return pa.Table.from_batches(rows.to_batches(max_chunksize=50_000))
+
+    return pieces
+
+
+def _pair_table(pairs: DataFrame, c: int) -> np.ndarray:
+    """The sum of the class pairs of all chunks (array column ``pairs``)."""
+    table = np.zeros(c * c)
+    pair = pairs.select(F.posexplode("pairs").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n"))
+    for r in pair.collect():  # the square of the classes
+        table[r["at"]] = r["n"]
+    return table.reshape(c, c)
+
+
 CODED = (
     "doc_id array<long>, held_out array<boolean>, n_tokens array<long>, n_known array<long>,"
     " base array<double>, words array<double>, classes binary, size long, pairs array<long>"
@@ -483,18 +539,41 @@ def score_texts(
     log_next = _log_transitions(member.T @ bigrams @ member, share, PULL)
     # a word of class x after class y, and before class z
     weight = np.concatenate([log_next[of], log_next[:, of].T])
-    classify = _classify(frequent, of, weight, np.log(share))
-    answers = materialize(
-        words.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "h")
-        .sortWithinPartitions("h")
-        .mapInArrow(classify, ANSWERS),
-        "lm-answers",
-    )
     c = n_classes + 1
-    tokens = np.zeros(c)
-    for r in answers.where("y = -1").groupBy("x").agg(F.sum("n").alias("n")).collect():
-        tokens[r["x"]] = r["n"]
-    chunks = pieces.where("docs is not null").select("b", "docs", "size")
+
+    def classified(rows: DataFrame, weight: np.ndarray, share: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+        """Answers to the rows of all words, and the tokens of each class."""
+        made = materialize(
+            rows.select("b", "i", "h", "n", "near")
+            .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "h")
+            .sortWithinPartitions("h")
+            .mapInArrow(_classify(frequent, of, weight, np.log(share)), ANSWERS),
+            "lm-answers",
+        )
+        tokens = np.zeros(c)
+        for r in made.where("y = -1").groupBy("x").agg(F.sum("n").alias("n")).collect():
+            tokens[r["x"]] = r["n"]
+        return made, tokens
+
+    answers, tokens = classified(words, weight, share)
+    chunks = materialize(pieces.where("docs is not null").select("b", "docs", "size"), "lm-chunks")
+    drop_table(pieces)
+    # again, by the classes of all neighbours
+    by_class = materialize(
+        answers.where("b >= 0")
+        .select("b", "i", "h", "class")
+        .groupBy("b")
+        .cogroup(chunks.groupBy("b"))
+        .applyInArrow(_class_pieces(c), CLASS_PIECES),
+        "lm-class-pieces",
+    )
+    drop_table(answers)
+    share = (tokens + 1.0) / (tokens.sum() + c)
+    log_next = _log_transitions(_pair_table(by_class.where("i = -1"), c), share, PULL)
+    answers, tokens = classified(
+        by_class.where("i >= 0"), np.concatenate([log_next, log_next.T]), share
+    )
+    drop_table(by_class)
     coded = materialize(
         answers.where("b >= 0")
         .select("b", "i", "n", "class")
@@ -503,11 +582,8 @@ def score_texts(
         .applyInPandas(_code(c, n_all, n_distinct + 1), CODED),
         "lm-coded",
     )
-    table = np.zeros(c * c)
-    pair = coded.select(F.posexplode("pairs").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n"))
-    for r in pair.collect():  # the square of the classes
-        table[r["at"]] = r["n"]
-    table = table.reshape(c, c)
+    drop_table(answers)
+    table = _pair_table(coded, c)
     unseen = (n_once + 0.1) / (n_all + 0.2)
     shares = (tokens + 1e-9) / (tokens.sum() + 1e-9 * c)
     step = np.concatenate([_log_transitions(table, shares, PULL), np.log(shares)[None]])

@@ -177,6 +177,21 @@ def test_class_transitions_count_every_training_pair(spark):
         assert r["score"] == pytest.approx(score(tokens[r["doc_id"]]), abs=1e-4)
 
 
+def test_words_with_rare_neighbours_alone_are_placed(spark):
+    # p and a go before q and b; x stands between rare b's alone, y between rare a's
+    rnd = random.Random(2)
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0]
+    ids = (i for i in range(1000) if i not in held)
+    rows = [(held[0], "p0 b0 x0 b0 p0"), (held[1], "p0 b0 y0 b0 p0")]
+    for n in range(200):
+        k, p, q = n % 20, f"p{rnd.randrange(3)}", f"q{rnd.randrange(3)}"
+        rows.append((next(ids), " ".join([p, q] * 5 + [f"a{k}", q, p, f"b{k}", p, q])))
+        rows.append((next(ids), f"{p} b{k} x{k} b{k} {p} {q} a{k} y{k} a{k} {q}"))
+    got = class_lm.score_texts(frame(spark, rows), n_frequent=7, n_classes=2).where("held_out").collect()
+    score = {r["doc_id"]: r["score"] for r in got}
+    assert score[held[0]] > score[held[1]] + 0.5
+
+
 def test_exchange_never_lowers_the_likelihood():
     rnd = np.random.default_rng(3)
     bigrams = rnd.poisson(1.0, (30, 30)).astype(float)
