@@ -8,11 +8,18 @@ shingles, a longer prefix with more required matches is cheaper than
 verifying every document that shares one of them.  Pairs that meet their l
 are verified on the whole sets.
 
-Equal sets are one node from the start, and before the join every document is
-verified against the leaders of its smallest hashes.  The links found so join
-large groups of copies by a line for each member; the join then looks for
-links between different components only, so no group is expanded into all its
-pairs and no link between components is lost.
+Equal texts are one node from the start, equal sets are linked by a line for
+each text, and before the join every set is verified against the leaders of its
+smallest hashes.  The links found so join large groups of copies by a line for
+each member; the join then looks for links between different components only,
+so no group is expanded into all its pairs and no link between components is
+lost.
+
+Matches on very frequent shingles stand last in the order.  A pair that shares
+an earlier shingle is found there; any other pair must share all its matches
+among the very frequent ones, and a bitmap of these that each posting carries
+bounds how many they can be.  So a passage in very many documents hands on the
+pairs that may be similar, not every pair that holds it.
 """
 
 from __future__ import annotations
@@ -33,7 +40,9 @@ CELL_BITS = 22  # counters of the frequency sketch
 SLABS = 64  # parts in which sketches are added up
 MOST_MATCHES = 4  # largest l
 BITMAP_BITS = 22
-GRID = 2000  # postings of a frequent shingle that meet in one task
+GRID = 8192  # postings of a frequent shingle that meet in one task
+HOT_RANK = 6  # shingles of cells with 32 documents or more are very frequent
+HOT_WORDS = 4  # 64-bit words of the bitmap of a document's very frequent prefix shingles
 LEADERS = 4  # smallest hashes by which a document looks for leaders
 KEPT_WORDS = 1 << 19
 _MIX = np.uint64(0x9FB21C651E98DF25)
@@ -100,10 +109,13 @@ class Similarity:
         return self.den * both >= self.num * (len(a) + len(b) - both)
 
 
+SETS = "kind int, doc_id long, t long, n long, d1 long, d2 long, data binary"
+
+
 def _read_sets(size: int):
     """One pass over the texts: a row for each document, and the sketch.
 
-    kind 0: doc_id, n and digest (d1, d2);
+    kind 0: doc_id, t (the text's hash), n and digest (d1, d2);
     kind 1: slab number and its packed counters."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +124,7 @@ def _read_sets(size: int):
         shift = np.uint64(64 - CELL_BITS)
         for batch in batches:
             n_, d1, d2 = [], [], []
-            for text in batch.column(1).cast(pa.binary()):
+            for text in batch.column(2).cast(pa.binary()):
                 s = shingles(text.as_py())
                 n_.append(len(s))
                 data = s.tobytes()
@@ -125,27 +137,26 @@ def _read_sets(size: int):
                 [
                     pa.array(np.zeros(rows, np.int32)),
                     batch.column(0),
+                    batch.column(1),
                     pa.array(n_, pa.int64()),
                     pa.array(d1, pa.int64()),
                     pa.array(d2, pa.int64()),
                     pa.nulls(rows, pa.binary()),
                 ],
-                names=["kind", "doc_id", "n", "d1", "d2", "data"],
+                names=SETS.replace(",", "").split()[::2],
             )
         slab = len(cells) // SLABS
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.ones(SLABS, np.int32)),
                 pa.array(np.arange(SLABS)),
-                pa.nulls(SLABS, pa.int64()),
-                pa.nulls(SLABS, pa.int64()),
-                pa.nulls(SLABS, pa.int64()),
+                *[pa.nulls(SLABS, pa.int64())] * 4,
                 pa.array(
                     [zlib.compress(cells[k * slab : (k + 1) * slab].tobytes(), 1) for k in range(SLABS)],
                     pa.binary(),
                 ),
             ],
-            names=["kind", "doc_id", "n", "d1", "d2", "data"],
+            names=SETS.replace(",", "").split()[::2],
         )
 
     return read
@@ -173,25 +184,42 @@ def frequent_cells(sketch: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return hot, cells[hot]
 
 
+PREFIXES = "t long, n long, l int, cool int, prefix binary, low binary, ordinary long"
+
+
+class _Seen(set):
+    """Texts that a task has met lately: what it need not hand on again."""
+
+    def new(self, t: int) -> bool:
+        if t in self:
+            return False
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        self.add(t)
+        return True
+
+
 def _prefixes(size: int, like: Similarity, hot: np.ndarray, counts: np.ndarray):
-    """Each document's longest prefix in the global order and its chosen l, its
-    LEADERS smallest hashes and the number of its shingles in ordinary cells.
+    """Each text's longest prefix in the global order, its chosen l, how many
+    shingles of the prefix are not very frequent (``cool``), its LEADERS smallest
+    hashes and the number of its shingles in ordinary cells.
 
     The order: shingles of ordinary cells by hash, then those of frequent
-    cells by the logarithm of the count, then hash."""
+    cells by the logarithm of the count, then hash.  A task hands on a repeated
+    text once as a rule."""
     shift = np.uint64(64 - CELL_BITS)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(size)
+        shingles, seen = Shingler(size), _Seen()
         count_of = np.zeros(1 << CELL_BITS, np.int64)
         count_of[hot] = counts
         rank_of = np.zeros(1 << CELL_BITS, np.int8)
         rank_of[hot] = np.log2(np.maximum(counts, 1)).astype(np.int8) + 1
         for batch in batches:
-            columns = [[], [], [], [], [], []]
-            for doc_id, text in zip(
-                batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
-            ):
+            columns = [[] for _ in range(7)]
+            for t, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+                if not seen.new(t):
+                    continue
                 s = shingles(text.as_py())
                 n = len(s)
                 if not n:
@@ -207,113 +235,161 @@ def _prefixes(size: int, like: Similarity, hot: np.ndarray, counts: np.ndarray):
                     n - least + l + expected[: n - least + l].sum() * (1 + 50 / l)
                     for l in range(1, most + 1)
                 ]
-                columns[0].append(doc_id)
-                columns[1].append(n)
-                columns[2].append(int(np.argmin(cost)) + 1)
                 grid = np.maximum(1, -(-count_of[cell[order]] // GRID))
-                columns[3].append(
-                    s[order].tobytes() + np.minimum(grid, 30_000).astype("<u2").tobytes()
+                own = (
+                    t,
+                    n,
+                    int(np.argmin(cost)) + 1,
+                    int((rank_of[cell[order]] < HOT_RANK).sum()),
+                    s[order].tobytes() + grid.astype("<u4").tobytes(),
+                    s[:LEADERS].tobytes(),
+                    int((rank_of[cell] == 0).sum()),
                 )
-                columns[4].append(s[:LEADERS].tobytes())
-                columns[5].append(int((rank_of[cell] == 0).sum()))
+                for column, value in zip(columns, own):
+                    column.append(value)
+            kinds = pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(c, t)
-                    for c, t in zip(
-                        columns,
-                        (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64()),
-                    )
-                ],
-                names=["doc_id", "n", "l", "prefix", "low", "ordinary"],
+                [pa.array(c, t) for c, t in zip(columns, kinds)],
+                names=PREFIXES.replace(",", "").split()[::2],
             )
 
     return prefixes
 
 
-POSTING = "key long, id long, component long, n int, place int, l int, role int"
+_HOT_BITS = [f"h{k}" for k in range(HOT_WORDS)]
+POSTING = (
+    "key long, id long, component long, n int, place int, l int, role int, cool int, length int, "
+    + ", ".join(f"{x} long" for x in _HOT_BITS)
+)
+POSTING_NAMES = POSTING.replace(",", "").split()[::2]
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bitmap(hashes: np.ndarray) -> np.ndarray:
+    """HOT_WORDS words with a bit for each of some shingles."""
+    bit = (_mix(hashes) >> np.uint64(8)) % np.uint64(64 * HOT_WORDS)
+    out = np.zeros(HOT_WORDS, np.uint64)
+    np.bitwise_or.at(out, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out.view(np.int64)
+
+
+def _postings(like: Similarity):
     """One row for each prefix shingle; those of frequent ones in a grid.
 
     In the grid of a frequent shingle a document stands in one row of cells
     for its larger role (bit 1) and one column for its smaller role (bit 2):
-    any two documents meet in exactly one cell for each pair of roles."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, 512):
-            part = batch.slice(start, 512)
-            out = [[] for _ in range(7)]
-            ids, ns, ls, comps = (
-                part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 4)
-            )
-            for k in range(part.num_rows):
-                data = part.column(3)[k].as_py()
-                m = len(data) // 10
-                keys = np.frombuffer(data, np.uint64, m)
-                grid = np.frombuffer(data, "<u2", m, 8 * m).astype(np.int64)
-                places = np.arange(m)
-                role = np.full(m, 3)
-                wide = np.flatnonzero(grid > 1)
-                if len(wide):
-                    narrow = np.flatnonzero(grid == 1)
-                    more = [(keys[narrow], narrow, role[narrow])]
-                    own = zlib.crc32(int(ids[k]).to_bytes(8, "little", signed=True))
-                    for w in wide:
-                        g = int(grid[w])
-                        across = np.arange(g, dtype=np.uint64)
-                        mine = np.uint64(own % g)
-                        side = np.uint64(g)
-                        for bit, cell in ((1, mine * side + across), (2, across * side + mine)):
-                            more.append(
-                                (_mix(keys[w] + (cell + np.uint64(1)) * _MIX), np.full(g, w), np.full(g, bit))
-                            )
-                    keys, places, role = (np.concatenate(x) for x in zip(*more))
-                size = len(keys)
-                for column, value in zip(
-                    out,
-                    (
+    any two documents meet in exactly one cell for each pair of roles.  Rows of
+    very frequent shingles carry the bitmap of all of these in the prefix, and
+    stand only where the first of a pair's matches can be."""
+    kinds = [pa.int64()] * 3 + [pa.int32()] * 6 + [pa.int64()] * HOT_WORDS
+
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                out = [[] for _ in kinds]
+                ids, ns, ls, cools, comps = (
+                    part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3, 5)
+                )
+                for k in range(part.num_rows):
+                    data = part.column(4)[k].as_py()
+                    m, n, cool = len(data) // 12, int(ns[k]), int(cools[k])
+                    keys = np.frombuffer(data, np.uint64, m)
+                    grid = np.frombuffer(data, "<u4", m, 8 * m).astype(np.int64)
+                    bits = _bitmap(keys[cool:])
+                    places = np.arange(m)
+                    hot = places >= cool
+                    role = np.where(hot & (places > n - like.least_probe(n)), 0, 1)
+                    role |= np.where(hot & (places > n - like.least_index(n)), 0, 2)
+                    there = role > 0
+                    keys, grid, places, role = keys[there], grid[there], places[there], role[there]
+                    wide = np.flatnonzero(grid > 1)
+                    if len(wide):
+                        narrow = np.flatnonzero(grid == 1)
+                        more = [(keys[narrow], places[narrow], role[narrow])]
+                        own = zlib.crc32(int(ids[k]).to_bytes(8, "little", signed=True))
+                        for w in wide:
+                            g = int(grid[w])
+                            across = np.arange(g, dtype=np.uint64)
+                            mine, side = np.uint64(own % g), np.uint64(g)
+                            for bit, cell in ((1, mine * side + across), (2, across * side + mine)):
+                                if role[w] & bit:
+                                    more.append(
+                                        (
+                                            _mix(keys[w] + (cell + np.uint64(1)) * _MIX),
+                                            np.full(g, places[w]),
+                                            np.full(g, bit),
+                                        )
+                                    )
+                        keys, places, role = (np.concatenate(x) for x in zip(*more))
+                    size = len(keys)
+                    hot = places >= cool
+                    row = [
                         keys.view(np.int64),
-                        np.full(size, ids[k]),
-                        np.full(size, comps[k]),
-                        np.full(size, ns[k]),
+                        *(np.full(size, x) for x in (ids[k], comps[k], n)),
                         places,
                         np.full(size, ls[k]),
                         role,
-                    ),
-                ):
-                    column.append(value)
-            if out[0]:
-                kinds = [pa.int64()] * 3 + [pa.int32()] * 4
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c), t) for c, t in zip(out, kinds)],
-                    names=["key", "id", "component", "n", "place", "l", "role"],
-                )
+                        *(np.full(size, x) for x in (cool, m)),
+                        *(np.where(hot, x, 0) for x in bits),
+                    ]
+                    for column, value in zip(out, row):
+                        column.append(value)
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(c), t) for c, t in zip(out, kinds)],
+                        names=POSTING_NAMES,
+                    )
+
+    return postings
+
+
+MATCHES = "x long, y long, l int, hits int, later int, rest_x int, rest_y int, need int"
 
 
 def _meet(like: Similarity):
     """Postings sorted by key to matches (larger, smaller, l), with what is left
-    of either set behind the match and what the pair needs to share."""
+    of either set behind the match and what the pair needs to share.
+
+    ``hits`` counts towards l: one for a match, l for a match among the very
+    frequent shingles, whose bitmaps have told that the pair may reach l there;
+    ``later`` bounds the matches among these for a pair that is found before."""
 
     def candidates(a: np.ndarray, b: np.ndarray, c: dict[str, np.ndarray]) -> np.ndarray:
         """Which of the row pairs (a larger, b smaller) may be similar."""
         n, m = c["n"][a], c["n"][b]
-        p, r = c["place"][a], c["place"][b]
-        l = c["l"][a]
         fits = (c["role"][a] & 1 > 0) & (c["role"][b] & 2 > 0)
         fits &= (n > m) | ((n == m) & (c["id"][a] > c["id"][b]))
         fits &= c["component"][a] != c["component"][b]
         fits &= like.den * m >= like.num * n
-        fits &= (p < n - like.least_probe(n) + l) & (r < m - like.least_index(m) + l)
+        left = np.flatnonzero(fits)
+        a, b, n, m = a[left], b[left], n[left], m[left]
+        p, r, l, need = c["place"][a], c["place"][b], c["l"][a], like.least_pair(n, m)
+        hot = p >= c["cool"][a]
+        # similar sets share l shingles, the first of them one, this near the front
+        reach = np.where(hot, 1, l)
+        ok = (p < n - need + reach) & (r < m - need + reach)
         # what may be shared before, here and after this shingle
-        most = np.minimum(p, r) + 1 + np.minimum(n - p, m - r) - 1
-        return fits & (most >= like.least_pair(n, m))
+        ok &= np.minimum(p, r) + np.minimum(n - p, m - r) >= need
+        hot = np.flatnonzero(hot & ok)
+        a, b, n, m = a[hot], b[hot], n[hot], m[hot]
+        shared, alone_a, alone_b = (np.zeros(len(hot), np.int64) for _ in range(3))
+        for word in _HOT_BITS:
+            x, y = c[word][a].view(np.uint64), c[word][b].view(np.uint64)
+            shared += np.bitwise_count(x & y)
+            alone_a += np.bitwise_count(x)
+            alone_b += np.bitwise_count(y)
+        # shingles that fell on one bit may be shared too
+        shared += np.minimum(
+            c["length"][a] - c["cool"][a] - alone_a, c["length"][b] - c["cool"][b] - alone_b
+        )
+        beyond = np.maximum(n - c["length"][a], m - c["length"][b])
+        ok[hot] = (shared >= l[hot]) & (shared + beyond >= need[hot])
+        return left[ok]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "id", "component", "n", "place", "l", "role"]
-
         def pairs(parts):
             t = pa.Table.from_batches(parts)
-            c = {x: t.column(x).to_numpy().astype(np.int64) for x in names}
+            c = {x: t.column(x).to_numpy().astype(np.int64) for x in POSTING_NAMES}
             key = c["key"]
             edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
             length = np.diff(edge)
@@ -331,6 +407,8 @@ def _meet(like: Similarity):
                 else:
                     for f in first:
                         every = np.arange(f, f + size)
+                        if (c["component"][every] == c["component"][f]).all():
+                            continue
                         for k in range(0, size, max(1, (1 << 20) // size)):
                             own = every[k : k + max(1, (1 << 20) // size)]
                             a, b = np.repeat(own, size), np.tile(every, len(own))
@@ -338,17 +416,22 @@ def _meet(like: Similarity):
                             found.append((a[ok], b[ok]))
             if found:
                 a, b = (np.concatenate(x) for x in zip(*found))
-                n, m, need = c["n"][a], c["n"][b], like.least_pair(c["n"][a], c["n"][b])
+                n, m, l = c["n"][a], c["n"][b], c["l"][a]
+                hot = c["place"][a] >= c["cool"][a]
+                later = np.minimum(c["length"][a] - c["cool"][a], c["length"][b] - c["cool"][b])
+                out = [
+                    c["id"][a],
+                    c["id"][b],
+                    l,
+                    np.where(hot, l, 1),
+                    later,
+                    n - c["place"][a] - 1,
+                    m - c["place"][b] - 1,
+                    like.least_pair(n, m),
+                ]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(c["id"][a]),
-                        pa.array(c["id"][b]),
-                        pa.array(c["l"][a], pa.int32()),
-                        pa.array(n - c["place"][a] - 1, pa.int32()),
-                        pa.array(m - c["place"][b] - 1, pa.int32()),
-                        pa.array(need, pa.int32()),
-                    ],
-                    names=["x", "y", "l", "rest_x", "rest_y", "need"],
+                    [pa.array(x, pa.int64() if k < 2 else pa.int32()) for k, x in enumerate(out)],
+                    names=MATCHES.replace(",", "").split()[::2],
                 )
 
         held: list[pa.RecordBatch] = []
@@ -393,7 +476,7 @@ def _id_bitmap(pairs: DataFrame) -> np.ndarray:
     """A bitmap of fixed size over the ids in ``pairs``: no id is missed."""
     words = (
         pairs.select(F.explode(F.array("x", "y")).alias("id"))
-        .select(F.pmod(F.xxhash64("id"), F.lit(1 << BITMAP_BITS)).alias("bit"))
+        .select(F.pmod("id", F.lit(1 << BITMAP_BITS)).alias("bit"))
         .groupBy(F.shiftright("bit", 5).alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("bits"))
         .toArrow()  # at most 2^17 words
@@ -408,28 +491,31 @@ def _in_bitmap(bitmap: np.ndarray, at: pa.Array) -> pa.Array:
     return pa.array((bitmap[at >> 5] >> (at & 31)) & 1 > 0)
 
 
-def verify_pairs(docs: DataFrame, pairs: DataFrame, size: int, like: Similarity) -> DataFrame:
+def verify_pairs(texts: DataFrame, pairs: DataFrame, size: int, like: Similarity) -> DataFrame:
     """Those of ``pairs`` (x, y) whose whole sets are similar, as links (a, b).
 
-    First the sets' profiles are compared, which bound what two sets share and
-    are much smaller than texts; only the texts of pairs that may still be
-    similar travel, and their whole sets are compared."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP_BITS)).alias("place")
+    ``texts`` has t, the text's hash by which pairs name it, and text.  First
+    the sets' profiles are compared, which bound what two sets share and are
+    much smaller than texts; only the texts of pairs that may still be similar
+    travel, and their whole sets are compared.  Tables are written before they
+    are joined, so that Spark can split the join where one text has very many
+    pairs."""
+    place = F.pmod("t", F.lit(1 << BITMAP_BITS)).alias("place")
     bitmap = _id_bitmap(pairs)
 
     def involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(size)
+        shingles, seen = Shingler(size), _Seen()
         for batch in batches:
             part = batch.filter(_in_bitmap(bitmap, batch.column(2)))
+            part = part.filter(pa.array([seen.new(t) for t in part.column(0).to_pylist()], pa.bool_()))
             profiles = [_profile(shingles(t.as_py())) for t in part.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(profiles, pa.binary())],
-                names=["doc_id", "text", "profile"],
+                [part.column(0), pa.array(profiles, pa.binary())], names=["t", "profile"]
             )
 
-    texts = docs.where("doc_id is not null").select("doc_id", "text", place)
-    texts = materialize(
-        texts.mapInArrow(involved, "doc_id long, text string, profile binary"), "pair-texts"
+    profiles = materialize(
+        texts.select("t", "text", place).mapInArrow(involved, "t long, profile binary").dropDuplicates(["t"]),
+        "profiles",
     )
 
     def rough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,7 +526,6 @@ def verify_pairs(docs: DataFrame, pairs: DataFrame, size: int, like: Similarity)
                 keep.append(most >= like.least_pair(n, m))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    profiles = texts.select("doc_id", "profile").dropDuplicates(["doc_id"])
     close = materialize(
         pairs.join(profiles.toDF("x", "px"), "x")
         .join(profiles.toDF("y", "py"), "y")
@@ -448,11 +533,14 @@ def verify_pairs(docs: DataFrame, pairs: DataFrame, size: int, like: Similarity)
         .mapInArrow(rough, "x long, y long"),
         "close-pairs",
     )
+    drop_table(profiles)
     near = _id_bitmap(close)
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
         for batch in batches:
-            yield batch.select([0, 1]).filter(_in_bitmap(near, batch.column(2)))
+            part = batch.select([0, 1]).filter(_in_bitmap(near, batch.column(2)))
+            yield part.filter(pa.array([seen.new(t) for t in part.column(0).to_pylist()], pa.bool_()))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(size)
@@ -470,10 +558,9 @@ def verify_pairs(docs: DataFrame, pairs: DataFrame, size: int, like: Similarity)
                 [pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]
             )
 
-    whole = (
-        texts.select("doc_id", "text", place)
-        .mapInArrow(needed, "doc_id long, text string")
-        .dropDuplicates(["doc_id"])
+    whole = materialize(
+        texts.select("t", "text", place).mapInArrow(needed, "t long, text string").dropDuplicates(["t"]),
+        "pair-texts",
     )
     joined = (
         close.join(whole.toDF("x", "tx"), "x")
@@ -481,7 +568,7 @@ def verify_pairs(docs: DataFrame, pairs: DataFrame, size: int, like: Similarity)
         .select("x", "y", "tx", "ty")
     )
     links = materialize(joined.mapInArrow(check, "a long, b long"), "pair-links")
-    drop_table(texts)
+    drop_table(whole)
     drop_table(close)
     return links
 
@@ -497,58 +584,56 @@ def jaccard_components(
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id reachable by
     links, itself included) and class_id (the smallest doc_id with the same
-    set).  A null or empty text has no shingles and is linked with nothing; a
-    row without doc_id gets null component and class ids; rows that repeat a
-    doc_id count as one document with the links of its rows' texts, each row
-    given back (its text in pair checks is any one of them); an empty table
-    gives an empty result; other columns are not read.  Shingles are told
-    apart by a 64-bit hash.
+    set).  A null or empty text has no shingles and is linked with nothing.
+    Every row is a document of its own: rows that repeat a doc_id have the
+    links of their own texts, and each has the smallest doc_id that it reaches,
+    by rows without doc_id too; those get the ids of their class and component,
+    null where no row of it has one.  An empty table gives an empty result;
+    other columns are not read.  Shingles, and texts, are told apart by a
+    64-bit hash.
     """
     spark = docs.sparkSession
     like = Similarity(num, den)
-    texts = docs.select("doc_id", "text")
-    read = materialize(
-        texts.mapInArrow(
-            _read_sets(size), "kind int, doc_id long, n long, d1 long, d2 long, data binary"
-        ),
-        "sets",
-    )
-    sets = read.where("kind = 0").select("doc_id", "n", "d1", "d2")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    read = materialize(texts.mapInArrow(_read_sets(size), SETS), "sets")
+    sets = read.where("kind = 0").select("doc_id", "t", "n", "d1", "d2")
     hot, counts = frequent_cells(read.where("kind = 1").select("doc_id", "data"))
-    prefixes = materialize(
-        texts.where("doc_id is not null").mapInArrow(
-            _prefixes(size, like, hot, counts),
-            "doc_id long, n long, l int, prefix binary, low binary, ordinary long",
-        ),
-        "prefixes",
-    )
+    texts = texts.select("t", "text")
 
-    with_class = sets.where("n > 0 and doc_id is not null")
+    with_class = sets.where("n > 0")
     heads = materialize(
-        with_class.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id")), "classes"
+        with_class.groupBy("n", "d1", "d2").agg(F.min("t").alias("head"), F.min("doc_id").alias("class_id")),
+        "classes",
+    )
+    raw = texts.mapInArrow(_prefixes(size, like, hot, counts), PREFIXES)
+    prefixes = materialize(
+        raw.join(heads.select(F.col("head").alias("t")), "t", "left_semi").dropDuplicates(["t"]),
+        "prefixes",
     )
     # Each class against the leaders of its smallest hashes: the texts with the
     # fewest rare shingles, which stand in the middle of a group of near copies.
     hashes = (F.octet_length("low") / 8).cast("int")
-    low = (
-        prefixes.join(heads.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
-        .select(F.col("doc_id").alias("x"), "ordinary", "low", F.explode(F.sequence(F.lit(1), hashes)).alias("k"))
-        .select("x", "ordinary", F.expr("substring(low, 8 * k - 7, 8)").alias("hash"))
+    low = prefixes.select(
+        F.col("t").alias("x"), "ordinary", "low", F.explode(F.sequence(F.lit(1), hashes)).alias("k")
+    ).select("x", "ordinary", F.expr("substring(low, 8 * k - 7, 8)").alias("hash"))
+    leaders = low.groupBy("hash").agg(F.min(F.struct("ordinary", "x")).alias("first"), F.count("*").alias("n"))
+    leaders = materialize(
+        leaders.where("n > 1").select("hash", F.col("first.x").alias("y")), "leaders"
     )
-    leaders = low.groupBy("hash").agg(F.min(F.struct("ordinary", "x")).alias("first"))
-    leaders = leaders.select("hash", F.col("first.x").alias("y"))
     star = low.select("x", "hash").join(leaders, "hash").where("x <> y").select("x", "y").distinct()
     star = materialize(star, "leader-pairs")
-    star_links = verify_pairs(docs, star, size, like)
+    drop_table(leaders)
+    star_links = verify_pairs(texts, star, size, like)
+    drop_table(star)
     grouped = connected_components(star_links, tag="leader-components")
 
-    members = heads.select(F.col("class_id").alias("doc_id")).join(
-        grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left"
-    ).select("doc_id", F.coalesce("component", "doc_id").alias("component"))
+    members = heads.select(F.col("head").alias("t")).join(
+        grouped.withColumnRenamed("node", "t"), "t", "left"
+    ).select("t", F.coalesce("component", "t").alias("component"))
     postings = (
-        prefixes.join(members, "doc_id")
-        .select("doc_id", "n", "l", "prefix", "component")
-        .mapInArrow(_postings, POSTING)
+        prefixes.join(members, "t")
+        .select("t", "n", "l", "cool", "prefix", "component")
+        .mapInArrow(_postings(like), POSTING)
         .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
         .sortWithinPartitions("key")
     )
@@ -556,30 +641,44 @@ def jaccard_components(
     # either set, and all that is shared before it has been counted.
     most = F.count("*") + F.least(F.min("rest_x"), F.min("rest_y"))
     met = (
-        postings.mapInArrow(
-            _meet(like), "x long, y long, l int, rest_x int, rest_y int, need int"
-        )
+        postings.mapInArrow(_meet(like), MATCHES)
         .groupBy("x", "y")
-        .agg(F.count("*").alias("n"), F.max("l").alias("l"), most.alias("most"), F.max("need").alias("need"))
-        .where("n >= l and most >= need")
+        .agg(
+            F.sum("hits").alias("n"),
+            F.max("later").alias("later"),
+            F.max("l").alias("l"),
+            most.alias("most"),
+            F.max("need").alias("need"),
+        )
+        .where("n + later >= l and most >= need")
         .select("x", "y")
     )
-    links = verify_pairs(docs, materialize(met, "candidates"), size, like)
-    joined = connected_components(
-        links.union(star_links)
-        .union(with_class.join(heads, ["n", "d1", "d2"]).select("doc_id", "class_id"))
-        .where("a <> b"),
-        tag="components",
+    met = materialize(met, "candidates")
+    drop_table(prefixes)
+    links = verify_pairs(texts, met, size, like)
+    drop_table(met)
+    joined = connected_components(links.union(star_links), tag="components")
+    drop_table(links)
+    drop_table(star_links)
+    drop_table(grouped)
+    # component and smallest id of each set, then of each component
+    nodes = materialize(
+        heads.join(joined.withColumnRenamed("node", "head"), "head", "left").select(
+            "n", "d1", "d2", "class_id", F.coalesce("component", "head").alias("component")
+        ),
+        "nodes",
     )
-    return (
-        sets.join(heads, ["n", "d1", "d2"], "left")
-        .join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        .select(
-            "doc_id",
-            F.col("n").alias("n_shingles"),
-            F.coalesce("component", "doc_id").alias("component_id"),
-            F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"),
-        )
+    smallest = materialize(
+        nodes.groupBy("component").agg(F.min("class_id").alias("component_id")), "smallest"
+    )
+    named = materialize(nodes.join(smallest, "component").drop("component"), "named")
+    for table in (nodes, smallest, heads, joined):
+        drop_table(table)
+    return sets.join(named, ["n", "d1", "d2"], "left").select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.coalesce("class_id", "doc_id").alias("class_id"),
     )
 
 

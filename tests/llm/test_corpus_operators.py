@@ -60,26 +60,31 @@ def test_join_equals_brute_force(spark, size, num, den):
     assert len(got) == len(rows)
 
 
-def test_join_with_frequent_shingles_in_a_grid(spark, monkeypatch):
+@pytest.mark.parametrize("hot_rank, most", [(6, 4), (1, 4), (3, 1)])
+def test_join_with_frequent_shingles_in_a_grid(spark, monkeypatch, hot_rank, most):
+    import pyarrow as pa
+
     monkeypatch.setattr(neardup, "GRID", 3)
+    monkeypatch.setattr(neardup, "HOT_RANK", hot_rank)
+    monkeypatch.setattr(neardup, "MOST_MATCHES", most)
     rows = near_copies(4, 10)
-    texts = frame(spark, rows)
+    texts = frame(spark, rows).selectExpr("doc_id as t", "text")
+    rnd = np.random.default_rng(1)
     hot = np.arange(1 << neardup.CELL_BITS)
-    counts = np.full(len(hot), 8)
+    counts = rnd.integers(1, 40, len(hot)) if hot_rank == 3 else np.full(len(hot), 8)
     like = neardup.Similarity(8, 10)
-    prefixes = [*neardup._prefixes(5, like, hot, counts)(texts.select("doc_id", "text").toArrow().to_batches())]
-    import pyarrow as pa
-
+    prefixes = [*neardup._prefixes(5, like, hot, counts)(texts.toArrow().to_batches())]
     whole = pa.Table.from_batches(prefixes).to_pandas()
-    whole["component"] = whole["doc_id"]
-    whole = whole[["doc_id", "n", "l", "prefix", "component"]]
+    whole["component"] = whole["t"]
+    whole = whole[["t", "n", "l", "cool", "prefix", "component"]]
     batch = pa.RecordBatch.from_pandas(whole, preserve_index=False)
-    posts = pa.Table.from_batches([*neardup._postings(iter([batch]))]).sort_by("key")
-    pairs = collections.Counter()
+    posts = pa.Table.from_batches([*neardup._postings(like)(iter([batch]))]).sort_by("key")
+    hits, wanted = collections.Counter(), {}
     for out in neardup._meet(like)(iter(posts.to_batches(max_chunksize=97))):
-        for x, y, l in zip(*(out.column(k).to_pylist() for k in range(3))):
-            pairs[x, y, l] += 1
-    found = {frozenset(p[:2]) for p, n in pairs.items() if n >= p[2]}
+        for r in out.to_pylist():
+            hits[r["x"], r["y"]] += r["hits"]
+            wanted[r["x"], r["y"]] = r["l"] - r["later"]
+    found = {frozenset(p) for p, n in hits.items() if n >= wanted[p]}
     shingles = neardup.Shingler(5)
     sets = {i: shingles(t.encode()) for i, t in rows}
     for i in sets:
@@ -88,13 +93,47 @@ def test_join_with_frequent_shingles_in_a_grid(spark, monkeypatch):
                 assert frozenset((i, j)) in found
 
 
+def test_passages_in_many_documents_hand_on_few_pairs(spark):
+    """Documents that share a frequent passage, and are else different."""
+    passage = prose(5000, 12)
+    rows = [(k, passage + " " + prose(6000 + k, 20)) for k in range(300)] + near_copies(3, 5)
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    got = neardup.jaccard_components(frame(spark, rows), 4, 85, 100).collect()
+    expected = brute_components(rows, 4, 85, 100)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == expected
+
+
+def test_rows_that_repeat_an_id_keep_the_links_of_their_texts(spark):
+    rnd = random.Random(8)
+    rows, groups = [], []
+    for g in range(20):
+        a, b = prose(100 + g, 80), prose(500 + g, 80)
+        near = [" ".join(w if k != 3 else "zz" for k, w in enumerate(t.split())) for t in (a, b)]
+        i = 10 * g
+        # the id 10g + 5 has two texts: one near 10g + 6, one near 10g + 7
+        rows += [(i + 5, a), (i + 5, b), (i + 6, near[0]), (i + 7, near[1]), (None, b), (i + 1, near[1] + " end")]
+        groups.append((i, a, b, near))
+    rnd.shuffle(rows)
+    got = collections.defaultdict(set)
+    docs = frame(spark, rows)
+    out = neardup.jaccard_components(docs).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        got[r["doc_id"]].add(r["component_id"])
+    for i, *_ in groups:
+        assert got[i + 6] == {i + 5}
+        assert got[i + 7] == got[i + 1] == {i + 1}
+        assert got[i + 5] == {i + 1, i + 5}
+    assert got[None] == {i + 1 for i, *_ in groups}
+
+
 def test_join_odd_rows(spark):
     docs = spark.createDataFrame(odd_rows(), SCHEMA)
     got = neardup.jaccard_components(docs).collect()
     assert len(got) == len(odd_rows())
     by_id = {r["doc_id"]: r for r in got}
     assert by_id[0]["component_id"] == 0 and by_id[0]["n_shingles"] == 0
-    assert by_id[5]["component_id"] == 4 and by_id[None]["component_id"] is None
+    assert by_id[5]["component_id"] == 4 and by_id[None]["component_id"] is None and by_id[None]["n_shingles"] > 0
     assert neardup.jaccard_components(empty(spark)).count() == 0
 
 
