@@ -21,9 +21,10 @@ from .common import read_table
 
 Q = 12  # characters of a q-gram, but for short items
 EDIT_SHARE = 0.05  # edits allowed, as a share of an item's length
-BLOCK_CHARS = 2_000_000  # benchmark text that is sent to the executors at once
+BLOCK_CHARS = 8_000_000  # benchmark text that is sent to the executors, and searched, at once
 TEXT_CHARS = 1 << 20  # text that is searched at once
 TABLE_BITS = 22
+PAIRS_AT_ONCE = 1 << 20  # shared q-grams that are listed at a time
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -49,38 +50,47 @@ def gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
     return h * _FACTOR
 
 
-def banded_alignment(item: np.ndarray, text: np.ndarray, k: int) -> tuple[int, int, int] | None:
+def banded_alignment(
+    item: np.ndarray, text: np.ndarray, k: int, low: int, high: int
+) -> tuple[int, int, int] | None:
     """Best place of ``item`` within ``text`` at no more than k edits.
 
-    ``text`` is the stretch that a band covers, so every diagonal of it is
-    computed and none outside.  Returns (edits, start, end) in ``text``, the
+    Only the cells on the diagonals ``low`` to ``high`` (text position less
+    item position) are computed.  Returns (edits, start, end) in ``text``, the
     leftmost of the best, or None.
     """
-    width = len(text) + 1
+    width, size, never = high - low + 1, len(text), len(item) + 2
     steps = np.arange(width)
-    row = np.zeros(width, np.int64)
-    came = steps.copy()  # where the alignment that ends here began
-    for code in item:
-        change = row[:-1] + (text != code)
-        skip = row[1:] + 1
-        new = np.empty(width, np.int64)
-        new[0] = row[0] + 1
-        new[1:] = np.minimum(change, skip)
-        start = np.empty(width, np.int64)
-        start[0] = came[0]
-        start[1:] = np.where(change <= skip, came[:-1], came[1:])
+    # text with room for the diagonals that run out of it on either side
+    room = np.full(size + len(item) + 2 * width + abs(low) + abs(high), -1, np.int64)
+    shift = max(0, -low) + 1
+    room[shift : shift + size] = text
+    came = steps + low  # where the alignment of a cell began
+    row = np.where((came >= 0) & (came <= size), 0, never)
+    for i, code in enumerate(item, 1):
+        before = i + low - 1  # the text position that the first diagonal reads
+        change = row + (room[shift + before : shift + before + width] != code)
+        skip = np.r_[row[1:] + 1, never]
+        new = np.minimum(change, skip)
+        start = np.where(change <= skip, came, np.r_[came[1:], 0])
+        first, last = -i - low, size - i - low  # diagonals within the text
+        if first > 0 or last < width - 1:
+            new[: max(first, 0)] = never
+            new[max(last + 1, 0) :] = never
         # insertions: the best earlier cell plus its distance
         lowest = np.minimum.accumulate(new - steps)
         better = lowest + steps < new
         if better.any():
             source = np.maximum.accumulate(np.where(new - steps == lowest, steps, 0))
             start = np.where(better, start[source], start)
-            new = lowest + steps
+            new = np.minimum(lowest + steps, never)
+            if last < width - 1:
+                new[max(last + 1, 0) :] = never
         row, came = new, start
         if row.min() > k:
             return None
-    end = int(row.argmin())
-    return (int(row[end]), int(came[end]), end) if row[end] <= k else None
+    best = int(row.argmin())
+    return (int(row[best]), int(came[best]), best + low + len(item))
 
 
 @dataclass
@@ -102,8 +112,8 @@ class ItemIndex:
         self.need = np.array([m + 1 - q - k * q for m, k in zip(sizes, self.edits)])
         grams = [gram_hashes(c, q) for c in self.codes]
         every = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, int)
+        item = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])
+        place = np.concatenate([np.arange(len(g), dtype=np.int32) for g in grams]) if grams else item
         order = np.argsort(every, kind="stable")
         self.hashes, self.item, self.place = every[order], item[order], place[order]
         self.table = np.zeros(1 << TABLE_BITS, bool)
@@ -125,39 +135,26 @@ class ItemIndex:
         at, low, n = at[keep], low[keep], n[keep]
         if not len(at):
             return found
-        # every pair of a text position and an item position with one q-gram
-        first = np.cumsum(n) - n
-        row = np.repeat(low - first, n) + np.arange(n.sum())
-        at = np.repeat(at, n)
-        item, diagonal = self.item[row], at - self.place[row]
-        text = np.searchsorted(starts, at, "right") - 1
-        stride = self.edits[item] + 1
-        # a diagonal is in two bands, each two strides wide
-        base = codes.size + 1
-        lower = (diagonal + base) // stride
-        key = np.concatenate([lower - 1, lower])
-        item, text = np.concatenate([item, item]), np.concatenate([text, text])
-        order = np.lexsort((key, item, text))
-        key, item, text = key[order], item[order], text[order]
-        new = np.r_[True, (key[1:] != key[:-1]) | (item[1:] != item[:-1]) | (text[1:] != text[:-1])]
-        edge = np.flatnonzero(new)
-        count = np.diff(np.r_[edge, len(key)])
-        edge = edge[count >= self.need[item[edge]]]
+        bands, counts = self._bands(at, low, n, starts, codes.size + 1)
+        items, texts_of, bands = self._unpack(bands, codes.size + 1, len(texts))
+        enough = np.flatnonzero(counts >= self.need[items])
         seen: set[tuple[int, int, int]] = set()
-        for e in edge:
-            i, t = int(item[e]), int(text[e])
+        for i, t, band in zip(*(x[enough].tolist() for x in (items, texts_of, bands))):
             k, m = int(self.edits[i]), len(self.codes[i])
-            left = int(key[e]) * (k + 1) - base
-            begin = max(int(starts[t]), left - k)
-            end = min(int(starts[t]) + len(texts[t]), left + 2 * (k + 1) + m + k)
-            a = texts[t].find(self.texts[i], begin - int(starts[t]), end - int(starts[t]))
+            left = band * (k + 1) - codes.size - 1  # the band's first diagonal
+            origin, length = int(starts[t]), len(texts[t])
+            begin = max(origin, left - k)
+            end = min(origin + length, left + 2 * (k + 1) + m + k)
+            a = texts[t].find(self.texts[i], begin - origin, end - origin)
             if a >= 0:  # without edits: nothing to align
-                match = (0, a + int(starts[t]) - begin, a + m + int(starts[t]) - begin)
+                match = (0, a + origin - begin, a + m + origin - begin)
             else:
-                match = banded_alignment(self.codes[i], codes[begin:end], k)
+                match = banded_alignment(
+                    self.codes[i], codes[begin:end], k, left - k - begin, left + 2 * k + 1 + k - begin
+                )
             if match:
                 edits, a, b = match
-                a, b = a + begin - int(starts[t]), b + begin - int(starts[t])
+                a, b = a + begin - origin, b + begin - origin
                 if (t, i, b) not in seen:
                     seen.add((t, i, b))
                     found[t].append((i, a, b, edits))
@@ -165,6 +162,45 @@ class ItemIndex:
             spans.sort()
         return found
 
+    def _unpack(self, keys: np.ndarray, base: int, n_texts: int):
+        """Item, text and band of packed keys."""
+        rest, band = np.divmod(keys, 2 * base + 2)
+        item, text = np.divmod(rest, n_texts + 1)
+        return item, text, band - 1
+
+    def _bands(self, at, low, n, starts, base: int) -> tuple[np.ndarray, np.ndarray]:
+        """How many shared q-grams each band of each text and item has.
+
+        Every text position meets ``n`` item positions with its q-gram.  They are
+        listed some at a time and counted at once: a text and an item that repeat
+        one q-gram over and over take time, not memory."""
+        edge = np.cumsum(n)
+        cuts = np.unique(np.searchsorted(edge, np.arange(0, edge[-1], PAIRS_AT_ONCE), "left"))
+        parts = []
+        for first, last in zip(cuts, [*cuts[1:], len(n)]):
+            some = n[first:last]
+            ends = np.cumsum(some)
+            row = np.repeat(low[first:last] - ends + some, some) + np.arange(ends[-1])
+            place = np.repeat(at[first:last], some)
+            item = self.item[row].astype(np.int64)
+            text = np.searchsorted(starts, place, "right") - 1
+            # a diagonal is in two bands, each two strides wide
+            band = (place - self.place[row] + base) // (self.edits[item] + 1)
+            key = (item * len(starts) + text) * (2 * base + 2) + band
+            parts.append(np.unique(np.concatenate([key, key + 1]), return_counts=True))
+            if len(parts) > 8:
+                parts = [_added(parts)]
+        return _added(parts)
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by key of several such lists."""
+    if len(parts) == 1:
+        return parts[0]
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    counts = np.bincount(at, np.concatenate([c for _, c in parts]), len(keys))
+    return keys, counts.astype(np.int64)
+
 
 def item_indexes(ids: list[int], texts: list[str]) -> list[ItemIndex]:
     """Indexes of non-empty normal items, one for each length of q-gram.
@@ -202,7 +238,8 @@ def find_benchmark_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     An item of any length is found where it occurs with no more edits than
     ``EDIT_SHARE`` of its length (none below 20 characters), after lower-casing and turning
-    white space runs into one space.  Returns doc_id, item_id, start_char and
+    white space runs into one space.  The documents are read once for every
+    ``BLOCK_CHARS`` characters of the benchmark.  Returns doc_id, item_id, start_char and
     end_char (in the normal form of the text) and n_edits; one row a place.
 
     Null and empty texts or items hold nothing; a text of any length is
@@ -217,15 +254,8 @@ def find_benchmark_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in batches:
                 rows = []
                 names = batch.column(0).to_pylist()
-                part, size, first = [], 0, 0
-                for k in range(batch.num_rows):
-                    part.append(normal(batch.column(1)[k].as_py()))
-                    size += len(part[-1])
-                    if size >= TEXT_CHARS or k == batch.num_rows - 1:
-                        for index in indexes:
-                            for d, spans in enumerate(index.search(part)):
-                                rows += [(names[first + d], index.ids[i], a, b, e) for i, a, b, e in spans]
-                        part, size, first = [], 0, k + 1
+                for d, index, spans in _search_all(indexes, batch.column(1)):
+                    rows += [(names[d], index.ids[i], a, b, e) for i, a, b, e in spans]
                 columns = list(zip(*rows)) or [[]] * 5
                 kinds = [pa.int64()] * 4 + [pa.int32()]
                 yield pa.RecordBatch.from_arrays(
@@ -240,6 +270,41 @@ def find_benchmark_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return result
 
 
+def _search_all(indexes: list[ItemIndex], texts: pa.Array):
+    """(row, index, spans) of the rows of ``texts`` in which an index finds items."""
+    part, size, first = [], 0, 0
+    for k in range(len(texts)):
+        part.append(normal(texts[k].as_py()))
+        size += len(part[-1])
+        if size >= TEXT_CHARS or k == len(texts) - 1:
+            for index in indexes:
+                for d, spans in enumerate(index.search(part)):
+                    if spans:
+                        yield first + d, index, spans
+            part, size, first = [], 0, k + 1
+
+
+def without_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (text, ...) whose text holds no item of ``benchmark``,
+    as ``find_benchmark_passages`` finds them.
+
+    Each row is judged by its own text, whatever its id, and kept with all its
+    columns; null and empty texts hold nothing; an empty benchmark keeps all
+    rows, an empty table gives an empty result."""
+    for ids, texts in _benchmark_blocks(benchmark):
+
+        def clean(batches, ids=ids, texts=texts):
+            indexes = item_indexes(ids, texts)
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for d, _, _ in _search_all(indexes, batch.column(batch.schema.get_field_index("text"))):
+                    keep[d] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
+
+
 def op8_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document and item that it holds: the best place."""
     found = find_benchmark_passages(

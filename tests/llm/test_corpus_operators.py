@@ -318,6 +318,75 @@ def test_short_items_are_found(spark):
         assert edit_distance(wanted[r["item_id"]], piece) == r["n_edits"] <= 0.05 * len(wanted[r["item_id"]])
 
 
+def least_edits(item, text):
+    """Edits to the nearest stretch of ``text``, by the whole table."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(item):
+        new = [i + 1]
+        for j, y in enumerate(text):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def test_search_equals_all_pairs_brute_force(spark):
+    rnd = random.Random(12)
+    letters = "abcd efgh "
+    items = [(k, "".join(rnd.choices(letters, k=rnd.randint(5, 60)))) for k in range(40)]
+    items += [(100, "a" * 30), (101, "ab" * 21), (102, "abc")]
+    rows = [(900, "a" * 200), (901, "ab" * 60 + "c" + "ab" * 40), (902, "a" * 29)]
+    for i in range(60):
+        parts = []
+        for _ in range(3):
+            body = list(rnd.choice(items)[1])
+            for _ in range(rnd.randint(0, 3)):
+                at = rnd.randrange(len(body))
+                body[at : at + rnd.randint(0, 1)] = rnd.choices(letters, k=rnd.randint(0, 2))
+                body = body or ["a"]
+            parts += ["".join(rnd.choices(letters, k=rnd.randint(0, 20))), "".join(body)]
+        rows.append((i, "".join(parts)))
+    docs, benchmark = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.find_benchmark_passages(docs, benchmark).collect()
+    normal = {k: decontam.normal(t) for k, t in items}
+    texts = {i: decontam.normal(t) for i, t in rows}
+    expected = {
+        (i, k): n
+        for i, t in texts.items()
+        for k, x in normal.items()
+        if x and (n := least_edits(x, t)) <= int(decontam.EDIT_SHARE * len(x))
+    }
+    best = {}
+    for r in got:
+        pair = r["doc_id"], r["item_id"]
+        best[pair] = min(best.get(pair, 99), r["n_edits"])
+        piece = texts[r["doc_id"]][r["start_char"] : r["end_char"]]
+        assert edit_distance(normal[r["item_id"]], piece) == r["n_edits"]
+    assert best == expected
+    clean = decontam.without_passages(docs, benchmark).collect()
+    assert {r["doc_id"] for r in clean} == set(texts) - {i for i, _ in expected}
+
+
+def test_repetitive_texts_take_bounded_memory():
+    import tracemalloc
+
+    [index] = decontam.item_indexes([1], ["a" * 2000])
+    tracemalloc.start()
+    [spans] = index.search(["a" * 20_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert spans and all(e == 0 for *_, e in spans) and peak < 500e6
+
+
+def test_rows_without_passages_keep_their_columns(spark):
+    benchmark = spark.createDataFrame([(1, prose(1))], "item_id long, text string")
+    docs = spark.createDataFrame(odd_rows(), SCHEMA)
+    got = decontam.without_passages(docs, benchmark)
+    assert got.schema == docs.schema
+    assert sorted(got.collect(), key=str) == sorted(docs.where("text is null or text <> %r" % prose(1)).collect(), key=str)
+    assert decontam.without_passages(docs, benchmark.limit(0)).count() == docs.count()
+    assert decontam.without_passages(empty(spark), benchmark).count() == 0
+
+
 def check_shards(rows, got, tolerance):
     assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(i for i, _ in rows)
     slots = collections.defaultdict(list)
