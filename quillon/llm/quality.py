@@ -50,6 +50,10 @@ def symbol_count(text: Column) -> Column:
     return F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
 
 
+def _line_words(line: Column) -> Column:
+    return F.struct(line.alias("line"), words_of(line).alias("words"))
+
+
 def _line_fails(line: Column, n: Column, distinct: Column) -> Column:
     """True for a line of ``n`` words that is a menu, notice, noise or not a sentence."""
     marks = F.length(line) - F.length(F.translate(line, SYMBOLS + "{}=~^\\»›•", ""))
@@ -95,7 +99,7 @@ def line_first_cleaning(
         symbol_count(F.col("text")).cast("long").alias("n_symbols"),
         F.transform(
             F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-            lambda x: F.struct(x.alias("line"), words_of(x).alias("words")),
+            _line_words,
         ).alias("lines"),
     )
     worded = lined.select(
@@ -106,10 +110,13 @@ def line_first_cleaning(
         (F.size("lines") - F.size(F.array_distinct("lines.line"))).cast("long").alias(
             "n_dup_lines"
         ),
-        # an equal line comes with equal words, so this keeps first lines
+        # first lines; strings are told apart by hash, so only texts that repeat a
+        # line split it again
         F.transform(
-            F.when(F.size("lines") > F.size(F.array_distinct("lines.line")),
-                   F.array_distinct("lines")).otherwise(F.col("lines")),
+            F.when(
+                F.size("lines") > F.size(F.array_distinct("lines.line")),
+                F.transform(F.array_distinct("lines.line"), _line_words),
+            ).otherwise(F.col("lines")),
             lambda x: F.struct(
                 x["line"].alias("line"),
                 F.size(x["words"]).alias("n"),

@@ -118,6 +118,25 @@ def find_splitters(
     return [found[k] for k in sorted(found)], rounds
 
 
+def _size() -> Column:
+    return (F.octet_length(text_or_empty()) + 1).cast("long")
+
+
+def _sort_key() -> tuple[Column, Column]:
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return F.xxhash64(text_or_empty()).alias("h"), F.xxhash64(own, F.lit("id")).alias("h2")
+
+
+def _shard_of(splitters: list[tuple[int, int]]) -> Column:
+    """How many splitters are at or below a row's key."""
+    shard = F.lit(0)
+    for h, h2 in splitters:
+        if h < 1 << 63:
+            past = (F.col("h") > F.lit(h)) | ((F.col("h") == F.lit(h)) & (F.col("h2") >= F.lit(h2)))
+            shard = shard + past.cast("int")
+    return shard
+
+
 def histogram_sort_shards(
     docs: DataFrame, n_shards: int = 16, tolerance: float = 0.002, slice_bits: int = 10
 ) -> DataFrame:
@@ -137,25 +156,17 @@ def histogram_sort_shards(
     place in its shard, without gaps from 0) and grown_shard (null: the law is
     not 'key').
     """
-    text = text_or_empty()
     keys = materialize(
         docs.select(
             "doc_id",
-            (F.octet_length(text) + 1).cast("long").alias("size"),
-            F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.xxhash64(text).alias("h"),
-            F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("id")).alias(
-                "h2"
-            ),
+            _size().alias("size"),
+            F.crc32(text_or_empty().cast("binary")).alias("text_crc32"),
+            *_sort_key(),
         ),
         "shard-keys",
     )
     splitters, _ = find_splitters(keys, n_shards, tolerance)
-    shard = F.lit(0)
-    for h, h2 in splitters:
-        if h < 1 << 63:
-            past = (F.col("h") > F.lit(h)) | ((F.col("h") == F.lit(h)) & (F.col("h2") >= F.lit(h2)))
-            shard = shard + past.cast("int")
+    shard = _shard_of(splitters)
     n = keys.count()
     bits = min(16, max(slice_bits, math.ceil(math.log2(max(n, 1) / (1 << 18) + 1e-9))))
     slice_ = F.shiftright("h", 64 - bits)
@@ -195,12 +206,32 @@ def histogram_sort_shards(
     )
 
 
-def write_shards(docs: DataFrame, path: str, n_shards: int = 16, **options) -> None:
-    """Write whole rows of ``docs`` under ``path``/shard=N, dealt as above."""
-    places = histogram_sort_shards(docs, n_shards, **options).select("doc_id", "shard", "slot")
-    docs.join(places, "doc_id").sortWithinPartitions("shard", "slot").write.partitionBy(
-        "shard"
-    ).parquet(path)
+def write_shards(
+    docs: DataFrame, path: str, n_shards: int = 16, tolerance: float = 0.002, files: int = 1
+) -> str:
+    """Write whole rows of ``docs`` (doc_id, text, ...) under ``path``/shard=N.
+
+    The shards are those of ``histogram_sort_shards``.  The rows cross one
+    exchange, by shard, and every shard is written as up to ``files`` files,
+    each sorted by key; a shard of many bytes needs several.  Each row is
+    written once with all its columns, whether its id is null or repeated; an
+    empty table writes no rows.  Returns the name of the partition column:
+    ``shard``, with underscores behind it where ``docs`` has that name.
+    """
+    name = "shard"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    splitters, _ = find_splitters(docs.select(_size().alias("size"), *_sort_key()), n_shards, tolerance)
+    rows = docs.select(F.struct("*").alias("row"), *_sort_key())
+    rows = rows.select("row", "h", "h2", _shard_of(splitters).alias("shard"))
+    (
+        rows.repartition(n_shards * files, "shard", F.pmod("h2", F.lit(files)))
+        .sortWithinPartitions("shard", "h", "h2")
+        .select("row.*", F.col("shard").alias(name))
+        .write.partitionBy(name)
+        .parquet(path)
+    )
+    return name
 
 
 def op6_histogram_sort_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

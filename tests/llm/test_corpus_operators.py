@@ -423,6 +423,22 @@ def test_sharding_odd_rows(spark):
     assert sharding.histogram_sort_shards(empty(spark)).count() == 0
 
 
+def test_written_shards_hold_each_row_once(spark, tmp_path):
+    rows = [(1, prose(1)), (1, prose(2)), (1, prose(1)), (2, prose(3)), (None, prose(4)), (None, None)]
+    rows += [(k, prose(k % 90, 40)) for k in range(10, 400)]
+    docs = spark.createDataFrame([(i, t, 5, "x") for i, t in rows], "doc_id long, text string, shard int, h string")
+    name = sharding.write_shards(docs, str(tmp_path / "a"), 8)
+    got = spark.read.parquet(str(tmp_path / "a"))
+    assert name == "shard_" and got.columns == [*docs.columns, name]
+    assert collections.Counter(map(tuple, got.select(docs.columns).collect())) == collections.Counter(map(tuple, docs.collect()))
+    sizes = [r["n"] for r in got.groupBy(name).agg({"text": "count"}).toDF(name, "n").collect()]
+    assert len(sizes) == 8 and min(sizes) > 30
+    places = sharding.histogram_sort_shards(docs, 8).select("doc_id", "text_crc32", "shard").distinct()
+    there = got.selectExpr("doc_id", "crc32(cast(coalesce(text, '') as binary)) as text_crc32", f"{name} as shard")
+    assert set(map(tuple, there.collect())) == set(map(tuple, places.collect()))
+    sharding.write_shards(empty(spark), str(tmp_path / "b"))
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
