@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.bpe import encode_texts
 from quillon.llm.common import materialize, read_table
-from quillon.llm.decontam import find_benchmark_passages
+from quillon.llm.decontam import without_passages
 from quillon.llm.neardup import jaccard_components
 from quillon.llm.quality import line_first_cleaning
 from quillon.llm.toxicity import fit_toxicity, score_toxicity
@@ -23,7 +23,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not predict as toxic."""
+    """Documents that the toxicity model does not predict as toxic.
+
+    A null or empty text is not toxic; each row, also one without id or with a
+    repeated one, has the verdict of its own text; an empty table gives an
+    empty result."""
     model = fit_toxicity(docs, read_table(spark, sf_dir, "labels"))
     return score_toxicity(docs, model, keep=COLUMNS).where("predicted = 0").select(COLUMNS)
 
@@ -31,22 +35,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, without the lines that failed.
 
-    Documents whose every line stays keep their text as it is."""
-    judged = materialize(line_first_cleaning(docs, keep=COLUMNS), "judged").where("kept")
-    text = F.when(F.col("n_kept_words") < F.col("n_words"), F.col("clean_text")).otherwise(
-        F.col("text")
-    )
-    return judged.select(
-        "doc_id", text.alias("text"), "lang", "source", "n_words", "n_kept_words", "n_chars"
-    ).select(
+    Documents whose every line stays keep their text as it is.  A null or empty
+    text fails; each row is judged by its own text, whatever its id; an empty
+    table gives an empty result."""
+    judged = line_first_cleaning(docs, keep=COLUMNS)
+    changed = F.col("n_kept_words") < F.col("n_words")
+    cleaned = judged.select(
+        "kept",
         "doc_id",
-        "text",
+        F.when(changed, F.col("clean_text")).otherwise(F.col("text")).alias("text"),
         "lang",
         "source",
-        F.when(F.col("n_kept_words") < F.col("n_words"), F.length("text").cast("long"))
-        .otherwise(F.col("n_chars"))
-        .alias("n_chars"),
+        F.when(changed, F.length("clean_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"),
     )
+    # a row generator: no filter moves below it and computes the verdict again
+    row = F.inline(F.array(F.struct("kept", *COLUMNS)))
+    return cleaned.select(row).where("kept").select(COLUMNS)
 
 
 def number_rows(docs: DataFrame) -> DataFrame:
@@ -60,7 +64,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Classes: five-word shingles, Jaccard similarity of 0.8 or more.  Each row
     is a document, also one without id or with a repeated id: one row of a
     class stays, one with an id if there is any.  Texts without words are
-    classes of their own."""
+    classes of their own; an empty table gives an empty result."""
     rows = number_rows(docs)
     classes = jaccard_components(rows.select(F.col("row").alias("doc_id"), "text"))
     keep = (
@@ -76,17 +80,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage.
 
-    Each row is judged by its own text, whether its id is null or repeated."""
-    rows = number_rows(docs)
-    found = find_benchmark_passages(
-        rows.select(F.col("row").alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark")
-    )
-    hit = materialize(found.select(F.col("doc_id").alias("row")).distinct(), "contaminated")
-    return rows.join(hit, "row", "left_anti").select(COLUMNS)
+    Each row is judged by its own text, whether its id is null or repeated;
+    null and empty texts stay; an empty benchmark keeps all rows."""
+    return without_passages(docs, read_table(spark, sf_dir, "benchmark")).select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the packed ids of every text that is left."""
+    """doc_id, n_tokens and the packed ids of every text that is left.
+
+    Every row gives a row; a null or empty text has no ids."""
     import public_tokenizers
 
     encoded = encode_texts(
