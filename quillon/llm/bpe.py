@@ -22,7 +22,7 @@ from .common import read_table
 from .tokens import SPACE, UNIT
 
 FAN = 8  # bits of a leaf of the bitmap: 256 ranks
-KEPT_UNITS = 1 << 20  # units and pre-tokens whose ids a task keeps before it starts anew
+KEPT_UNITS = 1 << 20  # units and pre-tokens whose ids a worker keeps before it starts anew
 LONG_UNIT = 64  # longer units are encoded but not kept
 
 
@@ -177,6 +177,12 @@ class TextEncoder:
         return b"".join([find(unit) or self.unit_ids(unit) for unit in UNIT.findall(text)])
 
 
+@lru_cache(maxsize=2)
+def text_encoder(vocabulary: str, pattern: str) -> TextEncoder:
+    """One for each worker process: what it has met serves its later tasks too."""
+    return TextEncoder(vocabulary, pattern)
+
+
 def encode_texts(
     docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", decode: bool = True
 ) -> DataFrame:
@@ -189,7 +195,7 @@ def encode_texts(
     """
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextEncoder(vocabulary, pattern)
+        encoder = text_encoder(vocabulary, pattern)
         for batch in batches:
             for start in range(0, batch.num_rows, 64):  # a few texts at a time
                 part = batch.slice(start, 64)

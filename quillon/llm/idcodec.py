@@ -1,24 +1,30 @@
 """Token-id files: an adaptive context-mixing range coder over id blocks.
 
 An id stream is cut into blocks that are coded independently: each starts
-with fresh models and ends with its own checksum.  For every id, the two ids
-before it and the one before it each look up a predicted id; the confidences
-of the two predictions are mixed in the logistic domain with weights that
-adapt, and the mixed probability codes whether the prediction holds.  An id
-that neither predicts is coded by adaptive order-0 counts, four bits at a
-time.  All decisions go through one range coder with 48-bit state.
-
-The blocks of a segment are independent, so they are coded in lockstep: one
-numpy operation serves the same position of all blocks.
+without any model and carries its own checksum.  Within a block the models are
+taught by the ids coded so far and renewed at the ends of its spans, each of
+which is as long as all spans before it and more.
+
+For every id, its two predecessors (order 2) or, where these are new, its one
+predecessor (order 1) name a few likely ids.  The probability of each is mixed
+from its order-2, order-1 and order-0 shares, with weights for each level of
+confidence that are fitted to the last span before they are used on the next.
+What the named ids leave goes to all ids by their order-0 shares; an id that
+the block has not held yet is spelled out.  The choices are coded by a range
+coder with a 64-bit interval.
+
+A span is dealt to many lanes, each with a coder of its own, and the lanes run
+in lockstep: one numpy operation serves the same place of all lanes.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,249 +35,451 @@ from pyspark.sql import functions as F
 from .common import materialize, read_table
 from .tokens import BATCH_BYTES, KEPT_UNITS, LONG_UNIT, SPACE, balanced
 
-MAGIC = b"QIDS1\0"
-BLOCK = 4096  # ids a block
-LANES = 1024  # blocks coded in lockstep
-SEGMENT_IDS = BLOCK * LANES  # a segment ends with the document that fills it
-BITS1, BITS2 = 10, 11  # slots of the order-1 and order-2 predictions
-ROWS4 = 512  # rows of the last four bits' counts
-STEP, LIMIT = 24, 4096  # count increment, and the sum at which counts are halved
-
-_M32, _M48 = np.uint64((1 << 32) - 1), np.uint64((1 << 48) - 1)
-_S16, _S32 = np.uint64(16), np.uint64(32)
-_SQUASH = np.array(
-    [min(4095, max(1, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2048, 2048)],
-    dtype=np.int64,
-)
-_STRETCH = np.array(
-    [
-        max(-2047, min(2047, round(256 * math.log(max(p, 0.5) / (4096 - max(p, 0.5))))))
-        for p in range(4096)
-    ],
-    dtype=np.int64,
-)
-
-
-class _Coder:
-    """State of one range coder for each lane: interval low end and length."""
+MAGIC = b"QIDS2\0"
+BLOCK = 1 << 22  # ids a block
+DISTINCT = 65_000  # distinct ids of a block of more ids than that
+SEGMENT_IDS = 7 << 19  # a segment ends with the batch of documents that fills it
+FIRST_SPAN, GROWTH = 96, 4  # a span ends where the block is GROWTH times as long
+LANE_IDS, LANES = 256, 4096  # ids of a lane, as long as there are lanes enough
+NAMED = 4  # ids that a context names
+TOTAL0 = 17  # bits of the order-0 frequencies
+NAMED_SHARE = 60_000  # of 65,536, what the named ids have together at most
+LEVELS = 8  # of confidence: by the logarithm of a context's count
+AT_ONCE = 1 << 17  # ids whose choices are worked out at a time
+SAMPLE = 8  # the weights are fitted to one id of so many
+NEW, START = 65_535, 65_534  # as contexts: an id not held before, the start of a lane
+
+_U = np.uint64
+_MIX = _U(0x9E3779B97F4A7C15)
+_FULL = _U((1 << 64) - 1)
+_M16, _M18, _M32 = _U(0xFFFF), _U(0x3FFFF), _U(0xFFFFFFFF)
+
+
+class _Encoder:
+    """A range coder for each lane: low end and length of its interval."""
 
     def __init__(self, lanes: int):
-        self.low = np.zeros(lanes, np.uint64)
-        self.length = np.full(lanes, _M48, np.uint64)
-        self.at = np.zeros(lanes, np.int64)
-
-    def narrow(self, i, low, length):
-        """Store the new intervals of lanes ``i``; the lanes that shift out 16 bits."""
-        short = np.flatnonzero(length <= _M32)
+        self.low = np.zeros(lanes, _U)
+        self.length = np.full(lanes, _FULL)
+        self.out: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def _shift(self, i: np.ndarray) -> None:
+        """Shift out 32 bits of lanes ``i``; an interval that spans two values
+        of these is cut down to its part of the first."""
+        low, length = self.low[i], self.length[i]
+        apart = (low >> _U(32)) != ((low + (length - _U(1))) >> _U(32))
+        length = np.where(apart, (_M32 - (low & _M32)) + _U(1), length)
+        self.out.append((i, (low >> _U(32)).astype(np.uint32)))
+        self.low[i] = low << _U(32)
+        self.length[i] = length << _U(32)
+
+    def choose(self, k: int, choice: np.ndarray, choice0: np.ndarray) -> None:
+        """The first ``k`` lanes: a 16-bit choice, then one of ``TOTAL0`` bits or
+        none.  Both are packed: start, size, and what to shift by."""
+        unit = self.length[:k] >> _U(16)
+        low = self.low[:k] + unit * (choice & _M16)
+        unit = (unit * ((choice >> _U(16)) & _M18)) >> (choice >> _U(40))
+        self.low[:k] = low + unit * (choice0 & _M18)
+        self.length[:k] = unit * (choice0 >> _U(18))
+        short = np.flatnonzero(self.length[:k] <= _M32)
         if len(short):
-            a, b = low[short], length[short]
-            split = (a ^ (a + b - np.uint64(1))) > _M32
-            b = np.where(split, _M32 + np.uint64(1) - (a & _M32), b)
-            self.shift(i[short], a)
-            low[short] = (a << _S16) & _M48
-            length[short] = b << _S16
-        self.low[i] = low
-        self.length[i] = length
-
-
-class Encoder(_Coder):
-    def __init__(self, lanes: int, steps: int):
-        super().__init__(lanes)
-        self.words = np.zeros((lanes, steps + 64), np.uint16)
-
-    def shift(self, i, low):
+            self._shift(short)
+
+    def spell(self, i: np.ndarray, value: np.ndarray) -> None:
+        """32 plain bits of lanes ``i``."""
+        for part in (value >> _U(16), value & _M16):
+            unit = self.length[i] >> _U(16)
+            self.low[i] += unit * part
+            self.length[i] = unit
+            short = i[unit <= _M32]
+            if len(short):
+                self._shift(short)
+
+    def finish(self) -> tuple[np.ndarray, np.ndarray]:
+        """Words of each lane, lane by lane, and how many each has."""
+        every = np.arange(len(self.low))
+        # the value in the interval that ends in 32 zeros, which are not written
+        self.out.append((every, ((self.low + _M32) >> _U(32)).astype(np.uint32)))
+        lane, word = (np.concatenate(x) for x in zip(*self.out))
+        order = np.argsort(lane.astype(np.uint16), kind="stable")
+        return word[order], np.bincount(lane, minlength=len(every)).astype("<u2")
+
+
+class _Decoder:
+    def __init__(self, words: np.ndarray, counts: np.ndarray):
+        # behind each lane's words stand zeros: a place that all lanes share
+        self.words = np.append(words, np.uint32(0)).astype(_U)
+        self.stop = np.cumsum(counts, dtype=np.int64)
+        self.at = self.stop - counts
+        self.low = np.zeros(len(counts), _U)
+        self.length = np.full(len(counts), _FULL)
+        every = np.arange(len(counts))
+        self.code = self._next(every) << _U(32)
+        self.code |= self._next(every)
+
+    def _next(self, i: np.ndarray) -> np.ndarray:
         at = self.at[i]
-        if len(at) and at.max() + 4 >= self.words.shape[1]:
-            self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
-        self.words[i, at] = (low >> _S32).astype(np.uint16)
         self.at[i] = at + 1
-
-    def part(self, i, start, size, total):
-        unit = self.length[i] // total
-        self.narrow(i, self.low[i] + unit * start.astype(np.uint64), unit * size.astype(np.uint64))
-
-    def bit(self, i, p, bit):
-        self.part(i, np.where(bit, 0, p), np.where(bit, p, 4096 - p), np.uint64(4096))
-        return bit
-
-    def symbol(self, i, ends, symbol):
-        rows = np.arange(len(i))
-        end = ends[rows, symbol]
-        start = np.where(symbol > 0, ends[rows, symbol - 1], 0)
-        self.part(i, start, end - start, ends[:, -1].astype(np.uint64))
-        return symbol
-
-    def finish(self) -> list[bytes]:
-        every = np.arange(len(self.low))
-        for _ in range(3):
-            self.shift(every, self.low)
-            self.low = (self.low << _S16) & _M48
-        return [w[:n].astype("<u2").tobytes() for w, n in zip(self.words, self.at)]
-
-
-class Decoder(_Coder):
-    def __init__(self, payloads: list[bytes]):
-        super().__init__(len(payloads))
-        longest = max(map(len, payloads)) // 2 + 4
-        self.words = np.zeros((len(payloads), longest), np.uint64)
-        for lane, data in zip(self.words, payloads):
-            lane[: len(data) // 2] = np.frombuffer(data, "<u2")
-        self.code = self.words[:, 0] << _S32 | self.words[:, 1] << _S16 | self.words[:, 2]
-        self.at += 3
-
-    def shift(self, i, low):
-        at = np.minimum(self.at[i], self.words.shape[1] - 1)
-        self.code[i] = ((self.code[i] << _S16) & _M48) | self.words[i, at]
-        self.at[i] += 1
-
-    def bit(self, i, p, _):
-        low, unit = self.low[i], self.length[i] // np.uint64(4096)
-        p = p.astype(np.uint64)
-        bit = (self.code[i] - low) // unit < p
-        self.narrow(
-            i, np.where(bit, low, low + unit * p), unit * np.where(bit, p, np.uint64(4096) - p)
-        )
-        return bit
-
-    def symbol(self, i, ends, _):
-        total = ends[:, -1].astype(np.uint64)
-        low, unit = self.low[i], self.length[i] // total
-        value = np.minimum((self.code[i] - low) // unit, total - np.uint64(1)).astype(np.int64)
-        symbol = (ends <= value[:, None]).sum(axis=1)
-        rows = np.arange(len(i))
-        end = ends[rows, symbol]
-        start = np.where(symbol > 0, ends[rows, symbol - 1], 0)
-        self.narrow(
-            i, low + unit * start.astype(np.uint64), unit * (end - start).astype(np.uint64)
+        return self.words[np.where(at < self.stop[i], at, len(self.words) - 1)]
+
+    def _shift(self, i: np.ndarray) -> None:
+        low, length = self.low[i], self.length[i]
+        apart = (low >> _U(32)) != ((low + (length - _U(1))) >> _U(32))
+        length = np.where(apart, (_M32 - (low & _M32)) + _U(1), length)
+        self.low[i] = low << _U(32)
+        self.length[i] = length << _U(32)
+        self.code[i] = self.code[i] << _U(32) | self._next(i)
+
+    def choose(self, k: int, ends: np.ndarray, model: "_Model") -> tuple[np.ndarray, np.ndarray]:
+        """For the first ``k`` lanes: which named id (NAMED: none), and the
+        order-0 symbol where it is none."""
+        low, code = self.low[:k], self.code[:k]
+        unit = self.length[:k] >> _U(16)
+        value = np.minimum((code - low) // unit, _M16)
+        part = ends & _M16
+        place = (value >= part).view(np.int8).astype(_U)
+        for n in range(1, NAMED):
+            part = (ends >> _U(16 * n)) & _M16
+            place += value >= part
+        none = place == _U(NAMED)
+        by = place << _U(4)
+        start = np.where(none, part, ((ends << _U(16)) >> by) & _M16)
+        stop = np.where(none, _U(1 << 16), (ends >> by) & _M16)
+        low = low + unit * start
+        length = unit * (stop - start)
+        unit = length >> _U(TOTAL0)
+        value = np.minimum((code - low) // np.maximum(unit, _U(1)), _U((1 << TOTAL0) - 1))
+        symbol = model.symbols[value]
+        self.low[:k] = np.where(none, low + unit * model.start0[symbol], low)
+        self.length[:k] = np.where(none, unit * model.size0[symbol], length)
+        short = np.flatnonzero(self.length[:k] <= _M32)
+        if len(short):
+            self._shift(short)
+        return place, symbol
+
+    def spell(self, i: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), _U)
+        for _ in range(2):
+            unit = self.length[i] >> _U(16)
+            value = np.minimum((self.code[i] - self.low[i]) // unit, _M16)
+            self.low[i] += unit * value
+            self.length[i] = unit
+            short = i[unit <= _M32]
+            if len(short):
+                self._shift(short)
+            out = out << _U(16) | value
+        return out
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of sorted ``keys`` and their counts."""
+    edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[edge], np.diff(np.r_[edge, len(keys)])
+
+
+def _best(context: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of entries sorted by context: each context's start and sum of counts, and
+    its NAMED largest entries (number, place of the context, rank)."""
+    first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+    sums = np.add.reduceat(n, first)
+    run = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(context)]))
+    inside = np.arange(len(context)) - first[run]
+    order = np.sort((run << 42) | (((1 << 21) - n) << 21) | inside)
+    rank = np.arange(len(order)) - first[order >> 42]
+    order, rank = order[rank < NAMED], rank[rank < NAMED]
+    run = order >> 42
+    return first, sums, first[run] + (order & ((1 << 21) - 1)), run, rank
+
+
+def _level(sums: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(sums, 1)).astype(np.int64), LEVELS - 1)
+
+
+class _Model:
+    """What a block's ids so far, as symbols 0, 1, ... in their order of
+    appearance, say about its next span."""
+
+    def __init__(self, seen: np.ndarray, known: int, weights: np.ndarray):
+        self.known, self.weights, self.n = known, weights, len(seen)
+        counts = np.bincount(seen, minlength=known)[:known]
+        total = 1 << TOTAL0
+        size = 1 + counts * (total - known - max(1, total >> 10)) // max(1, len(seen))
+        size = np.append(size, total - size.sum())  # what is left: a new id
+        self.counts = np.append(counts, 0)
+        self.size0 = size.astype(_U)
+        self.start0 = (np.cumsum(size) - size).astype(_U)
+        self.packed0 = self.start0 | self.size0 << _U(18)
+        self.symbols = np.repeat(np.arange(known + 1), size)
+        self.bits = max(8, min(18, int(len(seen) // 4).bit_length()))
+        slots = 1 << self.bits
+        self.ends = np.zeros(slots + (1 << 16), _U)
+        self.names = np.zeros(slots + (1 << 16), _U)
+        self.tags = np.full(slots, 0xFFFFFFFF, np.uint32)
+        if len(seen) < 3:
+            self.pairs = self.triples = np.zeros(0, _U)
+            return
+        s = seen.astype(_U)
+        pairs = s[:-1] << _U(16) | s[1:]
+        self.pairs, self.n1 = _runs(np.sort(pairs))
+        self.triples, self.n2 = _runs(np.sort(pairs[:-1] << _U(16) | s[2:]))
+        context = (self.pairs >> _U(16)).astype(np.int64)
+        first, sums, entry, run, rank = _best(context, self.n1)
+        self.sum1 = np.zeros(1 << 16, np.int64)
+        self.sum1[context[first]] = sums
+        symbol = self.pairs[entry] & _M16
+        share = self._mixed(1, _level(sums)[run], 0.0, self.n1[entry] / sums[run], symbol)
+        self._fill(slots + context[first], run, rank, symbol, share)
+        context = self.triples >> _U(16)
+        first, sums, entry, run, rank = _best(context, self.n2)
+        self.contexts, self.sum2 = context[first], sums
+        pair = self.triples[entry] & _M32
+        at = np.searchsorted(self.pairs, pair)
+        share1 = self.n1[at] / self.sum1[(pair >> _U(16)).astype(np.int64)]
+        symbol = pair & _M16
+        share = self._mixed(2, _level(sums)[run], self.n2[entry] / sums[run], share1, symbol)
+        place = self.slot(self.contexts)
+        # of contexts in one slot the most frequent stays
+        by_count = np.argsort(sums, kind="stable")
+        owner = np.full(slots, -1)
+        owner[place[by_count]] = by_count
+        kept = owner[place] == np.arange(len(place))
+        self.tags[place[kept]] = self.contexts[kept].astype(np.uint32)
+        own = kept[run]
+        self._fill(place, run[own], rank[own], symbol[own], share[own])
+
+    def slot(self, context: np.ndarray) -> np.ndarray:
+        return ((context * _MIX) >> _U(64 - self.bits)).astype(np.int64)
+
+    def _mixed(self, order, level, share2, share1, symbol):
+        w = self.weights[order, level]
+        return w[:, 2] * share2 + w[:, 1] * share1 + w[:, 0] * self.counts[symbol.astype(np.int64)] / self.n
+
+    def _fill(self, rows, run, rank, symbol, share):
+        size = np.zeros((len(rows), NAMED), np.int64)
+        size[run, rank] = (share * NAMED_SHARE).astype(np.int64)
+        name = np.zeros((len(rows), NAMED), _U)
+        name[run, rank] = symbol
+        ends = np.cumsum(size, axis=1).astype(_U)
+        own = np.unique(run)
+        packed = np.zeros(len(rows), _U)
+        names = np.zeros(len(rows), _U)
+        for n in range(NAMED):
+            packed |= ends[:, n] << _U(16 * n)
+            names |= name[:, n] << _U(16 * n)
+        self.ends[rows[own]], self.names[rows[own]] = packed[own], names[own]
+
+    def rows(self, before2: np.ndarray, before1: np.ndarray) -> np.ndarray:
+        """Rows of ``ends`` and ``names`` for two predecessors."""
+        context = before2 << _U(16) | before1
+        slot = self.slot(context)
+        return np.where(
+            self.tags[slot] == context, slot, before1.astype(np.int64) + (1 << self.bits)
         )
-        return symbol
 
+    def fitted(self, before2, before1, symbol) -> np.ndarray:
+        """Weights for what follows these ids, by expectation maximisation."""
+        weights = self.weights.copy()
+        if not len(self.triples) or not len(symbol):
+            return weights
+        pair = before1 << _U(16) | symbol
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        sum1 = self.sum1[before1.astype(np.int64)]
+        share1 = np.where(self.pairs[at] == pair, self.n1[at], 0) / np.maximum(sum1, 1)
+        context = before2 << _U(16) | before1
+        at = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
+        sum2 = np.where(self.contexts[at] == context, self.sum2[at], 0)
+        triple = context << _U(16) | symbol
+        at = np.minimum(np.searchsorted(self.triples, triple), len(self.triples) - 1)
+        share2 = np.where(self.triples[at] == triple, self.n2[at], 0) / np.maximum(sum2, 1)
+        share0 = (self.counts[np.minimum(symbol, _U(self.known)).astype(np.int64)] + 0.01) / self.n
+        for order, some in ((2, sum2 > 0), (1, (sum2 == 0) & (sum1 > 0))):
+            level = _level(sum2 if order == 2 else sum1)[some]
+            parts = [x[some] for x in (share0, share1, share2 if order == 2 else share2 * 0)]
+            for _ in range(4):
+                w = weights[order, level]
+                own = [w[:, k] * p for k, p in enumerate(parts)]
+                whole = own[0] + own[1] + own[2] + 1e-12
+                sums = np.stack([np.bincount(level, x / whole, LEVELS) for x in own], axis=1)
+                sums = sums + weights[order] * 20  # a level with few ids stays near its weights
+                weights[order] = sums / sums.sum(axis=1, keepdims=True)
+        return np.round(weights * 4096) / 4096
+
+
+def _first_weights() -> np.ndarray:
+    """By order, level and share: what orders 0, 1 and 2 count for."""
+    weights = np.zeros((3, LEVELS, 3))
+    weights[1], weights[2] = (0.5, 0.5, 0.0), (0.4, 0.3, 0.3)
+    return weights
+
+
+def _spans(n: int) -> list[tuple[int, int]]:
+    ends = [0, min(n, FIRST_SPAN)]
+    while ends[-1] < n:
+        ends.append(min(n, ends[-1] * GROWTH))
+    if len(ends) > 2 and ends[-1] - ends[-2] < ends[-2] // 4:  # no short last span
+        del ends[-2]
+    return list(zip(ends, ends[1:]))
+
+
+def _lanes(n: int) -> tuple[int, int]:
+    """Steps and lanes for a span of ``n`` ids; all lanes but the last are full."""
+    steps = -(-n // max(1, min(LANES, n // LANE_IDS)))
+    return steps, -(-n // steps)
+
+
+def _next_weights(model: _Model, symbols: np.ndarray, first: int, last: int) -> np.ndarray:
+    at = np.arange(max(first, 2), last, SAMPLE)
+    return model.fitted(*(symbols[at - k].astype(_U) for k in (2, 1, 0)))
+
+
+def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids in ascending order, and the place of each id among them."""
+    top = int(ids.max(initial=0))
+    if top >> 22:
+        return np.unique(ids, return_inverse=True)
+    there = np.zeros(top + 1, bool)
+    there[ids] = True
+    place = (np.cumsum(there) - 1).astype(np.int32)
+    return np.flatnonzero(there), place[ids]
+
+
+def _choices(model: _Model, now: np.ndarray, steps: int, first: int, last: int):
+    """What codes the symbols ``now[first:last]`` of a span, packed for a coder."""
+    own = now[first:last].astype(_U)
+    back = now[max(0, first - 2) : last].astype(_U)
+    back = np.r_[np.full(max(0, 2 - first), START, _U), back]
+    before2, before1 = back[:-2].copy(), back[1:-1].copy()
+    place = np.arange(first, last) % steps
+    before1[place == 0] = START
+    before2[place <= 1] = START
+    row = model.rows(before2, before1)
+    ends, names = model.ends[row], model.names[row]
+    start, stop = np.zeros(len(own), _U), np.zeros(len(own), _U)
+    below = np.zeros(len(own), _U)
+    for n in range(NAMED):
+        end = (ends >> _U(16 * n)) & _M16
+        hit = ((names >> _U(16 * n)) & _M16) == own
+        hit &= end > below
+        start[hit], stop[hit] = below[hit], end[hit]
+        below = end
+    none = np.flatnonzero(stop == 0)
+    choice = start | (stop - start) << _U(16)
+    choice[none] = below[none] | (_U(1 << 16) - below[none]) << _U(16) | _U(TOTAL0 << 40)
+    choice0 = np.full(len(own), 1 << 18, _U)
+    base = np.minimum(now[first:last][none], model.known)
+    choice0[none] = model.packed0[base]
+    return choice, choice0
+
+
+def encode_block(ids: np.ndarray, numbered=None) -> bytes:
+    """The payload of a block: for each span the words of its lanes."""
+    distinct, at = numbered or _numbered(ids)
+    symbol_of = np.full(len(distinct), NEW, np.int64)
+    symbols = np.zeros(len(ids), np.int64)
+    known, weights, out = 0, _first_weights(), []
+    for first, last in _spans(len(ids)):
+        model = _Model(symbols[:first], known, weights)
+        now = symbol_of[at[first:last]]
+        steps, lanes = _lanes(last - first)
+        whole = [np.zeros(steps * lanes, _U) for _ in range(2)]
+        for a in range(0, len(now), AT_ONCE):
+            b = min(len(now), a + AT_ONCE)
+            for all_, some in zip(whole, _choices(model, now, steps, a, b)):
+                all_[a:b] = some
+        choice, choice0 = (np.ascontiguousarray(x.reshape(lanes, steps).T) for x in whole)
+        new = np.flatnonzero(now == NEW)
+        new = new[np.argsort(new % steps, kind="stable")]  # by step, then by lane
+        turn = np.searchsorted(new % steps, np.arange(steps + 1)).tolist()
+        lane, plain = new // steps, ids[first + new].astype(_U)
+        coder = _Encoder(lanes)
+        full = len(now) - steps * (lanes - 1)  # ids of the last lane
+        for t in range(steps):
+            k = lanes if t < full else lanes - 1
+            coder.choose(k, choice[t, :k], choice0[t, :k])
+            if turn[t] < turn[t + 1]:
+                own = slice(turn[t], turn[t + 1])
+                coder.spell(lane[own], plain[own])
+        words, counts = coder.finish()
+        out += [struct.pack("<I", len(words)), counts.tobytes(), words.astype("<u4").tobytes()]
+        # new ids of the span get the next symbols, in ascending order
+        fresh = np.unique(at[first:last][new])
+        symbol_of[fresh] = np.arange(known, known + len(fresh))
+        known += len(fresh)
+        if last < len(ids):
+            symbols[first:last] = symbol_of[at[first:last]]
+            weights = _next_weights(model, symbols, first, last)
+    return b"".join(out)
 
-def _run(coder, sizes: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-    """Code the blocks in lockstep; ``ids`` is given for encoding.
 
-    ``sizes`` falls from lane to lane, so the lanes still active at a step are
-    a prefix.
-    """
-    lanes = len(sizes)
-    out = np.zeros((lanes, int(sizes[0])), np.uint16)
-    every = np.arange(lanes)
-    base1, base2, base8 = every << BITS1, every << BITS2, every << 3
-    id1, held1 = np.zeros(lanes << BITS1, np.uint16), np.zeros(lanes << BITS1, np.int8)
-    id2, held2 = np.zeros(lanes << BITS2, np.uint16), np.zeros(lanes << BITS2, np.int8)
-    start = np.array([2048] + [1024 + 384 * c for c in range(1, 8)], np.int64)
-    prob1, prob2, prob1b = np.tile(start, lanes), np.tile(start, lanes), np.tile(start >> 1, lanes)
-    weight2 = np.full(lanes, 40000, np.int64)
-    weight1 = np.full(lanes, 24000, np.int64)
-    counts = [np.ones((lanes * n, 16), np.uint16) for n in (1, 16, 256, ROWS4)]
-    before1 = np.zeros(lanes, np.int64)
-    before2 = np.zeros(lanes, np.int64)
-    lane_of_step = np.searchsorted(-sizes, -np.arange(int(sizes[0])), side="left")
-    for t in range(int(sizes[0])):
-        k = int(lane_of_step[t])
-        now = ids[:k, t].astype(np.int64) if ids is not None else None
-        got = np.zeros(k, np.int64)
-        b1 = before1[:k]
-        slot1 = base1[:k] + ((b1 * 40503 >> 5) & ((1 << BITS1) - 1))
-        slot2 = base2[:k] + (((b1 * 40503 ^ before2[:k] * 60493) >> 4) & ((1 << BITS2) - 1))
-        guess1, sure1 = id1[slot1].astype(np.int64), held1[slot1]
-        guess2, sure2 = id2[slot2].astype(np.int64), held2[slot2]
-        has1, has2 = sure1 > 0, sure2 > 0
-        guess = np.where(has2, guess2, guess1)
-        open_ = np.ones(k, bool)
-        i = np.flatnonzero(has1 | has2)
-        if len(i):
-            cell1, cell2 = base8[i] + sure1[i], base8[i] + sure2[i]
-            same = guess1[i] == guess[i]
-            p1, p2 = prob1[cell1], prob2[cell2]
-            a = np.where(has2[i], _STRETCH[p2], 0)
-            b = np.where(has1[i], np.where(same, _STRETCH[p1], -_STRETCH[p1] >> 1), 0)
-            w1, w2 = weight1[i], weight2[i]
-            p = _SQUASH[np.clip((a * w2 + b * w1) >> 16, -2047, 2047) + 2048]
-            hit = coder.bit(i, p, None if now is None else now[i] == guess[i])
-            off = (np.where(hit, 4096, 0) - p) * 5
-            weight2[i] = np.clip(w2 + (a * off >> 10), 0, 1 << 18)
-            weight1[i] = np.clip(w1 + (b * off >> 10), 0, 1 << 18)
-            j = has2[i]
-            prob2[cell2[j]] += (np.where(hit, 4095, 0) - p2 >> 5)[j]
-            j = has1[i] & same
-            prob1[cell1[j]] += (np.where(hit, 4095, 0) - p1 >> 5)[j]
-            got[i[hit]] = guess[i[hit]]
-            open_[i[hit]] = False
-            i = i[~hit & has1[i] & ~same]
-            if len(i):
-                cell = base8[i] + sure1[i]
-                p = np.maximum(prob1b[cell], 1)
-                hit = coder.bit(i, p, None if now is None else now[i] == guess1[i])
-                prob1b[cell] += np.where(hit, 4095, 0) - p >> 5
-                got[i[hit]] = guess1[i[hit]]
-                open_[i[hit]] = False
-        i = np.flatnonzero(open_)
-        if len(i):
-            x = now[i] if now is not None else None
-            so_far = np.zeros(len(i), np.int64)
-            for level, rows in enumerate((1, 16, 256, ROWS4)):
-                row = i * rows + (so_far & (rows - 1) if level == 3 else so_far)
-                table = counts[level]
-                ends = np.cumsum(table[row], axis=1, dtype=np.int64)
-                symbol = coder.symbol(
-                    i, ends, None if x is None else x >> (12 - 4 * level) & 15
-                )
-                table[row, symbol] += STEP
-                full = row[ends[:, -1] > LIMIT]
-                if len(full):
-                    table[full] = (table[full] >> 1) + 1
-                so_far = so_far << 4 | symbol
-            got[i] = so_far
-        for ids_, held, slot, guess_, sure in (
-            (id1, held1, slot1, guess1, sure1),
-            (id2, held2, slot2, guess2, sure2),
-        ):
-            right = (guess_ == got) & (sure > 0)
-            drop = ~right & (sure <= 1)
-            held[slot] = np.where(right, np.minimum(sure + 1, 7), np.where(drop, 1, sure >> 1))
-            ids_[slot[drop]] = got[drop]
-        before2[:k] = b1
-        before1[:k] = got
-        out[:k, t] = got
-    return out
+def decode_block(n: int, payload: bytes) -> np.ndarray:
+    id_of = np.zeros(0, np.uint32)
+    symbols = np.zeros(n, np.int64)
+    weights, at = _first_weights(), 0
+    for first, last in _spans(n):
+        known = len(id_of)
+        model = _Model(symbols[:first], known, weights)
+        steps, lanes = _lanes(last - first)
+        (size,) = struct.unpack_from("<I", payload, at)
+        counts = np.frombuffer(payload, "<u2", lanes, at + 4)
+        if counts.sum(dtype=np.int64) != size:
+            raise ValueError("a block of ids is damaged")
+        words = np.frombuffer(payload, "<u4", size, at + 4 + 2 * lanes)
+        at += 4 + 2 * lanes + 4 * size
+        coder = _Decoder(words, counts.astype(np.int64))
+        got = np.zeros((steps, lanes), np.int64)
+        spelled: list[tuple[np.ndarray, np.ndarray]] = []
+        before2 = before1 = np.full(lanes, START, _U)
+        full = last - first - steps * (lanes - 1)
+        for t in range(steps):
+            k = lanes if t < full else lanes - 1
+            row = model.rows(before2[:k], before1[:k])
+            place, symbol = coder.choose(k, model.ends[row], model)
+            now = (model.names[row] >> (place << _U(4))) & _M16
+            now = np.where(place == _U(NAMED), symbol.astype(_U), now)
+            new = np.flatnonzero((place == _U(NAMED)) & (symbol == known))
+            if len(new):
+                spelled.append((new * steps + t, coder.spell(new)))
+                now[new] = NEW
+            got[t, :k] = now
+            before2, before1 = before1, now
+        own = np.ascontiguousarray(got.T).reshape(-1)[: last - first]
+        if spelled:
+            where, value = (np.concatenate(x) for x in zip(*spelled))
+            fresh, symbol = np.unique(value.astype(np.uint32), return_inverse=True)
+            own[where] = known + symbol
+            id_of = np.append(id_of, fresh)
+        symbols[first:last] = own
+        if last < n:
+            weights = _next_weights(model, symbols, first, last)
+    return id_of[symbols]
 
 
 def encode_ids(ids: np.ndarray) -> list[tuple[int, int, bytes]]:
     """Blocks of an id stream: number of ids, checksum of the ids, payload."""
-    blocks = []
-    for first in range(0, len(ids), BLOCK * LANES):
-        part = ids[first : first + BLOCK * LANES]
-        lanes = -(-len(part) // BLOCK)
-        sizes = np.full(lanes, BLOCK)
-        sizes[-1] = len(part) - BLOCK * (lanes - 1)
-        table = np.zeros((lanes, BLOCK), np.uint16)
-        table.reshape(-1)[: len(part)] = part
-        table = table[:, : sizes[0]]
-        coder = Encoder(lanes, int(sizes[0]) * 5 // 4)
-        _run(coder, sizes, table)
-        for lane, payload in enumerate(coder.finish()):
-            own = table[lane, : sizes[lane]]
-            blocks.append((len(own), zlib.crc32(own.astype("<u4").tobytes()), payload))
+    blocks, first = [], 0
+    while first < len(ids):
+        size = min(BLOCK, len(ids) - first)
+        while len((numbered := _numbered(ids[first : first + size]))[0]) > DISTINCT:
+            size = max(DISTINCT, size // 2)
+        part = ids[first : first + size].astype("<u4")
+        blocks.append((size, zlib.crc32(part.tobytes()), encode_block(part, numbered)))
+        first += size
     return blocks
 
 
 def decode_ids(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
     """The id stream of ``encode_ids``; a damaged block raises ValueError."""
     out = []
-    for first in range(0, len(blocks), LANES):
-        part = blocks[first : first + LANES]
-        sizes = np.array([n for n, _, _ in part])
-        order = np.argsort(-sizes, kind="stable")
-        part = [part[k] for k in order]
-        table = _run(Decoder([p for _, _, p in part]), sizes[order], None)
-        rows = {}
-        for k, (n, crc, _), row in zip(order, part, table):
-            if zlib.crc32(row[:n].astype("<u4").tobytes()) != crc:
-                raise ValueError(f"block {first + k}: the checksum does not match")
-            rows[k] = row[:n]
-        out += [rows[k] for k in sorted(rows)]
-    return np.concatenate(out) if out else np.zeros(0, np.uint16)
+    for number, (n, crc, payload) in enumerate(blocks):
+        try:
+            part = decode_block(n, payload)
+            right = zlib.crc32(part.astype("<u4").tobytes()) == crc
+        except (IndexError, ValueError, struct.error):
+            right = False
+        if not right:
+            raise ValueError(f"block {number}: the checksum does not match")
+        out.append(part)
+    return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
 def pack_segment(doc_ids: list[int | None], streams: list[np.ndarray]) -> bytes:
@@ -318,7 +526,7 @@ def unpack_segment(data: bytes) -> tuple[list[int | None], list[np.ndarray]]:
 class WordIds:
     """Ids of texts by a tokenizers file whose words never depend on the words
     beside them (white space is dropped): each distinct word is encoded by the
-    library once a task, in batches balanced by bytes."""
+    library once, in batches balanced by bytes."""
 
     def __init__(self, vocabulary: str):
         import os
@@ -329,6 +537,8 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        small = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.code, self.dtype = ("H", np.uint16) if small else ("I", np.uint32)
         self.words = re.compile(f"[^{SPACE}]+").findall
         self.known: dict[str, bytes] = {}
 
@@ -337,18 +547,25 @@ class WordIds:
             self.known.clear()
         cut = [self.words(t) for t in texts]
         known = self.known
-        fresh: dict[str, bytes] = {}
-        for run in balanced(list({w for ws in cut for w in ws if w not in known}), BATCH_BYTES):
+        new: set[str] = set()
+        for words in cut:
+            new |= set(words).difference(known)
+        long_ = {}
+        for run in balanced(list(new), BATCH_BYTES):
             encoded = self.tokenizer.encode_batch_fast(run, add_special_tokens=False)
             for word, x in zip(run, encoded):
-                fresh[word] = np.array(x.ids, np.uint16).tobytes()
-        known.update((w, x) for w, x in fresh.items() if len(w) <= LONG_UNIT)
-        tail = np.array([end], np.uint16).tobytes()
+                (known if len(word) <= LONG_UNIT else long_)[word] = array(self.code, x.ids).tobytes()
         find = known.__getitem__
-        long_ = {w: x for w, x in fresh.items() if len(w) > LONG_UNIT}
         if long_:
             find = lambda w: known.get(w) or long_.get(w, b"")
-        return [np.frombuffer(b"".join(map(find, ws)) + tail, np.uint16) for ws in cut]
+        tail = array(self.code, [end]).tobytes()
+        return [np.frombuffer(b"".join(map(find, ws)) + tail, self.dtype) for ws in cut]
+
+
+@lru_cache(maxsize=2)
+def word_ids(vocabulary: str) -> WordIds:
+    """One for each worker process: what it has met serves its later tasks too."""
+    return WordIds(vocabulary)
 
 
 def write_id_files(
@@ -359,14 +576,14 @@ def write_id_files(
     The files lie in the shared folder as rows (part, seq, n_ids, segment):
     reading them in (part, seq) order gives the whole stream.  Each text's ids
     are followed by ``end``.  A null or empty text has the end id alone; null
-    doc_ids come first; rows with equal doc_ids are ordered by their text;
-    ids must be below 65,536; an empty table gives no segments.
+    doc_ids come first; rows with equal doc_ids are ordered by a hash of their
+    text, then by the text; an empty table gives no segments.
     """
     spark = docs.sparkSession
     conf = spark.conf.get("spark.sql.shuffle.partitions")
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(vocabulary)
+        words = word_ids(vocabulary)
         part, seq = TaskContext.get().partitionId(), 0
         names: list[int | None] = []
         streams: list[np.ndarray] = []
@@ -390,7 +607,7 @@ def write_id_files(
                 streams += words.encode([t or "" for t in rows.column(1).to_pylist()], end)
                 names += rows.column(0).to_pylist()
                 waiting += sum(map(len, streams[-rows.num_rows :]))
-                if waiting >= SEGMENT_IDS - BLOCK:
+                if waiting >= SEGMENT_IDS:
                     yield flush()
                     names, streams = [], []
                     waiting, seq = 0, seq + 1
@@ -398,9 +615,10 @@ def write_id_files(
             yield flush()
 
     ordered = (
-        docs.select("doc_id", F.col(text_col).alias("text"))
-        .repartitionByRange(int(conf), "doc_id", F.xxhash64("text"))
-        .sortWithinPartitions("doc_id", "text")
+        docs.select("doc_id", F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
+        .repartitionByRange(int(conf), "doc_id", "hash")
+        .sortWithinPartitions("doc_id", "hash", "text")
+        .select("doc_id", "text")
     )
     coded = ordered.mapInArrow(segments, "part int, seq int, n_ids long, segment binary")
     return materialize(coded, "id-files")
@@ -432,9 +650,14 @@ def read_id_files(files: DataFrame) -> DataFrame:
                     names=["part", "seq", "doc_id", "inside", "n_tokens", "ids_crc32", "ids"],
                 )
 
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select(  # a few numbers for each segment
-        "part", "seq", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("before")
+    sizes = files.select("part", "seq", "n_ids")
+    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row for each partition
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("inside", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)))
+    starts = starts.join(parts, "part").select(
+        "part", "seq", (F.col("ahead") + F.col("inside")).alias("before")
     )
     rows = files.select("part", "seq", "segment").mapInArrow(
         documents,

@@ -1,7 +1,7 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
 Texts are cut at safe boundaries into units whose encodings don't depend on
-each other, so a text of any length is encoded piece by piece.  Each task
+each other, so a text of any length is encoded piece by piece.  Each worker
 encodes every unit that it has not met yet, in batches balanced by bytes, and
 keeps the unit's length; a text's count is the sum over its units.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,7 @@ SPACE = "\t-\r \x85\xa0  -     　"
 #: pattern starts a match, and ends where one ends.
 UNIT = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 BATCH_BYTES = 1 << 18  # text that one call of the library encodes
-KEPT_UNITS = 1 << 20  # unit lengths that a task keeps before it starts anew
+KEPT_UNITS = 1 << 20  # unit lengths that a worker keeps before it starts anew
 LONG_UNIT = 64  # longer units are encoded but not kept
 
 
@@ -86,6 +87,12 @@ class UnitLengths:
         return [sum(known[u] if u in known else long_[u] for u in units) for units in cut]
 
 
+@lru_cache(maxsize=2)
+def unit_lengths(vocabulary: str) -> UnitLengths:
+    """One for each worker process: what it has met serves its later tasks too."""
+    return UnitLengths(vocabulary)
+
+
 def token_counts(
     docs: DataFrame, vocabulary: str, limit: int = 1024, text_col: str = "text"
 ) -> DataFrame:
@@ -101,7 +108,7 @@ def token_counts(
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = UnitLengths(vocabulary)
+        counter = unit_lengths(vocabulary)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n_bytes, n_tokens = [], []

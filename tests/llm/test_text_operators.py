@@ -96,6 +96,40 @@ def test_bpe_rows(spark):
     )
 
 
+@pytest.mark.parametrize("ids", [
+    np.random.default_rng(1).integers(0, 1 << 32, 150_000).astype(np.uint32),  # too many ids for a block
+    np.zeros(5000, np.uint32),
+    np.arange(70_000, dtype=np.uint32) * 61_000,
+])
+def test_ids_of_any_size(ids):
+    assert (idcodec.decode_ids(idcodec.encode_ids(ids)) == ids).all()
+
+
+def test_several_blocks(monkeypatch):
+    monkeypatch.setattr(idcodec, "BLOCK", 3000)
+    ids = np.random.default_rng(5).integers(0, 300, 10_000).astype(np.uint16)
+    blocks = idcodec.encode_ids(ids)
+    assert [n for n, *_ in blocks] == [3000, 3000, 3000, 1000]
+    assert (idcodec.decode_ids(blocks[1:2]) == ids[3000:6000]).all()  # each on its own
+
+
+def test_all_orders_are_mixed():
+    """Each order's shares make a stream shorter that only this order can tell."""
+    rnd = np.random.default_rng(6)
+    n = 60_000
+    flat = rnd.integers(0, 64, n)
+    skewed = np.minimum(rnd.geometric(0.2, n), 63)
+    after = rnd.integers(0, 64, (64, 3))
+    one, two = [0], [0, 0]
+    for k in rnd.integers(0, 3, n):
+        one.append(after[one[-1], k])
+        two.append((after[two[-1], k % 2] + 7 * two[-2]) % 64)
+    bits = [
+        8 * sum(len(p) for *_, p in idcodec.encode_ids(np.array(x, np.uint16))) / len(x) for x in (flat, skewed, one, two)
+    ]
+    assert bits[0] < 6.5 and bits[1] < 4.5 and bits[2] < 2.5 and bits[3] < 3.6, bits
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 500, 4096, 4097, 9000])
 def test_id_blocks_round_trip(n):
     rnd = np.random.default_rng(n)
@@ -118,20 +152,25 @@ def test_repeats_are_coded_in_little_space():
     assert sum(len(p) for *_, p in idcodec.encode_ids(ids)) < len(ids) // 4
 
 
-def test_id_files(spark):
+def test_id_files(spark, monkeypatch):
     path = P.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    rows = [(i, t) for i, t, *_ in odd_rows() if i != 4]
+    rows = [(i, t) for i, t, *_ in odd_rows()] + [(7, prose(50 + k)) for k in range(300)]
+    monkeypatch.setattr(idcodec, "SEGMENT_IDS", 2000)  # a repeated id spans segments and partitions
     files = idcodec.write_id_files(frame(spark, rows), path)
     got = sorted(idcodec.read_id_files(files).collect(), key=lambda r: r["start"])
-    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
-    assert [r["doc_id"] for r in got] == [i for i, _ in ordered]
-    start = 0
-    for r, (_, text) in zip(got, ordered):
+    assert [r["doc_id"] for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    expected, start = collections.Counter(), 0
+    for i, text in rows:
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
-        assert (r["start"], r["n_tokens"]) == (start, len(ids))
-        assert r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
-        start += len(ids)
+        expected[i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+    for r in got:
+        assert r["start"] == start
+        start += r["n_tokens"]
+        expected[r["doc_id"], r["n_tokens"], r["ids_crc32"]] -= 1
+    assert not any(expected.values()) and len(got) == len(rows)
+    again = idcodec.read_id_files(idcodec.write_id_files(frame(spark, rows[::-1]), path)).collect()
+    assert sorted(map(tuple, again), key=str) == sorted(map(tuple, got), key=str)
     assert idcodec.read_id_files(idcodec.write_id_files(empty(spark), path)).count() == 0
 
 
