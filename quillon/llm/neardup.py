@@ -44,44 +44,124 @@ GRID = 8192  # postings of a frequent shingle that meet in one task
 HOT_RANK = 6  # shingles of cells with 32 documents or more are very frequent
 HOT_WORDS = 4  # 64-bit words of the bitmap of a document's very frequent prefix shingles
 LEADERS = 4  # smallest hashes by which a document looks for leaders
-KEPT_WORDS = 1 << 19
+KEPT_TEXTS = 1 << 19  # hashes of texts that a task keeps to tell repeated ones
+AT_ONCE = 1 << 20  # bytes of text, and shingles, that are worked on at a time
 _MIX = np.uint64(0x9FB21C651E98DF25)
 _S = np.uint64(32)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > KEPT_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> _S)) * _MIX
     h = (h ^ (h >> np.uint64(29))) * _MIX
     return h ^ (h >> _S)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+#: What each byte adds to the hash of its word; A-Z as a-z, white space ends words.
+_CODE = _mix(np.arange(1, 257, dtype=np.uint64))
+_CODE[ord("A") : ord("Z") + 1] = _CODE[ord("a") : ord("z") + 1]
+_SOLID = np.ones(256, bool)
+_SOLID[[9, 10, 11, 12, 13, 32]] = False
+_BASE = 0xD6E8FEB86659FD93
+
+
 class Shingler:
-    """Sorted distinct 64-bit shingle hashes of a text."""
+    """Sorted distinct 64-bit shingle hashes of texts.
+
+    Words are hashed without being taken out of their texts: the hash is a
+    polynomial of the word's bytes, a difference of running sums over the text."""
 
     def __init__(self, size: int):
         self.size = size
-        self.words = _WordHashes()
         self.factors = _mix(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
+        self.up = _powers(_BASE, AT_ONCE)
+        self.down = _powers(pow(_BASE, -1, 1 << 64), AT_ONCE)
+
+    def _words(self, data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and first bytes of the words in at most AT_ONCE bytes; a word
+        ends at white space and before each of ``breaks``."""
+        n = len(data)
+        solid = _SOLID[data]
+        before, after = np.r_[False, solid[:-1]], np.r_[solid[1:], False]
+        breaks = breaks[(breaks > 0) & (breaks < n)]
+        before[breaks] = False
+        after[breaks - 1] = False
+        first = np.flatnonzero(solid & ~before)
+        last = np.flatnonzero(solid & ~after)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_CODE[data] * self.up[:n], out=sums[1:])
+        return _mix((sums[last + 1] - sums[first]) * self.down[first]), first
+
+    def _long(self, data: np.ndarray) -> np.ndarray:
+        """Hashes of the words of a text of any length."""
+        out, at = [], 0
+        while at < len(data):
+            end = min(len(data), at + AT_ONCE)
+            if end < len(data):
+                blank = np.flatnonzero(~_SOLID[data[at:end]])
+                if len(blank):
+                    end = at + int(blank[-1]) + 1
+                else:  # a word of AT_ONCE bytes or more
+                    rest = np.flatnonzero(~_SOLID[data[end:]])
+                    end = end + int(rest[0]) if len(rest) else len(data)
+            if end - at < AT_ONCE or not _SOLID[data[at:end]].all():
+                out.append(self._words(data[at:end], np.zeros(0, np.int64))[0])
+            else:
+                word = xxhash.xxh3_64_intdigest(data[at:end].tobytes().lower())
+                out.append(np.array([word], np.uint64))
+            at = end
+        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+    def _windows(self, h: np.ndarray, width: int) -> np.ndarray:
+        total = np.full(max(0, len(h) - width + 1), width, np.uint64)
+        for k in range(width):
+            total += h[k : len(total) + k] * self.factors[k]
+        return _mix(total)
 
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        words = (text or b"").lower().split()
-        n = len(words)
+    def _set(self, windows: np.ndarray) -> np.ndarray:
+        s = np.sort(windows)
+        return s[np.r_[True, s[1:] != s[:-1]]] if len(s) else s
+
+    def sets(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The set of each text, in order; null and empty texts have none."""
+        texts = texts.cast(pa.large_binary())
+        n = len(texts)
         if not n:
-            return np.zeros(0, np.uint64)
-        h = np.fromiter(map(self.words.__getitem__, words), np.uint64, n)
-        width = min(n, self.size)
-        total = np.full(n - width + 1, width, np.uint64)  # short texts: one shingle
-        for k in range(width):
-            total += h[k : n - width + 1 + k] * self.factors[k]
-        return np.unique(_mix(total))
+            return
+        edges = np.frombuffer(texts.buffers()[1], np.int64, n + 1, 8 * texts.offset)
+        if texts.null_count:  # null texts may have bytes below them
+            texts = texts.fill_null(b"")
+            edges = np.frombuffer(texts.buffers()[1], np.int64, n + 1, 8 * texts.offset)
+        buffer = texts.buffers()[2]
+        data = np.frombuffer(buffer, np.uint8) if buffer else np.zeros(0, np.uint8)
+        row = 0
+        while row < n:
+            end = max(row + 1, int(np.searchsorted(edges, edges[row] + AT_ONCE, "right")) - 1)
+            part = data[edges[row] : edges[end]]
+            starts = edges[row:end] - edges[row]
+            if len(part) > AT_ONCE:
+                h, at = self._long(part), [0, -1]
+            else:
+                h, first = self._words(part, starts)
+                at = np.append(np.searchsorted(first, starts), len(first)).tolist()
+            whole = self._windows(h, self.size)
+            at[-1] = len(h)
+            for a, b in zip(at, at[1:]):
+                if b - a >= self.size:
+                    yield self._set(whole[a : b - self.size + 1])
+                elif a < b:  # a short text is one shingle
+                    yield self._windows(h[a:b], b - a)
+                else:
+                    yield np.zeros(0, np.uint64)
+            row = end
+
+    def __call__(self, text: bytes | None) -> np.ndarray:
+        return next(self.sets(pa.array([text], pa.binary())))
 
 
 @dataclass(frozen=True)
@@ -122,16 +202,25 @@ def _read_sets(size: int):
         shingles = Shingler(size)
         cells = np.zeros(1 << CELL_BITS, np.uint32)
         shift = np.uint64(64 - CELL_BITS)
+        waiting, size_ = [], 0
+
+        def add(parts):
+            at = np.sort(np.concatenate(parts))
+            edge = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            cells[at[edge]] += np.diff(np.r_[edge, len(at)]).astype(np.uint32)
+
         for batch in batches:
             n_, d1, d2 = [], [], []
-            for text in batch.column(2).cast(pa.binary()):
-                s = shingles(text.as_py())
+            for s in shingles.sets(batch.column(2)):
                 n_.append(len(s))
                 data = s.tobytes()
                 d1.append(xxhash.xxh3_64_intdigest(data) - (1 << 63))
                 d2.append(zlib.crc32(data))
-                # distinct shingles may share a cell, so the cells are added one by one
-                np.add.at(cells, (s >> shift).astype(np.int64), 1)
+                waiting.append((s >> shift).astype(np.uint32))
+                size_ += len(s)
+                if size_ >= AT_ONCE:
+                    add(waiting)
+                    waiting, size_ = [], 0
             rows = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [
@@ -145,6 +234,8 @@ def _read_sets(size: int):
                 ],
                 names=SETS.replace(",", "").split()[::2],
             )
+        if size_:
+            add(waiting)
         slab = len(cells) // SLABS
         yield pa.RecordBatch.from_arrays(
             [
@@ -193,7 +284,7 @@ class _Seen(set):
     def new(self, t: int) -> bool:
         if t in self:
             return False
-        if len(self) >= KEPT_WORDS:
+        if len(self) >= KEPT_TEXTS:
             self.clear()
         self.add(t)
         return True
@@ -217,10 +308,8 @@ def _prefixes(size: int, like: Similarity, hot: np.ndarray, counts: np.ndarray):
         rank_of[hot] = np.log2(np.maximum(counts, 1)).astype(np.int8) + 1
         for batch in batches:
             columns = [[] for _ in range(7)]
-            for t, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-                if not seen.new(t):
-                    continue
-                s = shingles(text.as_py())
+            batch = batch.filter(pa.array([seen.new(t) for t in batch.column(0).to_pylist()], pa.bool_()))
+            for t, s in zip(batch.column(0).to_pylist(), shingles.sets(batch.column(1))):
                 n = len(s)
                 if not n:
                     continue
@@ -508,7 +597,7 @@ def verify_pairs(texts: DataFrame, pairs: DataFrame, size: int, like: Similarity
         for batch in batches:
             part = batch.filter(_in_bitmap(bitmap, batch.column(2)))
             part = part.filter(pa.array([seen.new(t) for t in part.column(0).to_pylist()], pa.bool_()))
-            profiles = [_profile(shingles(t.as_py())) for t in part.column(1).cast(pa.binary())]
+            profiles = [_profile(s) for s in shingles.sets(part.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(profiles, pa.binary())], names=["t", "profile"]
             )
@@ -544,16 +633,17 @@ def verify_pairs(texts: DataFrame, pairs: DataFrame, size: int, like: Similarity
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(size)
-        last, own = None, None
         for batch in batches:
             a, b = [], []
-            for x, y, tx, ty in zip(*(batch.column(k) for k in range(4))):
-                y_ = y.as_py()
-                if y_ != last:
-                    last, own = y_, shingles((ty.as_py() or "").encode())
-                if like.holds(shingles((tx.as_py() or "").encode()), own):
-                    a.append(x.as_py())
-                    b.append(y_)
+            names = batch.column(1).to_pylist()
+            new = [k == 0 or y != names[k - 1] for k, y in enumerate(names)]
+            others = shingles.sets(batch.column(3).filter(pa.array(new, pa.bool_())))
+            rows = zip(batch.column(0).to_pylist(), names, new, shingles.sets(batch.column(2)))
+            for x, y, turn, s in rows:
+                own = next(others) if turn else own
+                if like.holds(s, own):
+                    a.append(x)
+                    b.append(y)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]
             )

@@ -127,6 +127,34 @@ def test_rows_that_repeat_an_id_keep_the_links_of_their_texts(spark):
     assert got[None] == {i + 1 for i, *_ in groups}
 
 
+def test_shingles_of_any_bytes(monkeypatch):
+    """Equal sets of words give equal hashes, however the texts are cut."""
+    import pyarrow as pa
+
+    rnd = random.Random(4)
+    words = ["a", "B", "b", "\u00e9", "xyz", "Z" * 40, "zz", "\u65e5\u672c", "0"]
+    texts = [None, "", "  ", "one", " One\n"] + [
+        "".join(rnd.choice(words) + rnd.choice([" ", "\t", "\r\n", "\x0b  "]) for _ in range(rnd.randint(0, 60)))
+        for _ in range(300)
+    ]
+    texts.append("x" * 500 + " " + "Y" * 100 + " y")
+    expected = [
+        len({tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))}) if (w := (t or "").encode().lower().split()) else 0
+        for t in texts
+    ]
+    whole = pa.array(texts, pa.string())
+    plain = [list(s) for s in neardup.Shingler(3).sets(whole)]
+    assert [len(s) for s in plain] == expected and plain[3] == plain[4]
+    assert [list(s) for s in neardup.Shingler(3).sets(whole.slice(7, 50))] == plain[7:57]
+    assert [list(neardup.Shingler(3)((t or "").encode())) for t in texts] == plain
+    shifted = [list(s) for s in neardup.Shingler(3).sets(pa.array(["q w " + (t or "") for t in texts[5:305]]))]
+    assert all(set(a) <= set(b) for a, b in zip(plain[5:305], shifted) if len(a) > 1)
+    for size in (64, 130):  # texts, and words, longer than what is hashed at a time
+        monkeypatch.setattr(neardup, "AT_ONCE", size)
+        short = [list(s) for s in neardup.Shingler(3).sets(whole)]
+        assert short[:-1] == plain[:-1] and [len(s) for s in short] == expected
+
+
 def test_join_odd_rows(spark):
     docs = spark.createDataFrame(odd_rows(), SCHEMA)
     got = neardup.jaccard_components(docs).collect()
