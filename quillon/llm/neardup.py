@@ -257,7 +257,9 @@ def _add_slabs(slabs):
     import pandas as pd
 
     total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64) for x in slabs["data"])
-    return pd.DataFrame({"slab": [slabs["doc_id"].iloc[0]], "data": [total.tobytes()]})
+    return pd.DataFrame(
+        {"slab": [slabs["doc_id"].iloc[0]], "total": [int(total.sum())], "data": [zlib.compress(total.tobytes(), 1)]}
+    )
 
 
 def frequent_cells(sketch: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -265,14 +267,26 @@ def frequent_cells(sketch: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     The sketch counts every shingle of every document; it has a fixed number
     of cells, so what comes to the driver does not grow with the input."""
-    got = sketch.groupBy("doc_id").applyInPandas(_add_slabs, "slab long, data binary").collect()
-    cells = np.zeros(1 << CELL_BITS, np.int64)
-    size = len(cells) // SLABS
-    for r in got:
-        cells[r["slab"] * size : (r["slab"] + 1) * size] = np.frombuffer(r["data"], np.int64)
-    mean = cells.mean()
-    hot = np.flatnonzero(cells > mean + 6 * np.sqrt(mean) + 16)
-    return hot, cells[hot]
+    slabs = materialize(
+        sketch.groupBy("doc_id").applyInPandas(_add_slabs, "slab long, total long, data binary"), "sketch"
+    )
+    mean = (slabs.agg(F.sum("total")).head()[0] or 0) / (1 << CELL_BITS)
+    bound, size = mean + 6 * np.sqrt(mean) + 16, (1 << CELL_BITS) // SLABS
+
+    def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for slab, data in zip(batch.column(0).to_pylist(), batch.column(2)):
+                counts = np.frombuffer(zlib.decompress(data.as_py()), np.int64)
+                at = np.flatnonzero(counts > bound)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(slab * size + at, pa.int64()), pa.array(counts[at])], names=["cell", "n"]
+                )
+
+    found = slabs.mapInArrow(above, "cell long, n long").toArrow()
+    drop_table(slabs)
+    cells, counts = (found.column(k).to_numpy() for k in (0, 1))
+    order = np.argsort(cells)
+    return cells[order], counts[order]
 
 
 PREFIXES = "t long, n long, l int, cool int, prefix binary, low binary, ordinary long"

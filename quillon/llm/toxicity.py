@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import drop_table, materialize, read_table
 
 SPACE_BITS = 20  # feature space before selection
 EDGES = ".,;:!?\"'()[]{}*#$%&|<>«»„“”’‘`~=-_/\\"
@@ -79,33 +79,32 @@ class ToxicityModel:
         return out
 
 
-def _kept_entries(rows: list[np.ndarray], column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Columns of the kept features of each row, and the rows they are of."""
-    at = column[np.concatenate(rows)]
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    order = np.lexsort((at, owner))
-    at, owner = at[order], owner[order]
-    return at[at >= 0], owner[at >= 0]
+def select_features(
+    in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int, max_features: int, min_texts: int, min_z: float
+) -> np.ndarray:
+    """Places of the features that are more frequent among ``n_p`` positives than
+    among ``n_u`` unlabelled texts, the strongest first."""
+    expected = in_u * (n_p / n_u)
+    z = np.where(in_p >= min_texts, (in_p - expected) / np.sqrt(expected + 1), -np.inf)
+    kept = np.argsort(-z, kind="stable")[:max_features]
+    return kept[z[kept] >= min_z]
 
 
 def train_nnpu(
     positive: list[str | None],
     unlabelled: list[str | None],
     prior: float,
-    rounds: int = 500,
-    rate: float = 0.1,
-    decay: float = 1e-4,
     max_features: int = 4096,
     min_texts: int = 4,
     min_z: float = 4.0,
+    **options,
 ) -> ToxicityModel:
     """Train on texts; ``prior`` is the share of positives among the unlabelled.
 
     Features are kept when at least ``min_texts`` positives have them and they
     are ``min_z`` standard deviations more frequent there than in the
-    unlabelled texts.  Weights are never negative: a toxic passage counts the
-    same in a long text as in a short one.  Without positives the model scores
-    every text near 0.
+    unlabelled texts, at most ``max_features``.  Without positives the model
+    scores every text near 0.
     """
     known: dict[str, tuple[int, ...]] = {}
     p_rows = [text_features(t, known) for t in positive]
@@ -115,15 +114,37 @@ def train_nnpu(
     space = 1 << SPACE_BITS
     in_p = np.bincount(np.concatenate(p_rows), minlength=space)
     in_u = np.bincount(np.concatenate(u_rows), minlength=space)
-    expected = in_u * (len(p_rows) / len(u_rows))
-    z = np.where(in_p >= min_texts, (in_p - expected) / np.sqrt(expected + 1), -np.inf)
-    kept = np.argsort(-z, kind="stable")[:max_features]
-    kept = kept[z[kept] >= min_z]
-    n = len(kept)
+    kept = select_features(in_p, in_u, len(p_rows), len(u_rows), max_features, min_texts, min_z)
     column = np.full(space, -1)
-    column[kept] = np.arange(n)
-    x_p, of_p = _kept_entries(p_rows, column)
-    x_u, of_u = _kept_entries(u_rows, column)
+    column[kept] = np.arange(len(kept))
+    return fit_weights([column[r] for r in p_rows], [column[r] for r in u_rows], kept, prior, **options)
+
+
+def fit_weights(
+    positive: list[np.ndarray],
+    unlabelled: list[np.ndarray],
+    kept: np.ndarray,
+    prior: float,
+    rounds: int = 500,
+    rate: float = 0.1,
+    decay: float = 1e-4,
+) -> ToxicityModel:
+    """Weights of the features ``kept`` by the non-negative risk estimator.
+
+    Each text is the places in ``kept`` of its features (-1: not kept).  Weights
+    are never negative: a toxic passage counts the same in a long text as in a
+    short one."""
+
+    def entries(rows):
+        at = np.concatenate(rows).astype(np.int64)
+        owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        order = np.lexsort((at, owner))
+        at, owner = at[order], owner[order]
+        return at[at >= 0], owner[at >= 0]
+
+    x_p, of_p = entries(positive)
+    x_u, of_u = entries(unlabelled)
+    n, n_p, n_u = len(kept), len(positive), len(unlabelled)
     w, b = np.zeros(n), -1.0
     m1, m2 = np.zeros(n + 1), np.zeros(n + 1)
 
@@ -131,13 +152,13 @@ def train_nnpu(
         return 1 / (1 + np.exp(-np.clip(v, -40, 40)))
 
     for step in range(1, rounds + 1):
-        s_p = sigma(b + np.bincount(of_p, w[x_p], len(p_rows)))
-        s_u = sigma(b + np.bincount(of_u, w[x_u], len(u_rows)))
+        s_p = sigma(b + np.bincount(of_p, w[x_p], n_p))
+        s_u = sigma(b + np.bincount(of_u, w[x_u], n_u))
         # sigmoid loss: a positive costs 1 - s, a negative s
         negative_risk = s_u.mean() - prior * s_p.mean()
-        d_p = -prior * s_p * (1 - s_p) / len(p_rows)
-        d_u = s_u * (1 - s_u) / len(u_rows)
-        d_minus = -prior * s_p * (1 - s_p) / len(p_rows)
+        d_p = -prior * s_p * (1 - s_p) / n_p
+        d_u = s_u * (1 - s_u) / n_u
+        d_minus = -prior * s_p * (1 - s_p) / n_p
         if negative_risk >= 0:
             g_p, g_u = d_p + d_minus, d_u
         else:  # step back from the overfitted negative risk alone
@@ -152,6 +173,20 @@ def train_nnpu(
     return ToxicityModel({int(f): float(x) for f, x in zip(kept, w)}, float(b))
 
 
+def _smallest_hashes(ids: DataFrame, n: int) -> DataFrame:
+    """``n`` of the ids (doc_id), those with the smallest hashes.
+
+    Only ids below a bound on the hash are put in order: about twice as many as
+    are wanted, whatever the size of the table."""
+    order = F.xxhash64(F.col("doc_id").cast("string"))
+    share, many = 1.0, ids.count()
+    if many > 4 * n:
+        share = 2 * n / many
+    bound = int(-(1 << 63) + share * ((1 << 64) - 1))
+    few = ids.where(order <= F.lit(min(bound, (1 << 63) - 1))).distinct()
+    return few.orderBy(order, "doc_id").limit(n)
+
+
 def fit_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -159,41 +194,82 @@ def fit_toxicity(
     max_unlabelled: int = 6000,
     folds: int = 4,
     held_fold: int = 2,
+    max_features: int = 4096,
+    min_texts: int = 4,
+    min_z: float = 4.0,
 ) -> ToxicityModel:
     """Fit on bounded samples of the training folds.
 
-    ``max_positive`` and ``max_unlabelled`` bound the rows that come to the
-    driver; both samples are the rows with the smallest id hashes.  The class
-    prior is the share of toxic rows among all training labels.  Labels of the
-    held-out fold are never read.
+    ``max_positive`` and ``max_unlabelled`` bound the rows that the model is
+    fitted on, ``max_features`` its features; both samples are the ids with the
+    smallest hashes (fewer where a few ids are most of the rows).  Texts become
+    features on the executors; the driver gets counts of features and, for each
+    text, which of the features kept it has.  The class prior is the share of
+    toxic rows among all training labels.  Labels of the held-out fold are never
+    read.
     """
-    order = F.xxhash64(F.col("doc_id").cast("string"))
     trained = labels.where(fold_of("doc_id", folds) != held_fold).where("toxic is not null")
     prior = trained.agg(F.avg((F.col("toxic") == 1).cast("double"))).head()[0]
-    toxic = trained.where("toxic = 1").select("doc_id").distinct().orderBy(order).limit(max_positive)
-    other = (
-        docs.where(fold_of("doc_id", folds) != held_fold)
-        .select("doc_id")
-        .distinct()
-        .orderBy(order)
-        .limit(max_unlabelled)
-    )
-    picked = toxic.withColumn("kind", F.lit(1)).union(other.withColumn("kind", F.lit(0)))
+    toxic = _smallest_hashes(trained.where("toxic = 1 and doc_id is not null").select("doc_id"), max_positive)
+    other = docs.where(fold_of("doc_id", folds) != held_fold).where("doc_id is not null").select("doc_id")
+    other = _smallest_hashes(other, max_unlabelled)
     # at most max_positive + max_unlabelled ids
-    rows = (
+    picked = toxic.withColumn("kind", F.lit(1)).union(other.withColumn("kind", F.lit(0)))
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, ...]] = {}
+        for batch in batches:
+            found = [text_features(t.as_py(), known) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))],
+                names=["doc_id", "kind", "found"],
+            )
+
+    sample = materialize(
         docs.select("doc_id", "text")
         .join(F.broadcast(picked.toDF("doc_id", "kind")), "doc_id")
-        .dropDuplicates(["doc_id", "kind"])
-        .select("kind", "text", "doc_id")
-        .toArrow()
+        .select("doc_id", "kind", "text")
+        .mapInArrow(features, "doc_id long, kind int, found array<int>")
+        .dropDuplicates(["doc_id", "kind"]),
+        "toxicity-sample",
     )
-    got = sorted(
-        zip(rows["kind"].to_pylist(), rows["doc_id"].to_pylist(), rows["text"].to_pylist()),
-        key=lambda r: (r[0], r[1]),
+    sizes = {r["kind"]: r["count"] for r in sample.groupBy("kind").count().collect()}
+    n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
+    if not n_p or not n_u:
+        drop_table(sample)
+        return ToxicityModel({}, -6.0)
+    counted = (
+        sample.select("kind", F.explode("found").alias("f")).groupBy("f")
+        .agg(F.count_if(F.col("kind") == 1).alias("p"), F.count_if(F.col("kind") == 0).alias("u"))
+        .where(F.col("p") >= min_texts)
+        .orderBy("f")
+        .toArrow()  # features of a bounded sample that several positives have
     )
-    return train_nnpu(
-        [t for k, _, t in got if k == 1],
-        [t for k, _, t in got if k == 0],
+    ids, in_p, in_u = (counted.column(k).to_numpy() for k in range(3))
+    place = select_features(in_p, in_u, n_p, n_u, max_features, min_texts, min_z)
+    kept = ids[place]
+    order = np.argsort(kept)
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.column(2):
+                own = row.values.to_numpy() if row.values is not None else np.zeros(0, np.int32)
+                at = np.minimum(np.searchsorted(kept, own, sorter=order), max(len(kept) - 1, 0))
+                out.append(np.sort(order[at[kept[order[at]] == own]]) if len(kept) else own[:0])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))],
+                names=["doc_id", "kind", "found"],
+            )
+
+    rows = sample.mapInArrow(chosen, "doc_id long, kind int, found array<int>").orderBy("kind", "doc_id").toArrow()
+    drop_table(sample)
+    kinds = rows["kind"].to_pylist()
+    texts = [x.values.to_numpy() for x in rows["found"]]
+    return fit_weights(
+        [t for t, k in zip(texts, kinds) if k == 1],
+        [t for t, k in zip(texts, kinds) if k == 0],
+        kept,
         min(max(prior or 0.0, 1e-3), 0.9),
     )
 
@@ -212,31 +288,36 @@ def score_toxicity(
     to 1) and predicted.  A null or empty text has the score of a text without
     features; a null doc_id is in the fold of the empty string; repeated rows
     each give a row; an empty table gives an empty result; other columns are
-    not read.
+    not read.  A kept column with the name of a result column gives way to it.
     """
-    keep = keep or ["doc_id"]
+    made = ["held_out", "score", "predicted"]
+    keep = [c for c in (keep or ["doc_id"]) if c not in made]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple] = {}
         for batch in batches:
             if len(known) > KEPT_WORDS:
                 known.clear()
-            text = batch.schema.get_field_index("text_")
-            scores = model.scores((t.as_py() for t in batch.column(text)), known)
+            scores = model.scores((t.as_py() for t in batch.column(2)), known)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(batch.column(x) for x in (*keep, "held_out")),
+                    batch.column(0),
+                    batch.column(1),
                     pa.array(scores, pa.float64()),
                     pa.array([int(s >= threshold) for s in scores], pa.int32()),
                 ],
-                names=[*keep, "held_out", "score", "predicted"],
+                names=["row", *made],
             )
 
+    # one struct carries what is kept, whatever its columns are called
     read = docs.select(
-        *keep, (fold_of("doc_id", folds) == held_fold).alias("held_out"), F.col("text").alias("text_")
+        F.struct(*keep).alias("row"), (fold_of("doc_id", folds) == held_fold).alias("held_out"), "text"
+    )
+    row = docs.select(F.struct(*keep).alias("row")).schema
+    scored = read.mapInArrow(
+        score, row.add("held_out", "boolean").add("score", "double").add("predicted", "integer")
     )
-    schema = docs.select(*keep).schema.add("held_out", "boolean")
-    return read.mapInArrow(score, schema.add("score", "double").add("predicted", "integer"))
+    return scored.select("row.*", *made)
 
 
 def op3_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -209,6 +209,29 @@ def test_toxicity_never_reads_held_labels(spark):
     assert a == b
 
 
+def test_fitting_on_the_executors_equals_training_on_texts(spark):
+    rows, labels = toxic_corpus()
+    model = toxicity.fit_toxicity(
+        frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    )
+    fold = lambda i: zlib.crc32(str(i).encode()) % 4
+    texts, own = dict(rows), [r for r in labels if fold(r[0]) != 2]
+    plain = toxicity.train_nnpu(
+        [texts[i] for i, _, t in sorted(own) if t],
+        [t for i, t in sorted(rows) if fold(i) != 2],
+        sum(t for *_, t in own) / len(own),
+    )
+    assert set(model.weights) == set(plain.weights) and model.weights
+    assert all(model.weights[f] == pytest.approx(w, abs=1e-6) for f, w in plain.weights.items())
+
+
+def test_kept_columns_with_names_of_results(spark):
+    docs = spark.createDataFrame([(1, "a", 5, "x", 7)], "doc_id long, text string, score int, text_ string, row int")
+    got = toxicity.score_toxicity(docs, toxicity.ToxicityModel({}, -1.0), keep=["doc_id", "score", "text_", "row", "text"])
+    assert got.columns == ["doc_id", "text_", "row", "text", "held_out", "score", "predicted"]
+    assert [r["text_"] for r in got.collect()] == ["x"]
+
+
 def test_toxicity_odd_rows(spark):
     rows, labels = toxic_corpus()
     model = toxicity.fit_toxicity(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
