@@ -20,28 +20,32 @@ def match_last_writes(events: DataFrame) -> DataFrame:
     """``events`` has key, role (sink, must, may or kill), instance and t.
 
     Returns relation, source, sink (source null in the no_source relations).
-    L comes from one window over each key's events; sources then join their
-    key's sinks on the span [L, sink) alone, so a sink reads only what may
-    match it.  An instance that is both a must source and a kill at one time
-    counts as one."""
-    steps = (
-        events.groupBy("key", "t").agg(
-            F.bool_or(F.col("role").isin("must", "kill")).alias("firm"),
-            F.bool_or(F.col("role") != "sink").alias("any"),
-        )
+    Each key's times are numbered by the must sources and kills up to them, in
+    one window; a sink joins the sources of its key and number, which are those
+    from L on, so it reads only what may match it.  An instance that is both a
+    must source and a kill at one time counts as one."""
+    steps = events.groupBy("key", "t").agg(
+        F.bool_or(F.col("role").isin("must", "kill")).alias("firm"),
+        F.bool_or(F.col("role") != "sink").alias("any"),
     )
-    before = Window.partitionBy("key").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("key").orderBy("t")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     spans = steps.select(
         "key", "t",
         F.last(F.when(F.col("firm"), F.col("t")), ignorenulls=True).over(before).alias("latest"),
         F.coalesce(F.max("any").over(before), F.lit(False)).alias("has_any"),
+        F.coalesce(F.count_if("firm").over(before), F.lit(0)).alias("firm_before"),
+        F.count_if("firm").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("firm_until"),
     )
-    sinks = events.where("role = 'sink'").select("key", "t", F.col("instance").alias("sink"))
-    sinks = sinks.join(spans, ["key", "t"]).withColumnRenamed("t", "sink_t")
-    others = events.where("role <> 'sink'").select("key", "t", "role", "instance")
-    near = sinks.join(others, "key").where(
-        (F.col("t") < F.col("sink_t")) & (F.col("latest").isNull() | (F.col("t") >= F.col("latest")))
+    placed = events.join(spans, ["key", "t"])
+    sinks = placed.where("role = 'sink'").select(
+        "key", F.col("t").alias("sink_t"), F.col("instance").alias("sink"), "latest", "has_any",
+        F.col("firm_before").alias("span"),
     )
+    others = placed.where("role <> 'sink'").select(
+        "key", "t", "role", "instance", F.col("firm_until").alias("span")
+    )
+    near = sinks.join(others, ["key", "span"]).where("t < sink_t")
     at_last = F.col("t") == F.col("latest")
     same = Window.partitionBy("key", "sink", "sink_t")
     ranked = near.withColumn("n", F.size(F.collect_set(F.struct("instance", "t")).over(same)))

@@ -220,25 +220,33 @@ def pair_calls(trace: DataFrame) -> DataFrame:
     )
 
 
-def unique_stacks(trace: DataFrame) -> DataFrame:
-    """Number of distinct call stacks; an empty trace raises.
+def call_stacks(trace: DataFrame) -> DataFrame:
+    """thread, enter_tsc, func_id and the stack (functions from the outermost in)
+    of each call.
+
+    The function at each depth of a stack is the last one entered at that depth,
+    so a stack is read off running maxima, one for each depth that a thread
+    reaches; no call is compared with another."""
+    calls = pair_calls(trace)
+    deepest = calls.agg(F.max("depth")).head()[0] or 0
+    if deepest > 1000:
+        raise ValueError("a call stack of more than 1,000 calls")
+    order = Window.partitionBy("thread").orderBy("enter_tsc")
+    at = [
+        F.last(F.when(F.col("depth") == d, F.col("func_id")), ignorenulls=True).over(order)
+        for d in range(1, deepest + 1)
+    ]
+    every = F.array(*at) if at else F.array().cast("array<int>")
+    return calls.select(
+        "thread", "enter_tsc", "func_id", "depth", every.alias("every")
+    ).select("thread", "enter_tsc", "func_id", F.slice("every", 1, F.col("depth").cast("int")).alias("stack"))
 
-    The stack at a call is the last call of each smaller depth before it."""
+
+def unique_stacks(trace: DataFrame) -> DataFrame:
+    """Number of distinct call stacks; an empty trace raises."""
     if trace.isEmpty():
         raise ValueError("No instrumented calls were accounted in the input file")
-    calls = pair_calls(trace)
-    outer = calls.alias("o")
-    inner = calls.alias("i")
-    inside = inner.join(
-        outer,
-        (F.col("o.thread") == F.col("i.thread"))
-        & (F.col("o.enter_tsc") <= F.col("i.enter_tsc"))
-        & (F.coalesce("o.exit_tsc", F.lit((1 << 63) - 1)) >= F.col("i.enter_tsc")),
-    )
-    stacks = inside.groupBy("i.thread", "i.enter_tsc").agg(
-        F.array_sort(F.collect_list(F.struct("o.depth", "o.func_id"))).alias("stack")
-    )
-    return stacks.agg(F.count_distinct("stack").alias("unique_stacks"))
+    return call_stacks(trace).agg(F.count_distinct("stack").alias("unique_stacks"))
 
 
 # coverage
@@ -270,26 +278,53 @@ def coverage_report(functions: DataFrame) -> DataFrame:
 # symbols and addresses
 
 
-def lookup_addresses(
-    addresses: DataFrame, ranges: DataFrame, bits: int = 12
-) -> DataFrame:
+#: Sizes of pieces by which ranges are found: a range is cut at multiples of the
+#: smallest size that is not below its own, so into two pieces at most.
+PIECE_BITS = (8, 16, 24, 32, 40, 48, 63)
+
+
+def lookup_addresses(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
     """All ranges [start_addr, end_addr) that hold each address; addresses
     without one keep a row of nulls.
 
-    Ranges are cut at multiples of 2^bits and joined on the piece number, so
-    the join is on equal keys and not a comparison of all pairs."""
-    piece = F.explode(
-        F.sequence(F.shiftright("start_addr", bits), F.shiftright(F.col("end_addr") - 1, bits))
-    ).alias("piece")
-    cut = ranges.where("end_addr > start_addr").select("*", piece)
-    found = addresses.withColumn("piece", F.shiftright("address", bits))
-    return found.join(
-        cut,
-        (found["piece"] == cut["piece"])
-        & (F.col("address") >= F.col("start_addr"))
-        & (F.col("address") < F.col("end_addr")),
-        "left",
-    ).drop("piece")
+    Ranges of like width are joined on the number of the piece that an address
+    lies in: equal keys, at most two rows for a range and one for an address and
+    a width class, however wide the ranges are."""
+    width = F.col("end_addr") - F.col("start_addr")
+    bits = F.coalesce(*(F.when(width <= 1 << b, b) for b in PIECE_BITS[:-1]), F.lit(PIECE_BITS[-1]))
+
+    def piece(column, bits):
+        return F.expr(f"shiftright({column}, {bits})")
+
+    cut = (
+        ranges.where("end_addr > start_addr")
+        .withColumn("bits", bits)
+        .withColumn("piece", F.explode(F.array_distinct(F.array(piece("start_addr", "bits"), piece("end_addr - 1", "bits")))))
+    )
+    asked = addresses.withColumn("asked", F.monotonically_increasing_id())
+    classes = F.explode(F.array(*map(F.lit, PIECE_BITS))).alias("bits")
+    found = (
+        addresses.select("address").distinct().select("address", classes)
+        .withColumn("piece", piece("address", "bits"))
+        .join(cut, ["bits", "piece"])
+        .where("address >= start_addr and address < end_addr")
+        .drop("bits", "piece")
+    )
+    return asked.join(found, "address", "left").drop("asked").select(
+        *addresses.columns, *ranges.columns
+    )
+
+
+def lookup_lines(lines: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Lookup of text lines: a line that is a hexadecimal address gets its
+    ranges, any other line passes through as it is."""
+    address = F.when(
+        F.col("line").rlike("^(0x)?[0-9a-fA-F]{1,15}$"),
+        F.conv(F.regexp_replace("line", "^0x", ""), 16, 10).cast("bigint"),
+    )
+    asked = lines.withColumn("address", address)
+    plain = asked.where("address is null")
+    return lookup_addresses(asked.where("address is not null"), ranges).unionByName(plain, allowMissingColumns=True)
 
 
 def correspond(before: DataFrame, after: DataFrame, normal) -> DataFrame:

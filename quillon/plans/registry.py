@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import reference_queries, relational
+from . import reference_queries, relational, surveyed
 
-QUERIES = {**reference_queries.QUERIES, **relational.QUERIES}
-ORACLE_SQL = {**reference_queries.oracle(), **relational.ORACLE_SQL}
+QUERIES = {**reference_queries.QUERIES, **relational.QUERIES, **surveyed.QUERIES}
+ORACLE_SQL = {**reference_queries.oracle(), **relational.ORACLE_SQL, **surveyed.oracle()}

@@ -9,10 +9,11 @@ FAILFAST mode and gives a row with ``error`` set in PERMISSIVE mode.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +31,19 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _empty_files(spark: SparkSession, path: str) -> list[str]:
+    """Files without a byte, which Spark's own readers pass over."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x for x in system.globStatus(where) or []]
+    listed = [f for x in found for f in (system.listStatus(x.getPath()) if x.isDirectory() else [x])]
+    hidden = lambda name: name.startswith(("_", "."))
+    return [
+        f.getPath().toString() for f in listed
+        if f.isFile() and not f.getLen() and not hidden(f.getPath().getName()) and "part-" not in f.getPath().getName()
+    ]
+
+
 def parse_each(
     files: DataFrame, parse: Callable[[str], list[tuple]], schema: str, mode: str = "FAILFAST"
 ) -> DataFrame:
@@ -93,9 +107,67 @@ def parse_remarks(text: str) -> list[tuple]:
     return out
 
 
+def _unquoted(c):
+    c = F.trim(c)
+    single = F.replace(F.regexp_extract(c, "^'(.*)'$", 1), F.lit("''"), F.lit("'"))
+    return (
+        F.when(c.rlike("^'.*'$") & (F.length(c) > 1), single)
+        .when(c.rlike('^".*"$') & (F.length(c) > 1), F.regexp_extract(c, '^"(.*)"$', 1))
+        .otherwise(c)
+    )
+
+
 def read_remarks(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
-    """remark_type, pass, name, function, args of each remark of YAML files."""
-    return parse_each(_files(spark, path), parse_remarks, REMARKS, mode)
+    """remark_type, pass, name, function, args of each remark of YAML files.
+
+    Files are split at the line that begins a document, so a file of any size is
+    read by many tasks; documents are taken apart by column expressions.  Of an
+    argument that occurs twice the last counts.  A document without Pass, Name or
+    Function, and an empty file, are malformed (an empty part of a written folder
+    is not)."""
+    documents = (
+        spark.read.option("lineSep", "\n--- ").text(path)
+        .select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^--- ", "").alias("value"))
+        .where(F.col("value").rlike(r"(?m)^\s*[^#\s]"))  # not blank lines and comments alone
+    )
+    body = F.regexp_replace("value", r"(?ms)^\.\.\.\s*$.*", "")
+
+    def key(name):
+        pattern = rf"(?m)^{name}:[ \t]*(.*?)[ \t\r]*$"
+        return F.when(body.rlike(pattern), _unquoted(F.regexp_extract(body, pattern, 1)))
+
+    # arguments stand behind the line "Args:", indented
+    listed = F.regexp_extract(body, r"(?ms)^Args:[^\n]*\n(.*)", 1)
+    item = F.lit(r"(?m)^[ \t]+-[ \t]+([^:\n]+):[ \t]*(.*?)[ \t\r]*$")
+    names = F.transform(F.regexp_extract_all(listed, item, F.lit(1)), F.trim)
+    entries = F.zip_with(
+        names, F.transform(F.regexp_extract_all(listed, item, F.lit(2)), _unquoted), lambda k, v: F.struct(k.alias("k"), v.alias("v"))
+    )
+    parts = documents.select(
+        "file",
+        F.regexp_extract("value", r"^!?(\S*)", 1).alias("remark_type"),
+        key("Pass").alias("pass"), key("Name").alias("name"), key("Function").alias("function"),
+        entries.alias("entries"),
+    )
+    last = F.filter(
+        "entries",
+        lambda e, i: ~F.exists(F.slice(F.col("entries"), i + 2, F.size("entries")), lambda o: o["k"] == e["k"]),
+    )
+    missing = F.coalesce(*(F.when(F.col(c).isNull(), f"remark without {c.title()}") for c in ("pass", "name", "function")))
+    empty = spark.createDataFrame(
+        [(file, "document root is not of mapping type") for file in _empty_files(spark, path)], "file string, error string"
+    )
+    found = parts.select(
+        "file", missing.alias("error"), "remark_type", "pass", "name", "function", F.map_from_entries(last).alias("args")
+    ).unionByName(empty, allowMissingColumns=True)
+    if mode == "FAILFAST":
+        # in a filter, which is evaluated whatever columns are asked for
+        raised = F.raise_error(F.concat_ws(": ", "file", "error")).cast("boolean")
+        return found.where(F.when(F.col("error").isNotNull(), raised).otherwise(F.lit(True)))
+    return found.select(
+        "file", "error",
+        *(F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in ("remark_type", "pass", "name", "function", "args")),
+    )
 
 
 # instrumentation profiles: name, hash, counters, value sites, one number a line
@@ -290,6 +362,36 @@ def read_ranges(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataF
     return parse_each(_files(spark, path), parse_ranges, RANGES, mode)
 
 
+def lines_of(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """file and value of texts that are records of ``n`` lines each: every record
+    is a row, so a file of any size is read by many tasks."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), "value",
+    )
+    in_file = Window.partitionBy("file").orderBy("block", "at")
+    record = F.floor((F.row_number().over(in_file) - 1) / n)
+    return (
+        lines.withColumn("record", record).groupBy("file", "record")
+        .agg(F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("l"))
+        .select("file", F.array_join(F.transform("l", lambda x: x["value"]), "\n").alias("value"))
+    )
+
+
+def read_stacks(spark: SparkSession, path: str) -> DataFrame:
+    """file, frames (array of text) and warning of sampled stacks: blocks of lines
+    between blank lines.  A stack with a line [truncated] keeps its other frames
+    and has a warning."""
+    blocks = spark.read.option("lineSep", "\n\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.filter(F.transform(F.split("value", "\n"), F.trim), lambda x: x != "").alias("lines"),
+    )
+    cut = F.array_contains("lines", "[truncated]")
+    return blocks.where(F.size("lines") > 0).select(
+        "file", F.array_remove("lines", "[truncated]").alias("frames"), F.when(cut, "truncated stack").alias("warning")
+    )
+
+
 def read_symbol_list(spark: SparkSession, path: str) -> DataFrame:
     """One name a line; blank lines and # comments are skipped."""
     names = spark.read.text(path).select(F.trim("value").alias("name"))
@@ -314,6 +416,74 @@ def read_strings(spark: SparkSession, path: str, least: int = 4) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, schema)
 
 
+def _binary(spark: SparkSession, path: str, parse: Callable[[bytes], list[tuple]], schema: str) -> DataFrame:
+    names = T.StructType.fromDDL(schema).names
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file, content in zip(batch["path"], batch["content"]):
+                try:
+                    out = [(file, *r) for r in parse(content)]
+                except (struct.error, IndexError) as e:
+                    raise ParseError(f"{file}: {e}") from e
+                yield pd.DataFrame(out, columns=["file", *names])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(rows, f"file string, {schema}")
+
+
+def parse_coverage(content: bytes) -> list[tuple]:
+    """Addresses of a coverage file: a magic number that tells the width of a
+    word, then words."""
+    (magic,) = struct.unpack_from("<Q", content)
+    # Magic numbers of files with 64-bit and 32-bit words.
+    width = {0xC0BFFFFFFFFFFF64: 8, 0xC0BFFFFFFFFFFF32: 4}.get(magic)
+    if width is None or (len(content) - 8) % width:
+        raise ParseError("not a coverage file")
+    words = struct.unpack_from(f"<{(len(content) - 8) // width}{'Q' if width == 8 else 'I'}", content, 8)
+    return [(w,) for w in words]
+
+
+def read_coverage(spark: SparkSession, path: str) -> DataFrame:
+    """file and address of each covered point."""
+    return _binary(spark, path, parse_coverage, "address bigint")
+
+
+SYMBOLS = "name string, value bigint, size bigint, type string, binding string, section int"
+
+
+def parse_symbols(content: bytes) -> list[tuple]:
+    """The symbol table of a 64-bit little-endian ELF file; an undefined symbol
+    has no section."""
+    if content[:6] != b"\x7fELF\x02\x01":
+        raise ParseError("not a 64-bit little-endian ELF file")
+    (table,) = struct.unpack_from("<Q", content, 40)
+    size, count = struct.unpack_from("<HH", content, 58)
+    sections = [struct.unpack_from("<IIQQQQIIQQ", content, table + k * size) for k in range(count)]
+    kinds, bindings = ["notype", "object", "func", "section", "file"], ["local", "global", "weak"]
+    out = []
+    for section in sections:
+        if section[1] != 2:  # a symbol table
+            continue
+        names = sections[section[6]]
+        text = content[names[4] : names[4] + names[5]]
+        for at in range(section[4] + 24, section[4] + section[5], 24):  # the first entry is empty
+            name, info, _, place, value, length = struct.unpack_from("<IBBHQQ", content, at)
+            kind, binding = info & 15, info >> 4
+            out.append((
+                text[name : text.index(b"\0", name)].decode(), value, length,
+                kinds[kind] if kind < len(kinds) else str(kind),
+                bindings[binding] if binding < len(bindings) else str(binding),
+                place or None,
+            ))
+    return out
+
+
+def read_symbols(spark: SparkSession, path: str) -> DataFrame:
+    """The symbols of object files."""
+    return _binary(spark, path, parse_symbols, SYMBOLS)
+
+
 def split_file(text_df: DataFrame) -> DataFrame:
     """Parts of multi-document texts (column value): a line ``//--- name`` (or
     ``#--- name``) begins the part ``name``; line endings are kept."""
@@ -358,6 +528,33 @@ def write_profile(df: DataFrame, path: str, source: str | None = None) -> None:
     df.write.parquet(path)
 
 
+def format_sample_profile(samples: DataFrame) -> DataFrame:
+    """The text form of flat sample profiles (name, total, head, lines: array of
+    (line, samples)), a row for each function."""
+    lines = F.transform(
+        F.array_sort("lines"), lambda x: F.concat(F.lit(" "), x["line"].cast("string"), F.lit(": "), x["samples"].cast("string"))
+    )
+    head = F.concat_ws(":", "name", F.col("total").cast("string"), F.col("head").cast("string"))
+    return samples.select(F.concat_ws("\n", head, lines).alias("value"))
+
+
+def instr_profile_lines(profiles: DataFrame) -> DataFrame:
+    """The text form of instrumentation profiles (name, hash, counters), a row of
+    lines for each record, for ``write_lines``."""
+    digits = F.transform("counters", lambda c: c.cast("string"))
+    return profiles.select(
+        F.concat_ws(
+            "\n", "name", F.lit("# Func Hash:"), F.col("hash").cast("string"), F.lit("# Num Counters:"),
+            F.size("counters").cast("string"), F.lit("# Counter Values:"), digits, F.lit(""),
+        ).alias("value")
+    )
+
+
+def read_profile(spark: SparkSession, path: str) -> DataFrame:
+    """Rescan of ``write_profile``."""
+    return spark.read.parquet(path)
+
+
 def lcov_lines(functions: DataFrame) -> DataFrame:
     """Coverage export in lcov form of (file, function, line, count), as one
     column of lines a file."""
