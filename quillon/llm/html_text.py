@@ -50,27 +50,60 @@ IMPLIED_ENDS = {
 ENDS_P = BLOCK_TAGS - {"html", "body", "button", "caption", "td", "th", "tr", "option", "legend"}
 
 
+#: What may stand in a head; any other tag, and text, ends it.
+HEAD_TAGS = frozenset("base basefont bgsound link meta title style script noscript template".split())
+
+
+class Node:
+    """An open element; the elements around it are shared by all that it holds."""
+
+    __slots__ = ("tag", "names", "outer", "features")
+
+    def __init__(self, tag: str, names: tuple[str, ...], outer: "Node | None"):
+        self.tag, self.names, self.outer = tag, names, outer
+        self.features: frozenset[str] | None = None
+
+    def inherited(self, known=None) -> frozenset[str]:
+        """Features of the elements from here out, those in ``known`` alone if it
+        is given; a set is made anew only where an element adds to it."""
+        chain = []
+        node = self
+        while node is not None and node.features is None:
+            chain.append(node)
+            node = node.outer
+        found = node.features if node is not None else frozenset()
+        for node in reversed(chain):
+            own = {f"name:{x}" for x in node.names}
+            if node.tag in BLOCK_TAGS:
+                own.add(f"in:{node.tag}")
+            if known is not None:
+                own = {f for f in own if f in known}
+            found = found if own <= found else found | own
+            node.features = found
+        return found
+
+
 class LeafBlocks(HTMLParser):
-    """Leaf blocks of a page: text, ancestors, characters inside links."""
+    """Leaf blocks of a page: text, innermost element, characters inside links."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.stack: list[Node] = []
         self.hidden = 0
         self.links = 0
         self.parts: list[str] = []
         self.linked = 0
-        self.blocks: list[tuple[str, tuple, int]] = []
+        self.blocks: list[tuple[str, Node | None, int]] = []
 
     def flush(self):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.blocks.append((text, tuple(self.stack), self.linked))
+                self.blocks.append((text, self.stack[-1] if self.stack else None, self.linked))
         self.parts, self.linked = [], 0
 
     def _pop(self):
-        tag, _ = self.stack.pop()
+        tag = self.stack.pop().tag
         if tag in HIDDEN_TAGS:
             self.hidden -= 1
         elif tag == "a":
@@ -78,7 +111,7 @@ class LeafBlocks(HTMLParser):
 
     def _close(self, names, scopes):
         for at in range(len(self.stack) - 1, -1, -1):
-            tag = self.stack[at][0]
+            tag = self.stack[at].tag
             if tag in names:
                 while len(self.stack) > at:
                     self._pop()
@@ -86,7 +119,14 @@ class LeafBlocks(HTMLParser):
             if tag in scopes:
                 return
 
+    def _end_head(self):
+        """The end tag of a head may be left out."""
+        if self.hidden and self.stack[-1].tag == "head":
+            self._pop()
+
     def handle_starttag(self, tag, attrs):
+        if tag not in HEAD_TAGS:
+            self._end_head()
         if tag in BLOCK_TAGS:
             self.flush()
             if tag in ENDS_P:
@@ -98,7 +138,8 @@ class LeafBlocks(HTMLParser):
         if tag in VOID_TAGS:
             return
         names = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
-        self.stack.append((tag, tuple(re.findall(r"[a-z]+", names.lower())) if names else ()))
+        names = tuple(re.findall(r"[a-z]+", names.lower())) if names else ()
+        self.stack.append(Node(tag, names, self.stack[-1] if self.stack else None))
         if tag in HIDDEN_TAGS:
             self.hidden += 1
         elif tag == "a":
@@ -113,21 +154,25 @@ class LeafBlocks(HTMLParser):
         if tag in BLOCK_TAGS or tag in HIDDEN_TAGS:
             self.flush()
         for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == tag:
+            if self.stack[at].tag == tag:
                 while len(self.stack) > at:
                     self._pop()
                 return
-            if tag not in BLOCK_TAGS and self.stack[at][0] in BLOCK_TAGS:
+            if tag not in BLOCK_TAGS and self.stack[at].tag in BLOCK_TAGS:
                 return  # an inline end tag does not end a block
 
     def handle_data(self, data):
+        if self.hidden and data.strip():
+            self._end_head()
         if not self.hidden:
             self.parts.append(data)
             if self.links:
                 self.linked += len(data)
 
 
-def leaf_blocks(html: str) -> list[tuple[str, tuple, int]]:
+def leaf_blocks(html: str) -> list[tuple[str, Node | None, int]]:
+    """The blocks of a page in order, in memory that grows with its text and its
+    tags; optional end tags may be left out, and broken markup is read on."""
     parser = LeafBlocks()
     parser.feed(html)
     parser.close()
@@ -135,18 +180,14 @@ def leaf_blocks(html: str) -> list[tuple[str, tuple, int]]:
     return parser.blocks
 
 
-def block_features(blocks: list[tuple[str, tuple, int]]) -> list[list[str]]:
-    """Names of the features that hold for each block."""
+def block_features(blocks: list[tuple[str, Node | None, int]], known=None) -> list[list[str]]:
+    """Names of the features that hold for each block, those in ``known`` alone if
+    it is given."""
     out = []
-    for text, path, linked in blocks:
+    for text, node, linked in blocks:
         n = len(text)
         words = text.count(" ") + 1
-        own = path[-1][0] if path else "none"
-        found = {"bias", f"own:{own}"}
-        for tag, names in path:
-            if tag in BLOCK_TAGS:
-                found.add(f"in:{tag}")
-            found.update(f"name:{x}" for x in names)
+        found = {"bias", f"own:{node.tag if node else 'none'}"}
         share = linked / n
         found.add("links:all" if share > 0.8 else "links:some" if share > 0.3 else "links:few")
         found.add("long" if words >= 25 else "middle" if words >= 8 else "short")
@@ -154,7 +195,9 @@ def block_features(blocks: list[tuple[str, tuple, int]]) -> list[list[str]]:
             found.add("ends")
         if "©" in text or "|" in text:
             found.add("mark")
-        out.append(sorted(found))
+        if known is not None:
+            found = {f for f in found if f in known}
+        out.append(sorted(found | node.inherited(known) if node else found))
     return out
 
 
@@ -380,7 +423,7 @@ def page_model() -> ChainCRF:
 
 def main_text(html: str | None, model: ChainCRF) -> str:
     blocks = leaf_blocks(html or "")
-    labels = model.decode(block_features(blocks))
+    labels = model.decode(block_features(blocks, model.weights))
     return " ".join(text for (text, _, _), label in zip(blocks, labels) if label)
 
 
@@ -390,8 +433,9 @@ def extract_pages(pages: DataFrame, model: ChainCRF | None = None) -> DataFrame:
     Returns page_id, url, text and n_chars (code points).  A null or empty
     html, and a page without a block of main text, give the empty text;
     repeated rows each give a row; an empty table gives an empty result; other
-    columns are not read.  Broken markup is read as far as it goes: nothing is
-    dropped but what the field labels as not main text.
+    columns are not read.  Optional tags may be left out, and broken markup is read
+    as far as it goes: nothing is dropped but what the field labels as not main
+    text and what is never shown (head, scripts, styles and the like).
     """
     model = model or page_model()
 

@@ -290,7 +290,58 @@ def test_extraction(spark):
         "page_id long, url string, html string, text string",
     )
     got = html_text.extract_pages(pages).collect()
-    assert [(r["page_id"], r["text"], r["n_chars"]) for r in got][:4] == [
-        (1, expected, len(expected)), (2, "", 0), (3, "", 0), (1, expected, len(expected))
+    assert [(r["page_id"], r["text"], r["n_chars"]) for r in got] == [
+        (1, expected, len(expected)), (2, "", 0), (3, "", 0), (1, expected, len(expected)), (None, "", 0)
     ]
     assert html_text.extract_pages(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("head", [
+    "<html><head><title>T</title></head><body>", "<html><head><title>T</title><body>", "<title>T</title><body>",
+    "<!DOCTYPE html><head><meta charset=utf-8><title>T</title><style>p{}</style>", "<head><title>T</title>", "",
+])
+def test_optional_tags_may_be_left_out(head):
+    article = "<article><h1>A title of it</h1><p>First words of the article are here, and they go on.<p>Second and last part of the article, which ends."
+    nav = "<nav><ul><li><a href=x>Home</a><li><a href=y>News</a></ul></nav>"
+    expected = "A title of it First words of the article are here, and they go on. Second and last part of the article, which ends."
+    assert html_text.main_text(head + nav + article + "</article><footer>&copy; 2020 us.", html_text.page_model()) == expected
+    blocks = [t for t, *_ in html_text.leaf_blocks(head + "plain text<p>more")]
+    assert blocks == ["plain text", "more"]
+
+
+def test_deep_pages_take_linear_memory():
+    import time
+    import tracemalloc
+
+    def peak(depth):
+        html = "".join(f"<div class=c{k % 7}>words of level {k}" for k in range(depth))
+        tracemalloc.start()
+        blocks = html_text.leaf_blocks(html)
+        features = html_text.block_features(blocks, html_text.page_model().weights)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(features) == depth
+        return most
+
+    html_text.page_model()
+    began = time.time()
+    assert peak(8000) < 3 * peak(4000) and peak(4000) < 30e6
+    assert time.time() - began < 20
+    assert html_text.main_text("</div>" * 5000 + "<p>" * 5000, html_text.page_model()) == ""
+
+
+def test_blocks_of_the_real_pages(spark, sf_dir):
+    """All rows of ``pages``, labelled by what was seen in them: every page is a
+    menu, one advert, an article (a title and paragraphs) and a footer."""
+    model = html_text.page_model()
+    right = found = wanted = 0
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        blocks = html_text.leaf_blocks(r["html"])
+        labels = model.decode(html_text.block_features(blocks, model.weights))
+        article = {t for t, *_ in html_text.leaf_blocks(re.search(r"(?s)<article>.*?(?=</article>|$)", r["html"])[0])}
+        outside = {t for t, *_ in html_text.leaf_blocks(re.sub(r"(?s)<article>.*?(</article>|$)", "", r["html"]))}
+        for (text, _, _), label in zip(blocks, labels):
+            assert (text in article) or (text in outside)
+            own = text in article and text not in outside
+            right, found, wanted = right + (own and label), found + label, wanted + own
+    assert wanted > 300 and right / found > 0.99 and right / wanted > 0.99
