@@ -244,6 +244,81 @@ def test_class_transitions_count_every_training_pair(spark):
         assert r["score"] == pytest.approx(score(tokens[r["doc_id"]]), abs=1e-4)
 
 
+def brute_class_scores(rows, n_frequent, n_classes):
+    """The whole model by dictionaries: counts, classes in two steps, transitions."""
+    tokens = [(i, (t or "").encode().lower().split() + [b" "]) for i, t in rows]
+    train = [t for i, t in tokens if zlib.crc32(str(i).encode()) % 10]
+    counts = collections.Counter(w for t in train for w in t)
+    pairs = collections.Counter(p for t in train for p in zip([b" ", *t], t))
+    words = sorted((w for w in counts if w != b" "), key=lambda w: (-counts[w], class_lm.word_hash(w)))
+    frequent = [b" ", *words[: n_frequent - 1]]
+    place, k, c = {w: p for p, w in enumerate(frequent)}, len(frequent), n_classes + 1
+    bigrams = np.zeros((k, k))
+    for (x, y), n in pairs.items():
+        if x in place and y in place:
+            bigrams[place[x], place[y]] += n
+    of = class_lm.exchange_clusters(bigrams, np.array([counts[w] for w in frequent]), n_classes)
+    class_of = {w: int(of[p]) for w, p in place.items()}
+
+    def sums():
+        table, size = np.zeros((c, c)), np.zeros(c)
+        for (x, y), n in pairs.items():
+            if x in class_of and y in class_of:
+                table[class_of[x], class_of[y]] += n
+        for w, n in counts.items():
+            if w in class_of:
+                size[class_of[w]] += n
+        return table, size
+
+    for _ in range(2):
+        table, size = sums()
+        share = (size + 1) / (size.sum() + c)
+        next_ = np.log((table + class_lm.PULL * share) / (table.sum(axis=1, keepdims=True) + class_lm.PULL))
+        placed = {}
+        for w in words:
+            if w in place:
+                continue
+            gain = np.log(share)
+            for (x, y), n in pairs.items():
+                if y == w and x in class_of:
+                    gain = gain + n * next_[class_of[x]]
+                if x == w and y in class_of:
+                    gain = gain + n * next_[:, class_of[y]]
+            placed[w] = int(np.argmax(gain[: c - 1]))
+        class_of |= placed
+    table, size = sums()
+    total = sum(counts.values())
+    once = (sum(n == 1 for n in counts.values()) + 0.1) / (total + 0.2)
+    share = (size + 1e-9) / (size.sum() + 1e-9 * c)
+    step = (table + class_lm.PULL * share) / (table.sum(axis=1, keepdims=True) + class_lm.PULL)
+    out = {}
+    for i, t in tokens:
+        before, sum_ = n_classes, 0.0
+        for w in t:
+            if not counts[w]:
+                sum_, before = sum_ + math.log10(once), None
+                continue
+            of_w = class_of[w]
+            p = share[of_w] if before is None else step[before, of_w]
+            sum_ += math.log10(p * (1 - once) * counts[w] / size[of_w])
+            before = of_w
+        out[i] = sum_
+    return out
+
+
+def test_scores_equal_the_model_by_brute_force(spark):
+    rnd = random.Random(21)
+    groups = [[f"{g}{k}" for k in range(25)] for g in "pqr"]
+    rows = [
+        (i, " ".join(rnd.choice(groups[(k + rnd.randint(0, 1)) % 3]) for k in range(rnd.randint(5, 30))))
+        for i in range(150)
+    ] + [(500, "never seen words"), (501, None)]
+    got = class_lm.score_texts(frame(spark, rows), n_frequent=30, n_classes=4).collect()
+    expected = brute_class_scores(rows, 30, 4)
+    for r in got:
+        assert r["score"] == pytest.approx(expected[r["doc_id"]], abs=1e-6)
+
+
 def test_words_with_rare_neighbours_alone_are_placed(spark):
     # p and a go before q and b; x stands between rare b's alone, y between rare a's
     rnd = random.Random(2)
@@ -482,6 +557,30 @@ def test_pipeline(spark, sf_dir):
     assert ids.count() == n and ids.where("octet_length(ids) <> 4 * n_tokens").isEmpty()
 
 
+def test_pipeline_stages_take_odd_rows(spark, sf_dir):
+    """Null, empty, very long, repeated; no rows at all: by every stage alone."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame(odd_rows(), SCHEMA).select(corpus_pipeline.COLUMNS)
+    plain = {"toxicity": 12, "quality rules": 5, "n-gram jaccard join": 10, "benchmark decontamination": 12, "byte-level bpe": 12}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, sf_dir).collect()
+        assert len(got) == plain[name], name
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_a_long_text_that_repeats_a_line_takes_linear_time(spark):
+    import time
+
+    from quillon.llm import quality
+
+    text = "\n".join([f"Some line number {k} is here and ends well." for k in range(60_000)] * 2)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    [r] = quality.line_first_cleaning(docs).collect()
+    assert r["n_dup_lines"] == 60_000 and time.time() - began < 60
+
+
 def test_pipeline_rows_without_own_ids(spark, sf_dir):
     import corpus_pipeline
 
