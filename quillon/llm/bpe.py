@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
-from .tokens import SPACE, UNIT
+from .tokens import SPACE, UNIT, forget_half
 
 FAN = 8  # bits of a leaf of the bitmap: 256 ranks
-KEPT_UNITS = 1 << 20  # units and pre-tokens whose ids a worker keeps before it starts anew
+KEPT_UNITS = 1 << 19  # units and pre-tokens whose ids a worker keeps before it forgets half of them
 LONG_UNIT = 64  # longer units are encoded but not kept
 
 
@@ -171,8 +171,7 @@ class TextEncoder:
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         known = self.known
-        if len(known) > KEPT_UNITS:
-            known.clear()
+        forget_half(known, KEPT_UNITS)
         find = known.get
         return b"".join([find(unit) or self.unit_ids(unit) for unit in UNIT.findall(text)])
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, read_table
-from .tokens import BATCH_BYTES, KEPT_UNITS, LONG_UNIT, SPACE, balanced
+from .tokens import BATCH_BYTES, KEPT_UNITS, LONG_UNIT, SPACE, balanced, forget_half
 
 MAGIC = b"QIDS2\0"
 BLOCK = 1 << 22  # ids a block
@@ -543,8 +543,7 @@ class WordIds:
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
-        if len(self.known) > KEPT_UNITS:
-            self.known.clear()
+        forget_half(self.known, KEPT_UNITS)
         cut = [self.words(t) for t in texts]
         known = self.known
         new: set[str] = set()

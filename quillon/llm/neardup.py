@@ -44,7 +44,8 @@ GRID = 8192  # postings of a frequent shingle that meet in one task
 HOT_RANK = 6  # shingles of cells with 32 documents or more are very frequent
 HOT_WORDS = 4  # 64-bit words of the bitmap of a document's very frequent prefix shingles
 LEADERS = 4  # smallest hashes by which a document looks for leaders
-KEPT_TEXTS = 1 << 19  # hashes of texts that a task keeps to tell repeated ones
+KEPT_TEXTS = 1 << 18  # hashes of texts that a task keeps to tell repeated ones
+PAIRS_AT_ONCE = 1 << 18  # pairs of postings that are compared at a time
 AT_ONCE = 1 << 20  # bytes of text, and shingles, that are worked on at a time
 _MIX = np.uint64(0x9FB21C651E98DF25)
 _S = np.uint64(32)
@@ -501,7 +502,7 @@ def _meet(like: Similarity):
                 first = edge[:-1][length == size]
                 if size <= 24:
                     i, j = np.nonzero(~np.eye(size, dtype=bool))
-                    step = max(1, (1 << 20) // len(i))
+                    step = max(1, PAIRS_AT_ONCE // len(i))
                     for k in range(0, len(first), step):
                         a = (first[k : k + step, None] + i).ravel()
                         b = (first[k : k + step, None] + j).ravel()
@@ -512,8 +513,8 @@ def _meet(like: Similarity):
                         every = np.arange(f, f + size)
                         if (c["component"][every] == c["component"][f]).all():
                             continue
-                        for k in range(0, size, max(1, (1 << 20) // size)):
-                            own = every[k : k + max(1, (1 << 20) // size)]
+                        for k in range(0, size, max(1, PAIRS_AT_ONCE // size)):
+                            own = every[k : k + max(1, PAIRS_AT_ONCE // size)]
                             a, b = np.repeat(own, size), np.tile(every, len(own))
                             ok = candidates(a, b, c)
                             found.append((a[ok], b[ok]))

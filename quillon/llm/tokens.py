@@ -12,6 +12,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,7 @@ SPACE = "\t-\r \x85\xa0  -     　"
 #: pattern starts a match, and ends where one ends.
 UNIT = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 BATCH_BYTES = 1 << 18  # text that one call of the library encodes
-KEPT_UNITS = 1 << 20  # unit lengths that a worker keeps before it starts anew
+KEPT_UNITS = 1 << 19  # unit lengths that a worker keeps before it forgets half of them
 LONG_UNIT = 64  # longer units are encoded but not kept
 
 
@@ -44,6 +45,14 @@ def balanced(items: list[str], limit: int) -> Iterator[list[str]]:
         yield run
 
 
+def forget_half(known: dict, limit: int) -> None:
+    """Of more than ``limit`` entries the later half goes: what is met early is
+    what is met often."""
+    if len(known) > limit:
+        for key in list(islice(reversed(known), len(known) // 2)):
+            del known[key]
+
+
 class UnitLengths:
     """Lengths of the encodings of units and texts, by one tokenizers file."""
 
@@ -74,8 +83,7 @@ class UnitLengths:
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text; the units of all of them are encoded together."""
         known = self.known
-        if len(known) > KEPT_UNITS:
-            known.clear()
+        forget_half(known, KEPT_UNITS)
         cut = [self.units(t) for t in texts]
         new = list({u for units in cut for u in units if u not in known})
         fresh = dict(zip(new, self.lengths(new)))

@@ -23,7 +23,7 @@ from .common import drop_table, materialize, read_table
 SPACE_BITS = 20  # feature space before selection
 EDGES = ".,;:!?\"'()[]{}*#$%&|<>«»„“”’‘`~=-_/\\"
 STEMS = (4, 5, 6)  # lengths of the word beginnings that are features
-KEPT_WORDS = 1 << 19  # words whose features a task keeps
+KEPT_WORDS = 1 << 18  # words whose features a task keeps
 
 
 def fold_of(id_col: str, folds: int) -> Column:
