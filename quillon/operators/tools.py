@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Callable
 from itertools import count
 
@@ -296,6 +297,16 @@ def must_have(found: DataFrame, kind: str, column: str = "kind") -> DataFrame:
 # order and limits
 
 
+def _checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by files in the shared checkpoint folder."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        if context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-checkpoint-"))
+    return df.checkpoint()
+
+
 def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Level of each node (id): one more than the largest level of those it
     depends on.  ``edges`` (before, after).  A cycle raises."""
@@ -309,9 +320,11 @@ def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             .distinct()
         )
         settled = F.when(F.col("after").isNull(), F.lit(k))
-        level = level.join(blocked, F.col("id") == F.col("after"), "left").select(
-            "id", F.coalesce("level", settled).alias("level")
-        ).checkpoint()
+        level = _checkpointed(
+            level.join(blocked, F.col("id") == F.col("after"), "left").select(
+                "id", F.coalesce("level", settled).alias("level")
+            )
+        )
         still_open = level.where("level is null").count()
         if not still_open:
             return level
@@ -546,7 +559,7 @@ def rewrite(nodes: DataFrame, rules: DataFrame, rounds: int = 100) -> DataFrame:
         found = nodes.join(new, ["op", "n_args"], "left")
         if found.where("new_op is not null").isEmpty():
             return nodes
-        nodes = found.select("id", F.coalesce("new_op", "op").alias("op"), "n_args").checkpoint()
+        nodes = _checkpointed(found.select("id", F.coalesce("new_op", "op").alias("op"), "n_args"))
     raise ValueError("the rules do not come to an end")
 
 
