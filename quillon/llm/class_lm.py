@@ -490,6 +490,8 @@ def score_texts(
     empty string; repeated rows each count and each give a row; without
     training texts score equals base_score; an empty table gives an empty
     result; other columns are not read.  Words are told apart by a 64-bit hash.
+    Tasks hold a range of the vocabulary or some chunks: the number of shuffle
+    partitions of the session has to grow with the input.
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", is_held_out().alias("held"), "text")

@@ -151,6 +151,8 @@ def histogram_sort_shards(
 
     A null text counts as an empty one; a null id hashes like any value; an
     empty table gives an empty result; other columns of ``docs`` are not read.
+    Meant for up to some hundreds of shards: a counting round sends the driver
+    at most 65,536 cells for each splitter that is still open.
 
     Returns doc_id, size, text_crc32, law ('bytes'), shard, slot (the row's
     place in its shard, without gaps from 0) and grown_shard (null: the law is

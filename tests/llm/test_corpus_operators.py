@@ -557,6 +557,96 @@ def test_pipeline(spark, sf_dir):
     assert ids.count() == n and ids.where("octet_length(ids) <> 4 * n_tokens").isEmpty()
 
 
+def brute_line_fails(line):
+    """The line rules of the quality stage, in plain Python."""
+    import re
+
+    import regex
+
+    from quillon.llm import quality
+
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", line) if w]
+    n = len(words)
+    marks = sum(c in quality.SYMBOLS + "{}=~^\\»›•" for c in line)
+    shouted = len(regex.findall(r"\p{Lu}{2}", line))
+    return (
+        not re.search("[.!?…。！？:;\"'”’»)\\]]([\x20\x09-\x0D]*$|[\x20\x09-\x0D].{20,}$)", line)
+        or marks > 0.3 * n
+        or line.count("!") > 0.6 * n + 2
+        or (n >= 4 and shouted > 0.6 * n)
+        or (n >= 10 and len(set(words)) < 0.35 * n)
+        or (n <= 20 and re.search("(?i)" + "|".join(quality.BOILERPLATE), line) is not None)
+    )
+
+
+def brute_quality(text):
+    """The cleaned text, or None where the document is rejected."""
+    import re
+
+    split = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w]
+    words = split(text)
+    grams = collections.Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    repeated = {i + j for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for j in range(3)}
+    if len(words) < 50 or 100 * len(repeated) > 50 * len(words):
+        return None
+    stay = [x for x in dict.fromkeys(x for x in text.split("\n") if split(x)) if not brute_line_fails(x)]
+    kept = sum(len(split(x)) for x in stay)
+    if 100 * kept < 50 * len(words):
+        return None
+    return text if kept == len(words) else "\n".join(stay)
+
+
+def holds_item(item, text):
+    """Whether a stretch of ``text`` is within the edits of ``item``, by the whole table."""
+    k = int(decontam.EDIT_SHARE * len(item))
+    a, b = decontam._codes(item), decontam._codes(text)
+    row, steps = np.zeros(len(b) + 1, np.int64), np.arange(len(b) + 1)
+    for code in a:
+        new = np.empty_like(row)
+        new[0] = row[0] + 1
+        new[1:] = np.minimum(row[:-1] + (b != code), row[1:] + 1)
+        row = np.minimum.accumulate(new - steps) + steps
+        if row.min() > k:
+            return False
+    return True
+
+
+def test_pipeline_equals_brute_force(spark, sf_dir):
+    import corpus_pipeline
+    import public_tokenizers as P
+    import tiktoken
+
+    from quillon.llm import toxicity
+    from quillon.llm.bpe import read_ranks
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    labels = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").collect()]
+    fold = lambda i: zlib.crc32(str(i).encode()) % 4
+    texts, own = dict(rows), [x for x in labels if fold(x[0]) != 2 and x[1] is not None]
+    model = toxicity.train_nnpu(
+        [texts[i] for i, t in sorted(own) if t == 1 and i in texts],
+        [t for i, t in sorted(rows) if fold(i) != 2],
+        min(max(sum(t for _, t in own) / len(own), 1e-3), 0.9),
+    )
+    scores = model.scores([t for _, t in rows], {})
+    rows = [r for r, s in zip(rows, scores) if s < 0.3]
+    rows = [(i, c) for i, t in rows if (c := brute_quality(t)) is not None]
+    component = brute_components(rows, 5, 8, 10)
+    first = {}
+    for i, (n, root) in sorted(component.items()):
+        first.setdefault((root if n else ("alone", i)), i)
+    rows = [(i, t) for i, t in rows if i in set(first.values())]
+    items = [decontam.normal(r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    rows = [(i, t) for i, t in rows if not any(holds_item(x, decontam.normal(t)) for x in items if x)]
+    encoder = tiktoken.Encoding(
+        "own", pat_str=P.PATTERN, mergeable_ranks=read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={}
+    )
+    expected = {i: np.array(encoder.encode_ordinary(t), "<u4").tobytes() for i, t in rows}
+    got = {r["doc_id"]: bytes(r["ids"]) for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    assert got == expected and 20 < len(got) < docs.count()
+
+
 def test_pipeline_stages_take_odd_rows(spark, sf_dir):
     """Null, empty, very long, repeated; no rows at all: by every stage alone."""
     import corpus_pipeline
