@@ -188,8 +188,7 @@ def source_numbers(spark, sf_dir):
             F.col("user_id").cast("string"), F.lit(", kind: function-enter, tsc: "), F.col("event_id").cast("string"), F.lit(" }"),
         ).alias("value")), f"{base}/trace")
     trace = formats.read_trace(spark, f"{base}/trace").select(F.lit("trace").alias("source"), F.col("tsc").alias("a"), F.col("thread").cast("bigint").alias("b"), F.col("func_id").cast("double").alias("v"))
-    n = _table(spark, sf_dir, "nation").where("n_regionkey + 1 >= 1")
-    cells = n.select((F.col("n_nationkey") + 1).alias("i"), (F.col("n_regionkey") + 1).alias("j"), F.length("n_name").alias("v"))
+    cells = _table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).alias("i"), (F.col("n_regionkey") + 1).alias("j"), F.length("n_name").alias("v"))
     size = cells.agg(F.concat(F.lit("%%MatrixMarket matrix coordinate real general\n% nations\n25 5 "), F.count("*").cast("string")).alias("value"))
     body = cells.agg(F.concat_ws("\n", F.sort_array(F.collect_list(F.concat_ws(" ", F.col("i").cast("string"), F.col("j").cast("string"), F.col("v").cast("string"))))).alias("value"))
     text = size.select("value", F.lit(0).alias("k")).union(body.select("value", F.lit(1))).agg(  # 25 cells: one file by its form
@@ -202,7 +201,7 @@ def source_numbers(spark, sf_dir):
         s.select(F.concat(
             F.lit("1\n"), F.lower(F.hex(F.col("s_suppkey") * 256)), F.lit("-"), F.lower(F.hex(F.col("s_suppkey") * 256 + 17)),
             F.lit(":"), F.col("s_nationkey").cast("string")).alias("value"),
-        ).withColumn("value", F.col("value")).repartition(8, "value"), f"{base}/ranges")
+        ), f"{base}/ranges")
     ranges = formats.parse_each(
         formats.lines_of(spark, f"{base}/ranges", 2), formats.parse_ranges, formats.RANGES
     ).select(F.lit("ranges"), "start_addr", "end_addr", F.col("cnt").cast("double"))
@@ -461,8 +460,8 @@ SELECT 'exists', k || '=' || (n_name < 'F') FROM s JOIN nation ON n_nationkey =
 
 
 def report_lines(spark, sf_dir):
-    """Source lines with their numbers and remarks, includes in order, an index of
-    names, one function with what it calls; over documents and parts."""
+    """Source lines with their numbers and the remarks placed on them, over the
+    lines of all documents; one row for each."""
     d = _table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file"), F.col("text").alias("value"))
     lines = tools.number_lines(d)
     marks = lines.where("line % 3 = 0").select("file", "line", F.lit("vectorized").alias("name")).union(
@@ -668,7 +667,6 @@ def record_language(spark, sf_dir):
     included = p.where("p_partkey % 2 = 0").select("p_partkey").union(p.where("p_partkey % 2 = 1").select("p_partkey"))
     typed = tools.must_have(p.where("p_size > 45").select("p_partkey", F.lit("B").alias("kind")), "B")
     bits = p.select("p_partkey", (F.col("p_size") > 25).cast("int").alias("bit"), F.transform(F.array("p_size"), lambda x: x.cast("bigint")).alias("up"), F.shiftright(F.col("p_size").bitwiseAND(F.lit(6)), 1).alias("slice"))
-    kind = F.lit(None).cast("string")
     rows = [
         late.select(F.lit("override").alias("kind"), F.col("p_partkey").cast("string").alias("key"), (F.col("p_size") * 1000 + F.col("twice")).cast("bigint").alias("value")),
         made.select(F.lit("template"), "name", F.col("value").cast("bigint")),
@@ -677,7 +675,6 @@ def record_language(spark, sf_dir):
         typed.select(F.lit("typed set"), "kind", F.col("p_partkey").cast("bigint")),
         bits.select(F.lit("bits"), F.col("p_partkey").cast("string"), F.col("bit") * 1000 + F.col("slice") * 100 + F.col("up")[0]),
     ]
-    del kind
     out = rows[0]
     for r in rows[1:]:
         out = out.union(r)
