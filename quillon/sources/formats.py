@@ -363,8 +363,8 @@ def read_ranges(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataF
 
 
 def lines_of(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """file and value of texts that are records of ``n`` lines each: every record
-    is a row, so a file of any size is read by many tasks."""
+    """file and value of texts that are records of ``n`` lines each, a row for each
+    record: the lines of a file are numbered in one task, and parsed in many."""
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"), "value",
