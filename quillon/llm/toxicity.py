@@ -293,29 +293,35 @@ def score_toxicity(
     made = ["held_out", "score", "predicted"]
     keep = [c for c in (keep or ["doc_id"]) if c not in made]
 
+    # one struct carries what is kept, whatever its columns are called; the text
+    # travels once
+    carried = keep if "text" in keep else [*keep, "text"]
+    fields = docs.select(F.struct(*keep).alias("row")).schema
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple] = {}
         for batch in batches:
-            if len(known) > KEPT_WORDS:
-                known.clear()
-            scores = model.scores((t.as_py() for t in batch.column(2)), known)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(scores, pa.float64()),
-                    pa.array([int(s >= threshold) for s in scores], pa.int32()),
-                ],
-                names=["row", *made],
-            )
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                columns = part.column(0).flatten()
+                if len(known) > KEPT_WORDS:
+                    known.clear()
+                scores = model.scores((t.as_py() for t in columns[carried.index("text")]), known)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.StructArray.from_arrays(columns[: len(keep)], names=keep),
+                        part.column(1),
+                        pa.array(scores, pa.float64()),
+                        pa.array([int(s >= threshold) for s in scores], pa.int32()),
+                    ],
+                    names=["row", *made],
+                )
 
-    # one struct carries what is kept, whatever its columns are called
     read = docs.select(
-        F.struct(*keep).alias("row"), (fold_of("doc_id", folds) == held_fold).alias("held_out"), "text"
+        F.struct(*carried).alias("row"), (fold_of("doc_id", folds) == held_fold).alias("held_out")
     )
-    row = docs.select(F.struct(*keep).alias("row")).schema
     scored = read.mapInArrow(
-        score, row.add("held_out", "boolean").add("score", "double").add("predicted", "integer")
+        score, fields.add("held_out", "boolean").add("score", "double").add("predicted", "integer")
     )
     return scored.select("row.*", *made)
 
