@@ -19,24 +19,21 @@ the whole vocabulary.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_table, materialize, read_table
+from .neardup import Shingler
 
 FREQUENT = 1600  # words that the exchange moves; more of them lowered no held-out perplexity
 CLASSES = 64
 CHUNK_TOKENS = 2_000_000
-CHUNK_WORDS = 400_000
 END = b" "  # never a word
 END_HASH = -1
 PULL = 200.0  # weight of the class frequencies in the smoothed transitions
@@ -47,46 +44,57 @@ def is_held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(text.cast("binary")) % 10 == 0
 
 
+def _signed(h: np.ndarray) -> np.ndarray:
+    """Word hashes as signed numbers, none of them that of the end."""
+    h = h.view(np.int64)
+    return np.where(h == END_HASH, 1, h)
+
+
 def word_hash(word: bytes) -> int:
     if word == END:
         return END_HASH
-    value = xxhash.xxh3_64_intdigest(word)
-    value -= (value >> 63) << 64
-    return value if value != END_HASH else 1
+    [h] = Shingler(1).word_hashes(pa.array([word], pa.binary()))
+    return int(_signed(h)[0])
 
 
 class Chunk:
     """Texts as local word numbers; END is number 0."""
 
     def __init__(self):
-        self.numbers = defaultdict(count().__next__)
-        self.numbers[END]
         self.doc_ids: list[int | None] = []
         self.held: list[bool] = []
         self.texts: list[np.ndarray] = []
         self.tokens = 0
 
-    def add(self, doc_id, held: bool, text: bytes | None) -> None:
-        words = (text or b"").lower().split()
-        words.append(END)
-        ids = np.fromiter(map(self.numbers.__getitem__, words), np.uint32, len(words))
+    def add(self, doc_id, held: bool, words: np.ndarray) -> None:
+        """A text by the hashes of its words."""
         self.doc_ids.append(doc_id)
         self.held.append(held)
-        self.texts.append(ids)
-        self.tokens += len(ids)
+        self.texts.append(words)
+        self.tokens += len(words) + 1
 
     def full(self) -> bool:
-        return self.tokens >= CHUNK_TOKENS or len(self.numbers) >= CHUNK_WORDS
+        return self.tokens >= CHUNK_TOKENS
+
+    def number(self) -> None:
+        """Give each distinct word its number, once all texts are there."""
+        self.lengths = np.array([len(t) + 1 for t in self.texts], np.int64)
+        words, at = np.unique(_signed(np.concatenate(self.texts)), return_inverse=True)
+        self.words = np.r_[END_HASH, words]
+        self.ids = np.zeros(self.tokens, np.uint32)
+        inside = np.ones(self.tokens, bool)
+        inside[np.cumsum(self.lengths) - 1] = False
+        self.ids[inside] = at + 1
+        self.texts = []
 
     def hashes(self) -> np.ndarray:
-        return np.fromiter(map(word_hash, self.numbers), np.int64, len(self.numbers))
+        return self.words
 
     def train_ids(self) -> np.ndarray:
-        own = [t for t, held in zip(self.texts, self.held) if not held]
-        return np.concatenate(own) if own else np.zeros(0, np.uint32)
+        return self.ids[np.repeat(~np.array(self.held, bool), self.lengths)]
 
     def pack(self) -> tuple[bytes, int]:
-        lengths = np.array([len(t) for t in self.texts], np.int64)
+        lengths = self.lengths
         known = np.array([d is not None for d in self.doc_ids], np.int64)
         names = np.array([d or 0 for d in self.doc_ids], np.int64)
         held = np.array(self.held, np.int64)
@@ -94,7 +102,7 @@ class Chunk:
         raw = (
             np.array([len(lengths)], np.int64).tobytes()
             + head.tobytes()
-            + np.concatenate(self.texts).tobytes()
+            + self.ids.tobytes()
         )
         return pa.compress(raw, codec="zstd", asbytes=True), len(raw)
 
@@ -108,22 +116,23 @@ class Chunk:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
-    chunk = Chunk()
+    chunk, hasher = Chunk(), Shingler(1)
     for batch in batches:
         names, held = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        texts = batch.column(2).cast(pa.binary())
-        for name, out, text in zip(names, held, texts):
-            chunk.add(name, out, text.as_py())
+        for name, out, words in zip(names, held, hasher.word_hashes(batch.column(2))):
+            chunk.add(name, out, words.copy())
             if chunk.full():
+                chunk.number()
                 yield chunk
                 chunk = Chunk()
-    if chunk.texts:
+    if chunk.doc_ids:
+        chunk.number()
         yield chunk
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for chunk in _chunks(batches):
-        counts = np.bincount(chunk.train_ids(), minlength=len(chunk.numbers))
+        counts = np.bincount(chunk.train_ids(), minlength=len(chunk.words))
         some = counts > 0
         yield pa.RecordBatch.from_arrays(
             [pa.array(chunk.hashes()[some]), pa.array(counts[some].astype(np.int64))],
@@ -507,7 +516,7 @@ def score_texts(
     frequent = np.array([END_HASH] + [r["h"] for r in top], np.int64)
     ends = counts.where(F.col("h") == END_HASH).agg(F.sum("n")).head()[0] or 0
     frequency = np.array([ends] + [r["n"] for r in top], np.int64)
-    pieces = materialize(texts.mapInArrow(_pieces(frequent), PIECES), "lm-pieces")
+    pieces = materialize(texts.mapInArrow(_pieces(frequent), PIECES), "lm-pieces", "zstd")
     words = pieces.where("h is not null").select("b", "i", "h", "n", "near")
 
     place = {int(h): p for p, h in enumerate(frequent)}
@@ -551,6 +560,7 @@ def score_texts(
             .sortWithinPartitions("h")
             .mapInArrow(_classify(frequent, of, weight, np.log(share)), ANSWERS),
             "lm-answers",
+            "zstd",
         )
         tokens = np.zeros(c)
         for r in made.where("y = -1").groupBy("x").agg(F.sum("n").alias("n")).collect():
@@ -568,6 +578,7 @@ def score_texts(
         .cogroup(chunks.groupBy("b"))
         .applyInArrow(_class_pieces(c), CLASS_PIECES),
         "lm-class-pieces",
+        "zstd",
     )
     drop_table(answers)
     share = (tokens + 1.0) / (tokens.sum() + c)

@@ -128,16 +128,15 @@ class Shingler:
         s = np.sort(windows)
         return s[np.r_[True, s[1:] != s[:-1]]] if len(s) else s
 
-    def sets(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        """The set of each text, in order; null and empty texts have none."""
+    def _parts(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, list[int]]]:
+        """Word hashes of some texts at a time, and where each text's begin."""
         texts = texts.cast(pa.large_binary())
         n = len(texts)
         if not n:
             return
-        edges = np.frombuffer(texts.buffers()[1], np.int64, n + 1, 8 * texts.offset)
         if texts.null_count:  # null texts may have bytes below them
             texts = texts.fill_null(b"")
-            edges = np.frombuffer(texts.buffers()[1], np.int64, n + 1, 8 * texts.offset)
+        edges = np.frombuffer(texts.buffers()[1], np.int64, n + 1, 8 * texts.offset)
         buffer = texts.buffers()[2]
         data = np.frombuffer(buffer, np.uint8) if buffer else np.zeros(0, np.uint8)
         row = 0
@@ -146,12 +145,23 @@ class Shingler:
             part = data[edges[row] : edges[end]]
             starts = edges[row:end] - edges[row]
             if len(part) > AT_ONCE:
-                h, at = self._long(part), [0, -1]
+                h = self._long(part)
+                yield h, [0, len(h)]
             else:
                 h, first = self._words(part, starts)
-                at = np.append(np.searchsorted(first, starts), len(first)).tolist()
+                yield h, [*np.searchsorted(first, starts).tolist(), len(h)]
+            row = end
+
+    def word_hashes(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Hashes of the words of each text, in order."""
+        for h, at in self._parts(texts):
+            for a, b in zip(at, at[1:]):
+                yield h[a:b]
+
+    def sets(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The set of each text, in order; null and empty texts have none."""
+        for h, at in self._parts(texts):
             whole = self._windows(h, self.size)
-            at[-1] = len(h)
             for a, b in zip(at, at[1:]):
                 if b - a >= self.size:
                     yield self._set(whole[a : b - self.size + 1])
@@ -159,7 +169,6 @@ class Shingler:
                     yield self._windows(h[a:b], b - a)
                 else:
                     yield np.zeros(0, np.uint64)
-            row = end
 
     def __call__(self, text: bytes | None) -> np.ndarray:
         return next(self.sets(pa.array([text], pa.binary())))
