@@ -22,7 +22,7 @@ from .common import read_table
 from .tokens import SPACE, UNIT, forget_half
 
 FAN = 8  # bits of a leaf of the bitmap: 256 ranks
-KEPT_UNITS = 1 << 19  # units and pre-tokens whose ids a worker keeps before it forgets half of them
+KEPT_UNITS = 3 << 17  # units and pre-tokens whose ids a worker keeps before it forgets half of them
 LONG_UNIT = 64  # longer units are encoded but not kept
 
 

@@ -23,7 +23,7 @@ from .common import drop_table, materialize, read_table
 SPACE_BITS = 20  # feature space before selection
 EDGES = ".,;:!?\"'()[]{}*#$%&|<>«»„“”’‘`~=-_/\\"
 STEMS = (4, 5, 6)  # lengths of the word beginnings that are features
-KEPT_WORDS = 1 << 18  # words whose features a task keeps
+KEPT_WORDS = 1 << 17  # words whose features a task keeps
 
 
 def fold_of(id_col: str, folds: int) -> Column:
@@ -219,11 +219,13 @@ def fit_toxicity(
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, ...]] = {}
         for batch in batches:
-            found = [text_features(t.as_py(), known) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))],
-                names=["doc_id", "kind", "found"],
-            )
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                found = [text_features(t.as_py(), known) for t in part.column(2)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(found, pa.list_(pa.int32()))],
+                    names=["doc_id", "kind", "found"],
+                )
 
     sample = materialize(
         docs.select("doc_id", "text")
