@@ -22,12 +22,21 @@ from quillon.llm.toxicity import fit_toxicity, score_toxicity
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 2,000 rows from here on, where the session has
+    Spark's default: five times fewer texts at once outside an executor's heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "2000")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not predict as toxic.
 
     A null or empty text is not toxic; each row, also one without id or with a
     repeated one, has the verdict of its own text; an empty table gives an
     empty result."""
+    small_batches(spark)
     model = fit_toxicity(docs, read_table(spark, sf_dir, "labels"))
     return score_toxicity(docs, model, keep=COLUMNS).where("predicted = 0").select(COLUMNS)
 
@@ -65,6 +74,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     is a document, also one without id or with a repeated id: one row of a
     class stays, one with an id if there is any.  Texts without words are
     classes of their own; an empty table gives an empty result."""
+    small_batches(spark)
     rows = number_rows(docs)
     classes = jaccard_components(rows.select(F.col("row").alias("doc_id"), "text"))
     keep = (
@@ -82,6 +92,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Each row is judged by its own text, whether its id is null or repeated;
     null and empty texts stay; an empty benchmark keeps all rows."""
+    small_batches(spark)
     return without_passages(docs, read_table(spark, sf_dir, "benchmark")).select(COLUMNS)
 
 
@@ -89,6 +100,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the packed ids of every text that is left.
 
     Every row gives a row; a null or empty text has no ids."""
+    small_batches(spark)
     import public_tokenizers
 
     encoded = encode_texts(
