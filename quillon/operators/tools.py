@@ -406,12 +406,13 @@ def bounded(df: DataFrame, n: int, order: list) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def epoch_text(column: Column) -> Column:
-    """32-bit epoch seconds as UTC text; other values raise."""
-    fits = (column >= 0) & (column < 1 << 32)
-    return F.when(fits, F.date_format(F.timestamp_seconds(column), "yyyy-MM-dd HH:mm:ss")).otherwise(
-        F.raise_error(F.lit("not a 32-bit time"))
-    )
+def epoch_text(column: Column, width: int = 32) -> Column:
+    """Epoch seconds of ``width`` bits (without a sign, 63 at most) as UTC text;
+    other values raise."""
+    fits = (column >= 0) & (column <= (1 << width) - 1)
+    time = F.timestamp_seconds(column)
+    text = F.concat(F.year(time).cast("string"), F.date_format(time, "-MM-dd HH:mm:ss"))  # yyyy has a plus from 10000 on
+    return F.when(fits, text).otherwise(F.raise_error(F.lit(f"not a {width}-bit time")))
 
 
 def metrics(results: DataFrame) -> DataFrame:

@@ -64,3 +64,9 @@ def test_integer_functions_of_large_keys(spark, tmp_path):
     parts = "(values (0::bigint), (19999), (1199999), (2147483647)) p(p)"
     rows = f"select k as l_orderkey, p as l_partkey, cast(n as int) as l_linenumber from {keys}, {parts}, range(1, 8) n(n)"
     assert_equals_sql(spark, "fn_integer", "lineitem", rows, tmp_path)
+
+
+def test_strings_of_large_keys(spark, sf_dir, tmp_path):
+    # keys whose seconds pass 32 bits, and whose year passes 9999
+    rows = f"select * replace (p_partkey % 4 * 1000000 + p_partkey as p_partkey) from '{sf_dir}/part.parquet' limit 40"
+    assert_equals_sql(spark, "fn_string", "part", rows, tmp_path)
