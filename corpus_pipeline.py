@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.bpe import encode_texts
-from quillon.llm.common import materialize, read_table
+from quillon.llm.common import materialize, read_table, small_batches
 from quillon.llm.decontam import without_passages
 from quillon.llm.neardup import jaccard_components
 from quillon.llm.quality import line_first_cleaning
@@ -22,14 +22,6 @@ from quillon.llm.toxicity import fit_toxicity, score_toxicity
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 2,000 rows from here on, where the session has
-    Spark's default: five times fewer texts at once outside an executor's heap."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, "2000")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not predict as toxic.
 

@@ -18,7 +18,7 @@ from heapq import heappop, heappush
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read_table
+from .common import CACHES, lean, read_table
 from .tokens import SPACE, UNIT, forget_half
 
 FAN = 8  # bits of a leaf of the bitmap: 256 ranks
@@ -182,6 +182,9 @@ def text_encoder(vocabulary: str, pattern: str) -> TextEncoder:
     return TextEncoder(vocabulary, pattern)
 
 
+CACHES += [load, text_encoder]
+
+
 def encode_texts(
     docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", decode: bool = True
 ) -> DataFrame:
@@ -211,7 +214,7 @@ def encode_texts(
                 )
 
     return docs.select("doc_id", text_col).mapInArrow(
-        both, "doc_id long, ids binary, decoded binary"
+        lean(both, __name__), "doc_id long, ids binary, decoded binary"
     )
 
 

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize, read_table
+from .common import drop_table, lean, materialize, read_table, release_memory, small_batches
 from .neardup import Shingler
 
 FREQUENT = 1600  # words that the exchange moves; more of them lowered no held-out perplexity
@@ -125,6 +125,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
                 chunk.number()
                 yield chunk
                 chunk = Chunk()
+                release_memory()
     if chunk.doc_ids:
         chunk.number()
         yield chunk
@@ -415,6 +416,8 @@ def _class_pieces(c: int):
             ],
             names=["b", "i", "h", "n", "near", "pairs"],
         )
+        del ids, classes, before, after, pairs, near
+        release_memory()
         # in small batches, each of which Spark holds outside its heap
         return pa.Table.from_batches(rows.to_batches(max_chunksize=50_000))
 
@@ -474,6 +477,7 @@ def _code(c: int, n_all: int, n_words: int):
                     pairs,
                 )
             )
+        release_memory()
         return pd.DataFrame(out, columns=[x.split()[0] for x in CODED.split(", ")])
 
     return code
@@ -503,9 +507,10 @@ def score_texts(
     partitions of the session has to grow with the input.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select("doc_id", is_held_out().alias("held"), "text")
     counts = materialize(
-        texts.mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")),
+        texts.mapInArrow(lean(_count_words), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")),
         "lm-counts",
     )
     # the frequent words: a fixed number
@@ -516,7 +521,8 @@ def score_texts(
     frequent = np.array([END_HASH] + [r["h"] for r in top], np.int64)
     ends = counts.where(F.col("h") == END_HASH).agg(F.sum("n")).head()[0] or 0
     frequency = np.array([ends] + [r["n"] for r in top], np.int64)
-    pieces = materialize(texts.mapInArrow(_pieces(frequent), PIECES), "lm-pieces", "zstd")
+    drop_table(counts)
+    pieces = materialize(texts.mapInArrow(lean(_pieces(frequent)), PIECES), "lm-pieces", "zstd")
     words = pieces.where("h is not null").select("b", "i", "h", "n", "near")
 
     place = {int(h): p for p, h in enumerate(frequent)}
@@ -537,7 +543,7 @@ def score_texts(
     found = (
         words.where(F.col("h").isin([int(h) for h in frequent]))
         .select("h", "near")
-        .mapInArrow(pairs, "x int, y int, n long")
+        .mapInArrow(lean(pairs), "x int, y int, n long")
         .groupBy("x", "y")
         .agg(F.sum("n").alias("n"))
         .toArrow()  # at most the square of the frequent words
@@ -558,7 +564,7 @@ def score_texts(
             rows.select("b", "i", "h", "n", "near")
             .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "h")
             .sortWithinPartitions("h")
-            .mapInArrow(_classify(frequent, of, weight, np.log(share)), ANSWERS),
+            .mapInArrow(lean(_classify(frequent, of, weight, np.log(share))), ANSWERS),
             "lm-answers",
             "zstd",
         )
@@ -629,7 +635,7 @@ def score_texts(
                     names=[x.split()[0] for x in RESULT.split(", ")],
                 )
 
-    return coded.drop("pairs").mapInArrow(score, RESULT)
+    return coded.drop("pairs").mapInArrow(lean(score), RESULT)
 
 
 def op2_brown_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,47 @@ from pyspark.sql import functions as F
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 
+#: Caches by which workers keep what they have met for later tasks.
+CACHES: list = []
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 2,000 rows from here on, where the session has
+    Spark's default: five times fewer texts at once outside an executor's heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "2000")
+
+
+def release_memory() -> None:
+    """Give what a worker has freed back to the system, which else counts as its own."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def clear_caches(but: str) -> None:
+    for cache in CACHES:
+        if cache.__module__ != but:
+            cache.cache_clear()
+
+
+def lean(function: Callable[[Iterator], Iterable], caches: str = "") -> Callable[[Iterator], Iterator]:
+    """``function`` for mapInArrow in workers that hold little besides: what they
+    keep for other modules than ``caches`` goes first, and freed memory at the end."""
+
+    def run(batches: Iterator) -> Iterator:
+        clear_caches(caches)
+        try:
+            yield from function(batches)
+        finally:
+            release_memory()
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 

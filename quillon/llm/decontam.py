@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import lean, read_table
 
 Q = 12  # characters of a q-gram, but for short items
 EDIT_SHARE = 0.05  # edits allowed, as a share of an item's length
@@ -263,7 +263,7 @@ def find_benchmark_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     names=["doc_id", "item_id", "start_char", "end_char", "n_edits"],
                 )
 
-        found = docs.select("doc_id", "text").mapInArrow(search, SPANS)
+        found = docs.select("doc_id", "text").mapInArrow(lean(search), SPANS)
         result = found if result is None else result.union(found)
     if result is None:
         result = docs.sparkSession.createDataFrame([], SPANS)
@@ -301,7 +301,7 @@ def without_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     keep[d] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = docs.mapInArrow(lean(clean), docs.schema)
     return docs
 
 

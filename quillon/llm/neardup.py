@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, drop_table, materialize, read_table
+from .common import connected_components, drop_table, lean, materialize, read_table
 
 CELL_BITS = 22  # counters of the frequency sketch
 SLABS = 64  # parts in which sketches are added up
@@ -292,7 +292,7 @@ def frequent_cells(sketch: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     [pa.array(slab * size + at, pa.int64()), pa.array(counts[at])], names=["cell", "n"]
                 )
 
-    found = slabs.mapInArrow(above, "cell long, n long").toArrow()
+    found = slabs.mapInArrow(lean(above), "cell long, n long").toArrow()
     drop_table(slabs)
     cells, counts = (found.column(k).to_numpy() for k in (0, 1))
     order = np.argsort(cells)
@@ -627,7 +627,7 @@ def verify_pairs(texts: DataFrame, pairs: DataFrame, size: int, like: Similarity
             )
 
     profiles = materialize(
-        texts.select("t", "text", place).mapInArrow(involved, "t long, profile binary").dropDuplicates(["t"]),
+        texts.select("t", "text", place).mapInArrow(lean(involved), "t long, profile binary").dropDuplicates(["t"]),
         "profiles",
     )
 
@@ -643,7 +643,7 @@ def verify_pairs(texts: DataFrame, pairs: DataFrame, size: int, like: Similarity
         pairs.join(profiles.toDF("x", "px"), "x")
         .join(profiles.toDF("y", "py"), "y")
         .select("x", "y", "px", "py")
-        .mapInArrow(rough, "x long, y long"),
+        .mapInArrow(lean(rough), "x long, y long"),
         "close-pairs",
     )
     drop_table(profiles)
@@ -673,7 +673,7 @@ def verify_pairs(texts: DataFrame, pairs: DataFrame, size: int, like: Similarity
             )
 
     whole = materialize(
-        texts.select("t", "text", place).mapInArrow(needed, "t long, text string").dropDuplicates(["t"]),
+        texts.select("t", "text", place).mapInArrow(lean(needed), "t long, text string").dropDuplicates(["t"]),
         "pair-texts",
     )
     joined = (
@@ -681,7 +681,7 @@ def verify_pairs(texts: DataFrame, pairs: DataFrame, size: int, like: Similarity
         .join(whole.toDF("y", "ty"), "y")
         .select("x", "y", "tx", "ty")
     )
-    links = materialize(joined.mapInArrow(check, "a long, b long"), "pair-links")
+    links = materialize(joined.mapInArrow(lean(check), "a long, b long"), "pair-links")
     drop_table(whole)
     drop_table(close)
     return links
@@ -709,7 +709,7 @@ def jaccard_components(
     spark = docs.sparkSession
     like = Similarity(num, den)
     texts = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
-    read = materialize(texts.mapInArrow(_read_sets(size), SETS), "sets")
+    read = materialize(texts.mapInArrow(lean(_read_sets(size)), SETS), "sets")
     sets = read.where("kind = 0").select("doc_id", "t", "n", "d1", "d2")
     hot, counts = frequent_cells(read.where("kind = 1").select("doc_id", "data"))
     texts = texts.select("t", "text")
@@ -719,7 +719,7 @@ def jaccard_components(
         with_class.groupBy("n", "d1", "d2").agg(F.min("t").alias("head"), F.min("doc_id").alias("class_id")),
         "classes",
     )
-    raw = texts.mapInArrow(_prefixes(size, like, hot, counts), PREFIXES)
+    raw = texts.mapInArrow(lean(_prefixes(size, like, hot, counts)), PREFIXES)
     prefixes = materialize(
         raw.join(heads.select(F.col("head").alias("t")), "t", "left_semi").dropDuplicates(["t"]),
         "prefixes",
@@ -747,7 +747,7 @@ def jaccard_components(
     postings = (
         prefixes.join(members, "t")
         .select("t", "n", "l", "cool", "prefix", "component")
-        .mapInArrow(_postings(like), POSTING)
+        .mapInArrow(lean(_postings(like)), POSTING)
         .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
         .sortWithinPartitions("key")
     )
@@ -755,7 +755,7 @@ def jaccard_components(
     # either set, and all that is shared before it has been counted.
     most = F.count("*") + F.least(F.min("rest_x"), F.min("rest_y"))
     met = (
-        postings.mapInArrow(_meet(like), MATCHES)
+        postings.mapInArrow(lean(_meet(like)), MATCHES)
         .groupBy("x", "y")
         .agg(
             F.sum("hits").alias("n"),

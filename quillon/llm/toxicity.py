@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize, read_table
+from .common import drop_table, lean, materialize, read_table
 
 SPACE_BITS = 20  # feature space before selection
 EDGES = ".,;:!?\"'()[]{}*#$%&|<>«»„“”’‘`~=-_/\\"
@@ -231,7 +231,7 @@ def fit_toxicity(
         docs.select("doc_id", "text")
         .join(F.broadcast(picked.toDF("doc_id", "kind")), "doc_id")
         .select("doc_id", "kind", "text")
-        .mapInArrow(features, "doc_id long, kind int, found array<int>")
+        .mapInArrow(lean(features), "doc_id long, kind int, found array<int>")
         .dropDuplicates(["doc_id", "kind"]),
         "toxicity-sample",
     )
@@ -264,7 +264,7 @@ def fit_toxicity(
                 names=["doc_id", "kind", "found"],
             )
 
-    rows = sample.mapInArrow(chosen, "doc_id long, kind int, found array<int>").orderBy("kind", "doc_id").toArrow()
+    rows = sample.mapInArrow(lean(chosen), "doc_id long, kind int, found array<int>").orderBy("kind", "doc_id").toArrow()
     drop_table(sample)
     kinds = rows["kind"].to_pylist()
     texts = [x.values.to_numpy() for x in rows["found"]]
@@ -323,7 +323,7 @@ def score_toxicity(
         F.struct(*carried).alias("row"), (fold_of("doc_id", folds) == held_fold).alias("held_out")
     )
     scored = read.mapInArrow(
-        score, fields.add("held_out", "boolean").add("score", "double").add("predicted", "integer")
+        lean(score), fields.add("held_out", "boolean").add("score", "double").add("predicted", "integer")
     )
     return scored.select("row.*", *made)
 

@@ -687,3 +687,40 @@ def test_pipeline_rows_without_own_ids(spark, sf_dir):
     docs = frame(spark, rows).select(corpus_pipeline.COLUMNS)
     got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_contaminated(spark, docs, sf_dir).collect()]
     assert collections.Counter(got) == collections.Counter([(None, prose(2)), (3, prose(4)), (4, prose(5))])
+
+
+def test_workers_keep_caches_of_their_own_module_only(monkeypatch):
+    from functools import lru_cache
+
+    from quillon.llm import common
+
+    @lru_cache
+    def own(x):
+        return [x]
+
+    @lru_cache
+    def other(x):
+        return [x]
+
+    own.__module__, other.__module__ = "own", "other"
+    released = []
+    monkeypatch.setattr(common, "CACHES", [own, other])
+    monkeypatch.setattr(common, "release_memory", lambda: released.append(1))
+    first, second = own(1), other(1)
+    run = common.lean(lambda batches: (b + 1 for b in batches), "own")(iter([1, 2]))
+    assert next(run) == 2 and own(1) is first and other(1) is not second and not released
+    assert list(run) == [3] and released == [1]
+
+
+def test_class_model_reads_small_batches(spark):
+    from quillon.llm.class_lm import score_texts
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    try:
+        docs = spark.createDataFrame([(1, "a b"), (2, "a c")], "doc_id long, text string")
+        assert score_texts(docs).count() == 2
+        assert spark.conf.get(name) == "2000"
+    finally:
+        spark.conf.set(name, before)
