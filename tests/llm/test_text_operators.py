@@ -7,12 +7,13 @@ import zlib
 from array import array
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from quillon.llm import bpe, html_text, idcodec, quality, tokens, toxicity
+from quillon.llm import bpe, html_text, idcodec, quality, tokens, toxicity, units
 
 from .helpers import SCHEMA, empty, frame, odd_rows, prose
 
@@ -96,6 +97,45 @@ def test_bpe_rows(spark):
     )
 
 
+def test_bpe_of_short_pieces_runs_in_lanes(encoder, monkeypatch):
+    """Every piece that fits a lane is merged with the others, none by itself."""
+    rnd = random.Random(14)
+    some = {"".join(rnd.choices("abcdeéanthi日", k=rnd.randint(1, 20))).encode() for _ in range(5000)}
+    some |= {b"a" * k for k in range(1, bpe.LANE_BYTES + 1)} | {b"ab" * 20, b"&" * 40, bytes(range(40))}
+    expected = {x: array("I", encoder.bpe.encode_piece(x)).tobytes() for x in some}
+    monkeypatch.setattr(bpe.ByteBPE, "encode_piece", None)
+    got = encoder.bpe.encode_pieces(list(some))
+    assert dict(zip(some, got)) == expected
+    assert not encoder.bpe.lanes.root.any() and not encoder.bpe.lanes.leaf.any()  # ready for the next
+    texts = pa.array(["", None, " one", "thé anthi!", "x" * 30]).slice(1)
+    got = [encoder.decode_column(encoder.encode_column(x)).to_pylist() for x in units.chunks(texts)]
+    assert got == [[b"", b" one", "thé anthi!".encode(), b"x" * 30]]
+
+
+@pytest.mark.parametrize("words", [False, True])
+def test_units_in_bytes_equal_those_of_the_pattern(words, monkeypatch):
+    monkeypatch.setattr(units, "CHUNK_BYTES", 500)
+    rnd = random.Random(15)
+    parts = ["a", "the", " ", "  ", "\n", "é", "日", "'s", "\x85", "\x1c", "　", "12", "!!", "\r\n", "ü.", "×,", "̈́", "<|x|>"]
+    texts = [None, "", *("".join(rnd.choices(parts, k=rnd.randint(0, 30))) for _ in range(2000)), " ", "　"]
+    got = []
+    for some in units.chunks(pa.array(texts).slice(1)):
+        cut = units.Cut(some, words, (b"<|x|>",))
+        got += [[cut.distinct[k].decode() for k in cut.number[a:b]] for a, b in zip(cut.first, cut.first[1:])]
+    runs = re.compile(f"[^{tokens.SPACE}]+") if words else tokens.UNIT
+    for text, own in zip(texts[1:], got, strict=True):
+        assert "".join(own) == "".join(runs.findall(text))
+        ends = {m.end() for m in runs.finditer("".join(own))} if not words else set()
+        at = 0
+        for unit in own:
+            assert unit not in ("x|>", "|x|>", "|>")  # a whole string is not cut
+            at += len(unit)
+            if words:
+                assert not re.search(f"[{tokens.SPACE}]", unit)
+            else:
+                assert at in ends or re.match(r"[A-Za-z0-9À-ÖØ-öø-ÿ][!-/:-@\[-`{-~]", "".join(own)[at - 1 :])
+
+
 @pytest.mark.parametrize("ids", [
     np.random.default_rng(1).integers(0, 1 << 32, 150_000).astype(np.uint32),  # too many ids for a block
     np.zeros(5000, np.uint32),
