@@ -19,12 +19,14 @@ in lockstep: one numpy operation serves the same place of all lanes.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +35,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, read_table
-from .tokens import BATCH_BYTES, KEPT_UNITS, LONG_UNIT, SPACE, balanced, forget_half
+from .tokens import BATCH_BYTES, KEPT_UNITS, LONG_UNIT, balanced, forget_half
+from .units import Cut, chunks, joined
 
-MAGIC = b"QIDS2\0"
+MAGIC = b"QIDS3\0"
 BLOCK = 1 << 22  # ids a block
 DISTINCT = 65_000  # distinct ids of a block of more ids than that
 SEGMENT_IDS = 7 << 19  # a segment ends with the batch of documents that fills it
@@ -46,6 +49,7 @@ TOTAL0 = 17  # bits of the order-0 frequencies
 NAMED_SHARE = 60_000  # of 65,536, what the named ids have together at most
 LEVELS = 8  # of confidence: by the logarithm of a context's count
 AT_ONCE = 1 << 17  # ids whose choices are worked out at a time
+AT_A_TIME = 1500  # documents that are encoded at a time
 SAMPLE = 8  # the weights are fitted to one id of so many
 NEW, START = 65_535, 65_534  # as contexts: an id not held before, the start of a lane
 
@@ -53,6 +57,8 @@ _U = np.uint64
 _MIX = _U(0x9E3779B97F4A7C15)
 _FULL = _U((1 << 64) - 1)
 _M16, _M18, _M32 = _U(0xFFFF), _U(0x3FFFF), _U(0xFFFFFFFF)
+_ALL4 = _U(0x1000100010001)  # times 16 bits: four times the same
+NOBODY = _U(START) * _ALL4  # the names of a context that names no id
 
 
 class _Encoder:
@@ -85,16 +91,6 @@ class _Encoder:
         if len(short):
             self._shift(short)
 
-    def spell(self, i: np.ndarray, value: np.ndarray) -> None:
-        """32 plain bits of lanes ``i``."""
-        for part in (value >> _U(16), value & _M16):
-            unit = self.length[i] >> _U(16)
-            self.low[i] += unit * part
-            self.length[i] = unit
-            short = i[unit <= _M32]
-            if len(short):
-                self._shift(short)
-
     def finish(self) -> tuple[np.ndarray, np.ndarray]:
         """Words of each lane, lane by lane, and how many each has."""
         every = np.arange(len(self.low))
@@ -130,45 +126,35 @@ class _Decoder:
         self.length[i] = length << _U(32)
         self.code[i] = self.code[i] << _U(32) | self._next(i)
 
-    def choose(self, k: int, ends: np.ndarray, model: "_Model") -> tuple[np.ndarray, np.ndarray]:
-        """For the first ``k`` lanes: which named id (NAMED: none), and the
-        order-0 symbol where it is none."""
+    def choose(
+        self, k: int, ends: np.ndarray, names: np.ndarray, model: "_Model"
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of the first ``k`` lanes, and which lanes have a new id."""
         low, code = self.low[:k], self.code[:k]
         unit = self.length[:k] >> _U(16)
-        value = np.minimum((code - low) // unit, _M16)
-        part = ends & _M16
-        place = (value >= part).view(np.int8).astype(_U)
-        for n in range(1, NAMED):
-            part = (ends >> _U(16 * n)) & _M16
-            place += value >= part
-        none = place == _U(NAMED)
-        by = place << _U(4)
-        start = np.where(none, part, ((ends << _U(16)) >> by) & _M16)
-        stop = np.where(none, _U(1 << 16), (ends >> by) & _M16)
-        low = low + unit * start
-        length = unit * (stop - start)
-        unit = length >> _U(TOTAL0)
-        value = np.minimum((code - low) // np.maximum(unit, _U(1)), _U((1 << TOTAL0) - 1))
-        symbol = model.symbols[value]
-        self.low[:k] = np.where(none, low + unit * model.start0[symbol], low)
-        self.length[:k] = np.where(none, unit * model.size0[symbol], length)
+        value = np.minimum((code - low) // unit, _M16) * _ALL4
+        place = np.bitwise_count((value.view(np.uint16) >= ends.view(np.uint16)).view(np.uint32))
+        none = np.flatnonzero(place == NAMED)
+        by = place.astype(_U) << _U(4)
+        start = ((ends << _U(16)) >> by) & _M16
+        now = (names >> by) & _M16
+        own = unit[none]
+        last = ends[none] >> _U(16 * NAMED - 16)
+        self.length[:k] = unit * (((ends >> by) & _M16) - start)
+        low += unit * start
+        # not named: an order-0 symbol in what is left
+        at = low[none] + own * (last - start[none])
+        own = (own * (_U(1 << 16) - last)) >> _U(TOTAL0)
+        value = np.minimum((code[none] - at) // own, _U((1 << TOTAL0) - 1))
+        symbol = model.symbols[value.astype(np.int64)]
+        packed = model.packed0[symbol]
+        low[none] = at + own * (packed & _M18)
+        self.length[none] = own * (packed >> _U(18))
+        now[none] = symbol
         short = np.flatnonzero(self.length[:k] <= _M32)
         if len(short):
             self._shift(short)
-        return place, symbol
-
-    def spell(self, i: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(i), _U)
-        for _ in range(2):
-            unit = self.length[i] >> _U(16)
-            value = np.minimum((self.code[i] - self.low[i]) // unit, _M16)
-            self.low[i] += unit * value
-            self.length[i] = unit
-            short = i[unit <= _M32]
-            if len(short):
-                self._shift(short)
-            out = out << _U(16) | value
-        return out
+        return now, none[symbol == model.known]
 
 
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,21 +192,19 @@ class _Model:
         size = 1 + counts * (total - known - max(1, total >> 10)) // max(1, len(seen))
         size = np.append(size, total - size.sum())  # what is left: a new id
         self.counts = np.append(counts, 0)
-        self.size0 = size.astype(_U)
-        self.start0 = (np.cumsum(size) - size).astype(_U)
-        self.packed0 = self.start0 | self.size0 << _U(18)
-        self.symbols = np.repeat(np.arange(known + 1), size)
+        self.packed0 = (np.cumsum(size) - size).astype(_U) | size.astype(_U) << _U(18)
+        self.symbols = np.repeat(np.arange(known + 1, dtype=np.uint16), size)
         self.bits = max(8, min(18, int(len(seen) // 4).bit_length()))
         slots = 1 << self.bits
         self.ends = np.zeros(slots + (1 << 16), _U)
-        self.names = np.zeros(slots + (1 << 16), _U)
+        self.names = np.full(slots + (1 << 16), NOBODY)
         self.tags = np.full(slots, 0xFFFFFFFF, np.uint32)
         if len(seen) < 3:
-            self.pairs = self.triples = np.zeros(0, _U)
+            self.pairs, self.triples = np.zeros(0, np.uint32), np.zeros(0, _U)
             return
         s = seen.astype(_U)
         pairs = s[:-1] << _U(16) | s[1:]
-        self.pairs, self.n1 = _runs(np.sort(pairs))
+        self.pairs, self.n1 = _runs(np.sort(pairs.astype(np.uint32)))
         self.triples, self.n2 = _runs(np.sort(pairs[:-1] << _U(16) | s[2:]))
         context = (self.pairs >> _U(16)).astype(np.int64)
         first, sums, entry, run, rank = _best(context, self.n1)
@@ -231,19 +215,20 @@ class _Model:
         self._fill(slots + context[first], run, rank, symbol, share)
         context = self.triples >> _U(16)
         first, sums, entry, run, rank = _best(context, self.n2)
-        self.contexts, self.sum2 = context[first], sums
-        pair = self.triples[entry] & _M32
+        contexts, self.sum2 = context[first], sums
+        self.contexts = contexts.astype(np.uint32)
+        pair = (self.triples[entry] & _M32).astype(np.uint32)
         at = np.searchsorted(self.pairs, pair)
-        share1 = self.n1[at] / self.sum1[(pair >> _U(16)).astype(np.int64)]
-        symbol = pair & _M16
+        share1 = self.n1[at] / self.sum1[pair >> np.uint32(16)]
+        symbol = pair & np.uint32(0xFFFF)
         share = self._mixed(2, _level(sums)[run], self.n2[entry] / sums[run], share1, symbol)
-        place = self.slot(self.contexts)
+        place = self.slot(contexts)
         # of contexts in one slot the most frequent stays
         by_count = np.argsort(sums, kind="stable")
         owner = np.full(slots, -1)
         owner[place[by_count]] = by_count
         kept = owner[place] == np.arange(len(place))
-        self.tags[place[kept]] = self.contexts[kept].astype(np.uint32)
+        self.tags[place[kept]] = self.contexts[kept]
         own = kept[run]
         self._fill(place, run[own], rank[own], symbol[own], share[own])
 
@@ -257,8 +242,9 @@ class _Model:
     def _fill(self, rows, run, rank, symbol, share):
         size = np.zeros((len(rows), NAMED), np.int64)
         size[run, rank] = (share * NAMED_SHARE).astype(np.int64)
-        name = np.zeros((len(rows), NAMED), _U)
+        name = np.full((len(rows), NAMED), START, _U)
         name[run, rank] = symbol
+        name[size == 0] = START
         ends = np.cumsum(size, axis=1).astype(_U)
         own = np.unique(run)
         packed = np.zeros(len(rows), _U)
@@ -281,14 +267,14 @@ class _Model:
         weights = self.weights.copy()
         if not len(self.triples) or not len(symbol):
             return weights
-        pair = before1 << _U(16) | symbol
+        triple = np.sort(before2 << _U(32) | before1 << _U(16) | symbol)  # sums know no order
+        context, pair = ((triple >> _U(16)).astype(np.uint32), triple.astype(np.uint32))
+        before1, symbol = context & np.uint32(0xFFFF), triple & _M16
         at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
         sum1 = self.sum1[before1.astype(np.int64)]
         share1 = np.where(self.pairs[at] == pair, self.n1[at], 0) / np.maximum(sum1, 1)
-        context = before2 << _U(16) | before1
         at = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
         sum2 = np.where(self.contexts[at] == context, self.sum2[at], 0)
-        triple = context << _U(16) | symbol
         at = np.minimum(np.searchsorted(self.triples, triple), len(self.triples) - 1)
         share2 = np.where(self.triples[at] == triple, self.n2[at], 0) / np.maximum(sum2, 1)
         share0 = (self.counts[np.minimum(symbol, _U(self.known)).astype(np.int64)] + 0.01) / self.n
@@ -354,25 +340,22 @@ def _choices(model: _Model, now: np.ndarray, steps: int, first: int, last: int):
     before2[place <= 1] = START
     row = model.rows(before2, before1)
     ends, names = model.ends[row], model.names[row]
-    start, stop = np.zeros(len(own), _U), np.zeros(len(own), _U)
-    below = np.zeros(len(own), _U)
-    for n in range(NAMED):
-        end = (ends >> _U(16 * n)) & _M16
-        hit = ((names >> _U(16 * n)) & _M16) == own
-        hit &= end > below
-        start[hit], stop[hit] = below[hit], end[hit]
-        below = end
-    none = np.flatnonzero(stop == 0)
-    choice = start | (stop - start) << _U(16)
-    choice[none] = below[none] | (_U(1 << 16) - below[none]) << _U(16) | _U(TOTAL0 << 40)
+    hit = names.astype("<u8", copy=False).view("<u2") == (own * _ALL4).view("<u2")
+    hit = hit.view("<u4")
+    by = (np.bitwise_count(hit - np.uint32(1)) >> 3).astype(_U) << _U(4)
+    start = ((ends << _U(16)) >> by) & _M16
+    choice = start | (((ends >> by) & _M16) - start) << _U(16)
+    none = np.flatnonzero(hit == 0)
+    last = ends[none] >> _U(16 * NAMED - 16)
+    choice[none] = last | (_U(1 << 16) - last) << _U(16) | _U(TOTAL0 << 40)
     choice0 = np.full(len(own), 1 << 18, _U)
-    base = np.minimum(now[first:last][none], model.known)
-    choice0[none] = model.packed0[base]
+    choice0[none] = model.packed0[np.minimum(own[none].astype(np.int64), model.known)]
     return choice, choice0
 
 
 def encode_block(ids: np.ndarray, numbered=None) -> bytes:
-    """The payload of a block: for each span the words of its lanes."""
+    """The payload of a block: for each span its new ids as they are, by step and
+    lane, and the words of its lanes."""
     distinct, at = numbered or _numbered(ids)
     symbol_of = np.full(len(distinct), NEW, np.int64)
     symbols = np.zeros(len(ids), np.int64)
@@ -389,18 +372,14 @@ def encode_block(ids: np.ndarray, numbered=None) -> bytes:
         choice, choice0 = (np.ascontiguousarray(x.reshape(lanes, steps).T) for x in whole)
         new = np.flatnonzero(now == NEW)
         new = new[np.argsort(new % steps, kind="stable")]  # by step, then by lane
-        turn = np.searchsorted(new % steps, np.arange(steps + 1)).tolist()
-        lane, plain = new // steps, ids[first + new].astype(_U)
         coder = _Encoder(lanes)
         full = len(now) - steps * (lanes - 1)  # ids of the last lane
         for t in range(steps):
             k = lanes if t < full else lanes - 1
             coder.choose(k, choice[t, :k], choice0[t, :k])
-            if turn[t] < turn[t + 1]:
-                own = slice(turn[t], turn[t + 1])
-                coder.spell(lane[own], plain[own])
         words, counts = coder.finish()
-        out += [struct.pack("<I", len(words)), counts.tobytes(), words.astype("<u4").tobytes()]
+        out += [struct.pack("<II", len(words), len(new)), counts.tobytes()]
+        out += [ids[first + new].astype("<u4").tobytes(), words.astype("<u4").tobytes()]
         # new ids of the span get the next symbols, in ascending order
         fresh = np.unique(at[first:last][new])
         symbol_of[fresh] = np.arange(known, known + len(fresh))
@@ -419,32 +398,34 @@ def decode_block(n: int, payload: bytes) -> np.ndarray:
         known = len(id_of)
         model = _Model(symbols[:first], known, weights)
         steps, lanes = _lanes(last - first)
-        (size,) = struct.unpack_from("<I", payload, at)
-        counts = np.frombuffer(payload, "<u2", lanes, at + 4)
+        size, n_new = struct.unpack_from("<II", payload, at)
+        at += 8
+        counts = np.frombuffer(payload, "<u2", lanes, at)
         if counts.sum(dtype=np.int64) != size:
             raise ValueError("a block of ids is damaged")
-        words = np.frombuffer(payload, "<u4", size, at + 4 + 2 * lanes)
-        at += 4 + 2 * lanes + 4 * size
+        at += 2 * lanes
+        value = np.frombuffer(payload, "<u4", n_new, at)
+        words = np.frombuffer(payload, "<u4", size, at + 4 * n_new)
+        at += 4 * (size + n_new)
         coder = _Decoder(words, counts.astype(np.int64))
-        got = np.zeros((steps, lanes), np.int64)
-        spelled: list[tuple[np.ndarray, np.ndarray]] = []
+        got = np.zeros((steps, lanes), np.uint16)
+        spelled: list[np.ndarray] = []
         before2 = before1 = np.full(lanes, START, _U)
         full = last - first - steps * (lanes - 1)
         for t in range(steps):
             k = lanes if t < full else lanes - 1
             row = model.rows(before2[:k], before1[:k])
-            place, symbol = coder.choose(k, model.ends[row], model)
-            now = (model.names[row] >> (place << _U(4))) & _M16
-            now = np.where(place == _U(NAMED), symbol.astype(_U), now)
-            new = np.flatnonzero((place == _U(NAMED)) & (symbol == known))
+            now, new = coder.choose(k, model.ends[row], model.names[row], model)
             if len(new):
-                spelled.append((new * steps + t, coder.spell(new)))
+                spelled.append(new * steps + t)
                 now[new] = NEW
             got[t, :k] = now
             before2, before1 = before1, now
-        own = np.ascontiguousarray(got.T).reshape(-1)[: last - first]
-        if spelled:
-            where, value = (np.concatenate(x) for x in zip(*spelled))
+        own = np.ascontiguousarray(got.T).reshape(-1)[: last - first].astype(np.int64)
+        if n_new or spelled:
+            where = np.concatenate([*spelled, np.zeros(0, np.int64)])
+            if len(where) != n_new:
+                raise ValueError("a block of ids is damaged")
             fresh, symbol = np.unique(value.astype(np.uint32), return_inverse=True)
             own[where] = known + symbol
             id_of = np.append(id_of, fresh)
@@ -462,7 +443,7 @@ def encode_ids(ids: np.ndarray) -> list[tuple[int, int, bytes]]:
         while len((numbered := _numbered(ids[first : first + size]))[0]) > DISTINCT:
             size = max(DISTINCT, size // 2)
         part = ids[first : first + size].astype("<u4")
-        blocks.append((size, zlib.crc32(part.tobytes()), encode_block(part, numbered)))
+        blocks.append((size, zlib.crc32(part), encode_block(part, numbered)))
         first += size
     return blocks
 
@@ -473,7 +454,7 @@ def decode_ids(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
     for number, (n, crc, payload) in enumerate(blocks):
         try:
             part = decode_block(n, payload)
-            right = zlib.crc32(part.astype("<u4").tobytes()) == crc
+            right = zlib.crc32(np.ascontiguousarray(part, "<u4")) == crc
         except (IndexError, ValueError, struct.error):
             right = False
         if not right:
@@ -523,10 +504,44 @@ def unpack_segment(data: bytes) -> tuple[list[int | None], list[np.ndarray]]:
     )
 
 
+#: What a tokenizers file has to hold for ``PLAIN`` words to be single pieces.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ],
+}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: Letters of ASCII and Latin-1, or signs of ASCII.
+PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[!-/:-@\[-`{-~]+").fullmatch
+ID = attrgetter("id")
+#: Bytes above 127 that the library writes as other characters than their own.
+BYTE_LEVEL = {chr(b): chr(290 + k) for k, b in enumerate([*range(0x80, 0xA1), 0xAD])}
+
+
 class WordIds:
     """Ids of texts by a tokenizers file whose words never depend on the words
-    beside them (white space is dropped): each distinct word is encoded by the
-    library once, in batches balanced by bytes."""
+    beside them (white space is dropped, and letters never join the signs behind
+    them): each distinct word is encoded by the library once.
+
+    Where the file normalises and splits as ``NORMALIZER`` and ``SPLITTER`` say,
+    a ``PLAIN`` word is one piece that only becomes lower case: the library's
+    model gets it at once.  All other words go through the whole library, in
+    batches balanced by bytes.
+    """
 
     def __init__(self, vocabulary: str):
         import os
@@ -539,26 +554,60 @@ class WordIds:
         self.tokenizer.no_padding()
         small = self.tokenizer.get_vocab_size() <= 1 << 16
         self.code, self.dtype = ("H", np.uint16) if small else ("I", np.uint32)
-        self.words = re.compile(f"[^{SPACE}]+").findall
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
-        forget_half(self.known, KEPT_UNITS)
-        cut = [self.words(t) for t in texts]
-        known = self.known
-        new: set[str] = set()
-        for words in cut:
-            new |= set(words).difference(known)
-        long_ = {}
-        for run in balanced(list(new), BATCH_BYTES):
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = tuple(x.encode() for x in added)
+        steps = json.loads(self.tokenizer.to_str())
+        split = (steps["normalizer"], steps["pre_tokenizer"]) == (NORMALIZER, SPLITTER)
+        # an added token is no piece of the model
+        self.split = split and not any(map(PLAIN, self.whole))
+        self.model = self.tokenizer.model
+        self.known: dict[bytes, bytes] = {}
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of each of ``words``."""
+        plain = [self.split and (w.isalpha() or PLAIN(w)) for w in words]
+        lower = b"\n".join(words).decode().lower().encode().decode("latin-1")
+        for own, other in BYTE_LEVEL.items():
+            lower = lower.replace(own, other)
+        pieces = lower.split("\n")
+        tokenize, ids, ends, others = self.model.tokenize, [], [0], []
+        for k, piece in enumerate(pieces if words else ()):
+            if plain[k]:
+                ids += map(ID, tokenize(piece))
+            else:
+                others.append(k)
+            ends.append(len(ids))
+        data, size = array(self.code, ids).tobytes(), self.dtype().itemsize
+        out = [data[size * a : size * b] for a, b in zip(ends, ends[1:])]
+        place = {words[k].decode(): k for k in others}
+        for run in balanced(list(place), BATCH_BYTES):
             encoded = self.tokenizer.encode_batch_fast(run, add_special_tokens=False)
             for word, x in zip(run, encoded):
-                (known if len(word) <= LONG_UNIT else long_)[word] = array(self.code, x.ids).tobytes()
-        find = known.__getitem__
-        if long_:
-            find = lambda w: known.get(w) or long_.get(w, b"")
-        tail = array(self.code, [end]).tobytes()
-        return [np.frombuffer(b"".join(map(find, ws)) + tail, self.dtype) for ws in cut]
+                out[place[word]] = array(self.code, x.ids).tobytes()
+        return out
+
+    def encode(self, column: pa.Array, end: int) -> list[np.ndarray]:
+        """Ids of each text of ``column``, then ``end``."""
+        streams: list[np.ndarray] = []
+        for texts in chunks(column, 8 << 20):
+            known = self.known
+            forget_half(known, KEPT_UNITS)
+            cut = Cut(texts, words=True, whole=self.whole)
+            long_ = {}
+            new = [w for w in cut.distinct if w not in known]
+            for word, ids in zip(new, self.encode_words(new)):
+                (known if len(word) <= LONG_UNIT else long_)[word] = ids
+            if long_:
+                ids_of = [known[w] if w in known else long_[w] for w in cut.distinct]
+            else:
+                ids_of = list(map(known.__getitem__, cut.distinct))
+            number = np.insert(cut.number, cut.first[1:], len(ids_of))
+            ids_of.append(array(self.code, [end]).tobytes())
+            ends, data = joined(ids_of, number)
+            ids = np.frombuffer(data, self.dtype)
+            at = ends[cut.first + np.arange(len(cut.first))] // self.dtype().itemsize
+            streams += [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        return streams
 
 
 @lru_cache(maxsize=2)
@@ -601,9 +650,9 @@ def write_id_files(
 
         waiting = 0
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                rows = batch.slice(start, 256)
-                streams += words.encode([t or "" for t in rows.column(1).to_pylist()], end)
+            for start in range(0, batch.num_rows, AT_A_TIME):
+                rows = batch.slice(start, AT_A_TIME)
+                streams += words.encode(rows.column(1), end)
                 names += rows.column(0).to_pylist()
                 waiting += sum(map(len, streams[-rows.num_rows :]))
                 if waiting >= SEGMENT_IDS:
@@ -623,11 +672,12 @@ def write_id_files(
     return materialize(coded, "id-files")
 
 
-def read_id_files(files: DataFrame) -> DataFrame:
+def read_id_files(files: DataFrame, with_ids: bool = True) -> DataFrame:
     """Documents of ``write_id_files``: doc_id, start, n_tokens, ids_crc32, ids.
 
     Every block's checksum is verified.  ``start`` counts the ids of all
-    documents before; ``ids`` is packed little-endian unsigned 32-bit.
+    documents before; ``ids`` is packed little-endian unsigned 32-bit (null
+    without ``with_ids``: they are read and summed up, but not handed on).
     """
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -635,7 +685,7 @@ def read_id_files(files: DataFrame) -> DataFrame:
             for row in range(batch.num_rows):
                 names, streams = unpack_segment(batch.column(2)[row].as_py())
                 counts = np.array([len(s) for s in streams], np.int64)
-                packed = [s.astype("<u4").tobytes() for s in streams]
+                streams = [np.ascontiguousarray(s, "<u4") for s in streams]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([batch.column(0)[row].as_py()] * len(names), pa.int32()),
@@ -643,8 +693,10 @@ def read_id_files(files: DataFrame) -> DataFrame:
                         pa.array(names, pa.int64()),
                         pa.array(np.cumsum(counts) - counts, pa.int64()),
                         pa.array(counts, pa.int64()),
-                        pa.array([zlib.crc32(x) for x in packed], pa.int64()),
-                        pa.array(packed, pa.binary()),
+                        pa.array([zlib.crc32(x) for x in streams], pa.int64()),
+                        pa.array([x.tobytes() for x in streams], pa.binary())
+                        if with_ids
+                        else pa.nulls(len(streams), pa.binary()),
                     ],
                     names=["part", "seq", "doc_id", "inside", "n_tokens", "ids_crc32", "ids"],
                 )
@@ -673,4 +725,4 @@ def op5_mixing_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_id_files(
         read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
     )
-    return read_id_files(files).drop("ids")
+    return read_id_files(files, with_ids=False).drop("ids")

@@ -19,28 +19,24 @@ from .tokens import SPACE
 CHUNK_BYTES = 3 << 20  # text that is cut at a time
 
 _SPACES = [x.encode() for x in map(chr, range(0x10000)) if re.match(f"[{SPACE}]", x)]
-_ASCII_SPACE = np.zeros(256, bool)
-_ASCII_SPACE[[x[0] for x in _SPACES if len(x) == 1]] = True
 _WIDE_SPACES = {
     lead: [x for x in _SPACES if len(x) > 1 and x[0] == lead]
     for lead in sorted({x[0] for x in _SPACES if len(x) > 1})
 }
-_WORD = np.zeros(256, bool)
-_WORD[[c for c in range(128) if chr(c).isalnum()]] = True
-_PUNCT = np.zeros(256, bool)
-_PUNCT[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 #: Second bytes of À to ÿ without × and ÷: behind 0xC3 they end a letter.
 _LATIN = np.zeros(256, bool)
 _LATIN[[c for c in range(0x80, 0xC0) if c not in (0x97, 0xB7)]] = True
 
 
-def chunks(column: pa.Array) -> Iterator[pa.Array]:
-    """Runs of the texts of ``column`` of about ``CHUNK_BYTES``; null is empty."""
+def chunks(column: pa.Array, limit: int | None = None) -> Iterator[pa.Array]:
+    """Runs of the texts of ``column`` of about ``limit`` bytes (else
+    ``CHUNK_BYTES``); null is empty."""
+    limit = limit or CHUNK_BYTES
     column = pc.fill_null(column.cast(pa.string()), "")
     ends = offsets(column)
     first = 0
     while first < len(column):
-        last = int(np.searchsorted(ends, ends[first] + CHUNK_BYTES, "right")) - 1
+        last = int(np.searchsorted(ends, ends[first] + limit, "right")) - 1
         last = min(max(last, first + 1), len(column))
         yield column.slice(first, last - first)
         first = last
@@ -87,7 +83,7 @@ class Cut:
         ends = ends - ends[0]
         text = np.zeros(len(b) + 1, bool)  # where texts start
         text[ends] = True
-        space = _ASCII_SPACE[b]
+        space = (b == 32) | (b - np.uint8(9) < 5)
         for lead, some in _WIDE_SPACES.items():
             leads = np.flatnonzero(b == lead)
             for x in some if len(leads) else ():
@@ -96,8 +92,9 @@ class Cut:
                     at = at[b[at + k] == x[k]]
                 for k in range(len(x)):
                     space[at + k] = True
-        start = _PUNCT[b]
-        before = _WORD[b[:-1]]
+        before = ((b | 32) - np.uint8(97) < 26) | (b - np.uint8(48) < 10)  # letters, digits
+        start = (b - np.uint8(33) < 94) & ~before
+        before = before[:-1]
         latin = np.flatnonzero(b[:-2] == 0xC3) + 1
         before[latin] = _LATIN[b[latin]]
         start[:1] = False
@@ -132,4 +129,6 @@ class Cut:
         coded = packed(at, np.ascontiguousarray(b)).dictionary_encode()
         self.first = first
         self.number = coded.indices.to_numpy()
-        self.distinct: list[bytes] = coded.dictionary.to_pylist()
+        plain, at = coded.dictionary.buffers()[2], offsets(coded.dictionary).tolist()
+        plain = plain.to_pybytes() if plain else b""
+        self.distinct = [plain[i:j] for i, j in zip(at, at[1:])]

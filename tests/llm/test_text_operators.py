@@ -214,6 +214,37 @@ def test_id_files(spark, monkeypatch):
     assert idcodec.read_id_files(idcodec.write_id_files(empty(spark), path)).count() == 0
 
 
+def test_word_ids_equal_the_library():
+    """Plain words go to the library's model at once, the others through all of it."""
+    path = P.path("word_bpe_49k.json")
+    library, words = Tokenizer.from_file(path), idcodec.WordIds(path)
+
+    class Whole:
+        met: list[str] = []
+
+        def encode_batch_fast(self, run, **options):
+            self.met += run
+            return library.encode_batch_fast(run, **options)
+
+    words.tokenizer = Whole()
+    rnd = random.Random(16)
+    parts = ["a", "The", " ", "\n", "é", "ÀSß", "日", "'s", "'", "'LL", "\x85", "　", "12", "!!", "ü.", "×", "́", "İ.", "Σ", "<", "̸"]
+    parts += ["<|endoftext|>", "<|startoftext|>", "ŉ", "K"]
+    texts = [None, "", " ", "x" * 99, *("".join(rnd.choices(parts, k=rnd.randint(0, 30))) for _ in range(3000))]
+    for text, got in zip(texts, words.encode(pa.array(texts), 2), strict=True):
+        assert got.tolist() == library.encode(text or "", add_special_tokens=False).ids + [2], text
+    Whole.met.clear()
+    words.encode(pa.array(["Plain wörds, and signs) &&& go ... straight", "12 日"]), 2)
+    assert set(Whole.met) <= {"12", "日"}
+
+
+def test_id_files_without_ids(spark):
+    files = idcodec.write_id_files(frame(spark, [(i, t) for i, t, *_ in odd_rows()]), P.path("word_bpe_49k.json"))
+    whole = sorted(map(tuple, idcodec.read_id_files(files).drop("ids").collect()), key=str)
+    got = idcodec.read_id_files(files, with_ids=False).collect()
+    assert sorted((tuple(r)[:-1] for r in got), key=str) == whole and not any(r["ids"] for r in got)
+
+
 def toxic_corpus():
     rnd = random.Random(8)
     bad = ["zorkel", "zorkelish", "zorkels", "vexhead", "vexheads"]
