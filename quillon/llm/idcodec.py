@@ -11,7 +11,7 @@ from its order-2, order-1 and order-0 shares, with weights for each level of
 confidence that are fitted to the last span before they are used on the next.
 What the named ids leave goes to all ids by their order-0 shares; an id that
 the block has not held yet is spelled out.  The choices are coded by a range
-coder with a 64-bit interval.
+coder with a 63-bit interval; carries are added to its words at the end.
 
 A span is dealt to many lanes, each with a coder of its own, and the lanes run
 in lockstep: one numpy operation serves the same place of all lanes.
@@ -20,28 +20,26 @@ in lockstep: one numpy operation serves the same place of all lanes.
 from __future__ import annotations
 
 import json
-import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, read_table
-from .tokens import BATCH_BYTES, KEPT_UNITS, LONG_UNIT, balanced, forget_half
-from .units import Cut, chunks, joined
+from .tokens import BATCH_BYTES, LONG_UNIT, balanced
+from .units import Units, chunks, joined, offsets, pack, packed
 
-MAGIC = b"QIDS3\0"
-BLOCK = 1 << 22  # ids a block
+MAGIC = b"QIDS4\0"
+BLOCK = 7 << 20  # ids a block; a fifth of a full one teaches its last model
 DISTINCT = 65_000  # distinct ids of a block of more ids than that
-SEGMENT_IDS = 7 << 19  # a segment ends with the batch of documents that fills it
+SEGMENT_IDS = 13 << 19  # a segment ends with the batch of documents that fills it
 FIRST_SPAN, GROWTH = 96, 4  # a span ends where the block is GROWTH times as long
 LANE_IDS, LANES = 256, 4096  # ids of a lane, as long as there are lanes enough
 NAMED = 4  # ids that a context names
@@ -49,14 +47,17 @@ TOTAL0 = 17  # bits of the order-0 frequencies
 NAMED_SHARE = 60_000  # of 65,536, what the named ids have together at most
 LEVELS = 8  # of confidence: by the logarithm of a context's count
 AT_ONCE = 1 << 17  # ids whose choices are worked out at a time
-AT_A_TIME = 1500  # documents that are encoded at a time
+AT_A_TIME = 3000  # documents that are encoded at a time
+CUT_BYTES = 16 << 20  # text that is cut into words at a time
+LINES = 2000  # words that the model gets in one text
+KEPT_WORDS = 3 << 17  # words that a worker keeps before it forgets half of them
 SAMPLE = 8  # the weights are fitted to one id of so many
 NEW, START = 65_535, 65_534  # as contexts: an id not held before, the start of a lane
 
 _U = np.uint64
-_MIX = _U(0x9E3779B97F4A7C15)
-_FULL = _U((1 << 64) - 1)
-_M16, _M18, _M32 = _U(0xFFFF), _U(0x3FFFF), _U(0xFFFFFFFF)
+_MIX = np.uint32(0x9E3779B1)
+_FULL = _U(1 << 63)  # the longest interval; one below 1 << 31 is shifted
+_M16, _M18, _M31, _M32 = _U(0xFFFF), _U(0x3FFFF), _U(0x7FFFFFFF), _U(0xFFFFFFFF)
 _ALL4 = _U(0x1000100010001)  # times 16 bits: four times the same
 NOBODY = _U(START) * _ALL4  # the names of a context that names no id
 
@@ -69,91 +70,96 @@ class _Encoder:
         self.length = np.full(lanes, _FULL)
         self.out: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def _shift(self, i: np.ndarray) -> None:
-        """Shift out 32 bits of lanes ``i``; an interval that spans two values
-        of these is cut down to its part of the first."""
-        low, length = self.low[i], self.length[i]
-        apart = (low >> _U(32)) != ((low + (length - _U(1))) >> _U(32))
-        length = np.where(apart, (_M32 - (low & _M32)) + _U(1), length)
-        self.out.append((i, (low >> _U(32)).astype(np.uint32)))
-        self.low[i] = low << _U(32)
-        self.length[i] = length << _U(32)
-
     def choose(self, k: int, choice: np.ndarray, choice0: np.ndarray) -> None:
         """The first ``k`` lanes: a 16-bit choice, then one of ``TOTAL0`` bits or
         none.  Both are packed: start, size, and what to shift by."""
-        unit = self.length[:k] >> _U(16)
-        low = self.low[:k] + unit * (choice & _M16)
-        unit = (unit * ((choice >> _U(16)) & _M18)) >> (choice >> _U(40))
-        self.low[:k] = low + unit * (choice0 & _M18)
-        self.length[:k] = unit * (choice0 >> _U(18))
-        short = np.flatnonzero(self.length[:k] <= _M32)
-        if len(short):
-            self._shift(short)
+        low, length = self.low[:k], self.length[:k]
+        unit = length >> _U(16)
+        low += unit * (choice & _M16)
+        unit *= (choice >> _U(16)) & _M18
+        unit >>= choice >> _U(40)
+        low += unit * (choice0 & _M18)
+        np.multiply(unit, choice0 >> _U(18), out=length)
+        short = (length <= _M31).nonzero()[0]
+        if len(short):  # 32 bits go out, with what they carry to the word before
+            own = low[short]
+            self.out.append((short, own >> _U(31)))
+            low[short] = (own & _M31) << _U(32)
+            length[short] = length[short] << _U(32)
 
     def finish(self) -> tuple[np.ndarray, np.ndarray]:
         """Words of each lane, lane by lane, and how many each has."""
         every = np.arange(len(self.low))
-        # the value in the interval that ends in 32 zeros, which are not written
-        self.out.append((every, ((self.low + _M32) >> _U(32)).astype(np.uint32)))
+        # the value in the interval that ends in 31 zeros, which are not written
+        self.out.append((every, (self.low + _M31) >> _U(31)))
         lane, word = (np.concatenate(x) for x in zip(*self.out))
-        order = np.argsort(lane.astype(np.uint16), kind="stable")
-        return word[order], np.bincount(lane, minlength=len(every)).astype("<u2")
+        word = word[np.argsort(lane.astype(np.uint16), kind="stable")]
+        carry = np.flatnonzero(word > _M32)
+        while len(carry):  # never from a lane's first word
+            word[carry] &= _M32
+            word[carry - 1] += _U(1)
+            carry = carry[word[carry - 1] > _M32] - 1
+        return word.astype(np.uint32), np.bincount(lane, minlength=len(every)).astype("<u2")
 
 
 class _Decoder:
+    """Of each lane: length of its interval, and where in it the coded value lies."""
+
     def __init__(self, words: np.ndarray, counts: np.ndarray):
-        # behind each lane's words stand zeros: a place that all lanes share
-        self.words = np.append(words, np.uint32(0)).astype(_U)
-        self.stop = np.cumsum(counts, dtype=np.int64)
-        self.at = self.stop - counts
-        self.low = np.zeros(len(counts), _U)
+        # a lane's bits begin with a zero, as its interval has 63: one word more
+        stop = np.cumsum(counts, dtype=np.int64)
+        words = words.astype(np.uint32)
+        odd = (words & np.uint32(1)) << np.uint32(31)
+        before = np.append(np.uint32(0), odd[:-1])
+        before[stop[:-1]] = 0
+        words = np.insert(words >> np.uint32(1) | before, stop, odd[stop - 1])
+        self.words = words.astype(_U)
+        self.at = stop - counts + np.arange(len(counts))
         self.length = np.full(len(counts), _FULL)
-        every = np.arange(len(counts))
-        self.code = self._next(every) << _U(32)
-        self.code |= self._next(every)
-
-    def _next(self, i: np.ndarray) -> np.ndarray:
-        at = self.at[i]
-        self.at[i] = at + 1
-        return self.words[np.where(at < self.stop[i], at, len(self.words) - 1)]
-
-    def _shift(self, i: np.ndarray) -> None:
-        low, length = self.low[i], self.length[i]
-        apart = (low >> _U(32)) != ((low + (length - _U(1))) >> _U(32))
-        length = np.where(apart, (_M32 - (low & _M32)) + _U(1), length)
-        self.low[i] = low << _U(32)
-        self.length[i] = length << _U(32)
-        self.code[i] = self.code[i] << _U(32) | self._next(i)
+        self.value = self.words[self.at] << _U(32) | self.words[self.at + 1]
+        self.at += 2
 
     def choose(
         self, k: int, ends: np.ndarray, names: np.ndarray, model: "_Model"
     ) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of the first ``k`` lanes, and which lanes have a new id."""
-        low, code = self.low[:k], self.code[:k]
-        unit = self.length[:k] >> _U(16)
-        value = np.minimum((code - low) // unit, _M16) * _ALL4
-        place = np.bitwise_count((value.view(np.uint16) >= ends.view(np.uint16)).view(np.uint32))
-        none = np.flatnonzero(place == NAMED)
-        by = place.astype(_U) << _U(4)
-        start = ((ends << _U(16)) >> by) & _M16
-        now = (names >> by) & _M16
-        own = unit[none]
-        last = ends[none] >> _U(16 * NAMED - 16)
-        self.length[:k] = unit * (((ends >> by) & _M16) - start)
-        low += unit * start
+        value, length = self.value[:k], self.length[:k]
+        unit = length >> _U(16)
+        share = value // unit
+        share *= _ALL4
+        place = np.bitwise_count((share.view(np.uint16) >= ends.view(np.uint16)).view(np.uint32))
+        none = (place == NAMED).nonzero()[0]
+        by = place.astype(_U)
+        by <<= _U(4)
+        now = names >> by
+        now &= _M16
+        start = ends << _U(16)
+        start >>= by
+        start &= _M16
+        size = ends >> by
+        size &= _M16
+        size -= start
+        start *= unit
+        value -= start
+        np.multiply(unit, size, out=length)
         # not named: an order-0 symbol in what is left
-        at = low[none] + own * (last - start[none])
-        own = (own * (_U(1 << 16) - last)) >> _U(TOTAL0)
-        value = np.minimum((code[none] - at) // own, _U((1 << TOTAL0) - 1))
-        symbol = model.symbols[value.astype(np.int64)]
-        packed = model.packed0[symbol]
-        low[none] = at + own * (packed & _M18)
-        self.length[none] = own * (packed >> _U(18))
+        own, last = unit.take(none), ends.take(none)
+        last >>= _U(16 * NAMED - 16)
+        at = value.take(none)
+        at -= own * last
+        own *= _U(1 << 16) - last
+        own >>= _U(TOTAL0)
+        symbol = model.symbols.take((at // own).view(np.int64))
+        packed0 = model.packed0.take(symbol)
+        value[none] = at - own * (packed0 & _M18)
+        length[none] = own * (packed0 >> _U(18))
         now[none] = symbol
-        short = np.flatnonzero(self.length[:k] <= _M32)
+        short = (length <= _M31).nonzero()[0]
         if len(short):
-            self._shift(short)
+            at = self.at.take(short)
+            value[short] = value.take(short) << _U(32) | self.words.take(at)
+            length[short] = length.take(short) << _U(32)
+            self.at[short] = at + 1
         return now, none[symbol == model.known]
 
 
@@ -212,7 +218,7 @@ class _Model:
         self.sum1[context[first]] = sums
         symbol = self.pairs[entry] & _M16
         share = self._mixed(1, _level(sums)[run], 0.0, self.n1[entry] / sums[run], symbol)
-        self._fill(slots + context[first], run, rank, symbol, share)
+        self._fill(slots + context[first], slice(None), run, rank, symbol, share)
         context = self.triples >> _U(16)
         first, sums, entry, run, rank = _best(context, self.n2)
         contexts, self.sum2 = context[first], sums
@@ -222,45 +228,40 @@ class _Model:
         share1 = self.n1[at] / self.sum1[pair >> np.uint32(16)]
         symbol = pair & np.uint32(0xFFFF)
         share = self._mixed(2, _level(sums)[run], self.n2[entry] / sums[run], share1, symbol)
-        place = self.slot(contexts)
+        place = self.slot(self.contexts)
         # of contexts in one slot the most frequent stays
         by_count = np.argsort(sums, kind="stable")
         owner = np.full(slots, -1)
         owner[place[by_count]] = by_count
         kept = owner[place] == np.arange(len(place))
         self.tags[place[kept]] = self.contexts[kept]
-        own = kept[run]
-        self._fill(place, run[own], rank[own], symbol[own], share[own])
+        self._fill(place, kept, run, rank, symbol, share)
 
     def slot(self, context: np.ndarray) -> np.ndarray:
-        return ((context * _MIX) >> _U(64 - self.bits)).astype(np.int64)
+        return ((context * _MIX) >> np.uint32(32 - self.bits)).astype(np.int64)
 
     def _mixed(self, order, level, share2, share1, symbol):
         w = self.weights[order, level]
         return w[:, 2] * share2 + w[:, 1] * share1 + w[:, 0] * self.counts[symbol.astype(np.int64)] / self.n
 
-    def _fill(self, rows, run, rank, symbol, share):
-        size = np.zeros((len(rows), NAMED), np.int64)
-        size[run, rank] = (share * NAMED_SHARE).astype(np.int64)
-        name = np.full((len(rows), NAMED), START, _U)
-        name[run, rank] = symbol
+    def _fill(self, rows, kept, run, rank, symbol, share):
+        at = run * NAMED + rank
+        size = np.zeros(len(rows) * NAMED, "<u2")
+        size[at] = (share * NAMED_SHARE).astype("<u2")
+        name = np.full(len(size), START, "<u2")
+        name[at] = symbol
         name[size == 0] = START
-        ends = np.cumsum(size, axis=1).astype(_U)
-        own = np.unique(run)
-        packed = np.zeros(len(rows), _U)
-        names = np.zeros(len(rows), _U)
-        for n in range(NAMED):
-            packed |= ends[:, n] << _U(16 * n)
-            names |= name[:, n] << _U(16 * n)
-        self.ends[rows[own]], self.names[rows[own]] = packed[own], names[own]
-
-    def rows(self, before2: np.ndarray, before1: np.ndarray) -> np.ndarray:
-        """Rows of ``ends`` and ``names`` for two predecessors."""
-        context = before2 << _U(16) | before1
+        size = size.reshape(-1, NAMED)
+        for n in range(1, NAMED):
+            size[:, n] += size[:, n - 1]
+        rows = rows[kept]
+        self.ends[rows] = size.view("<u8")[kept, 0]
+        self.names[rows] = name.view("<u8")[kept]
+
+    def rows(self, context: np.ndarray, before1: np.ndarray) -> np.ndarray:
+        """Rows of ``ends`` and ``names`` for two predecessors and for the last of these."""
         slot = self.slot(context)
-        return np.where(
-            self.tags[slot] == context, slot, before1.astype(np.int64) + (1 << self.bits)
-        )
+        return np.where(self.tags.take(slot) == context, slot, before1 + (1 << self.bits))
 
     def fitted(self, before2, before1, symbol) -> np.ndarray:
         """Weights for what follows these ids, by expectation maximisation."""
@@ -329,17 +330,16 @@ def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(there), place[ids]
 
 
-def _choices(model: _Model, now: np.ndarray, steps: int, first: int, last: int):
-    """What codes the symbols ``now[first:last]`` of a span, packed for a coder."""
-    own = now[first:last].astype(_U)
-    back = now[max(0, first - 2) : last].astype(_U)
-    back = np.r_[np.full(max(0, 2 - first), START, _U), back]
-    before2, before1 = back[:-2].copy(), back[1:-1].copy()
-    place = np.arange(first, last) % steps
-    before1[place == 0] = START
-    before2[place <= 1] = START
-    row = model.rows(before2, before1)
-    ends, names = model.ends[row], model.names[row]
+def _choices(model: _Model, now: np.ndarray, steps: int):
+    """What codes the symbols ``now`` of some lanes, packed for a coder."""
+    own = now.astype(_U)
+    before1, before2 = np.empty((2, len(now)), np.uint32)
+    before1[1:] = now[:-1]
+    before1[::steps] = START
+    before2[1:] = before1[:-1]
+    before2[::steps] = START
+    row = model.rows(before2 << np.uint32(16) | before1, before1.astype(np.int64))
+    ends, names = model.ends.take(row), model.names.take(row)
     hit = names.astype("<u8", copy=False).view("<u2") == (own * _ALL4).view("<u2")
     hit = hit.view("<u4")
     by = (np.bitwise_count(hit - np.uint32(1)) >> 3).astype(_U) << _U(4)
@@ -357,19 +357,22 @@ def encode_block(ids: np.ndarray, numbered=None) -> bytes:
     """The payload of a block: for each span its new ids as they are, by step and
     lane, and the words of its lanes."""
     distinct, at = numbered or _numbered(ids)
-    symbol_of = np.full(len(distinct), NEW, np.int64)
-    symbols = np.zeros(len(ids), np.int64)
+    symbol_of = np.full(len(distinct), NEW, np.int32)
+    symbols = np.zeros(len(ids), np.int32)
     known, weights, out = 0, _first_weights(), []
     for first, last in _spans(len(ids)):
         model = _Model(symbols[:first], known, weights)
         now = symbol_of[at[first:last]]
         steps, lanes = _lanes(last - first)
-        whole = [np.zeros(steps * lanes, _U) for _ in range(2)]
-        for a in range(0, len(now), AT_ONCE):
-            b = min(len(now), a + AT_ONCE)
-            for all_, some in zip(whole, _choices(model, now, steps, a, b)):
-                all_[a:b] = some
-        choice, choice0 = (np.ascontiguousarray(x.reshape(lanes, steps).T) for x in whole)
+        choice, choice0 = np.zeros((2, steps, lanes), _U)
+        some = max(1, AT_ONCE // steps)
+        for lane in range(0, lanes, some):
+            part = now[lane * steps : (lane + some) * steps]
+            full, rest = divmod(len(part), steps)
+            for whole, own in zip((choice, choice0), _choices(model, part, steps)):
+                whole[:, lane : lane + full] = own[: full * steps].reshape(full, steps).T
+                if rest:
+                    whole[:rest, lane + full] = own[full * steps :]
         new = np.flatnonzero(now == NEW)
         new = new[np.argsort(new % steps, kind="stable")]  # by step, then by lane
         coder = _Encoder(lanes)
@@ -392,7 +395,7 @@ def encode_block(ids: np.ndarray, numbered=None) -> bytes:
 
 def decode_block(n: int, payload: bytes) -> np.ndarray:
     id_of = np.zeros(0, np.uint32)
-    symbols = np.zeros(n, np.int64)
+    symbols = np.zeros(n, np.int32)
     weights, at = _first_weights(), 0
     for first, last in _spans(n):
         known = len(id_of)
@@ -410,18 +413,21 @@ def decode_block(n: int, payload: bytes) -> np.ndarray:
         coder = _Decoder(words, counts.astype(np.int64))
         got = np.zeros((steps, lanes), np.uint16)
         spelled: list[np.ndarray] = []
-        before2 = before1 = np.full(lanes, START, _U)
+        before1 = np.full(lanes, START)
+        context = np.full(lanes, START << 16 | START, np.uint32)
         full = last - first - steps * (lanes - 1)
         for t in range(steps):
             k = lanes if t < full else lanes - 1
-            row = model.rows(before2[:k], before1[:k])
-            now, new = coder.choose(k, model.ends[row], model.names[row], model)
+            row = model.rows(context[:k], before1[:k])
+            now, new = coder.choose(k, model.ends.take(row), model.names.take(row), model)
             if len(new):
                 spelled.append(new * steps + t)
                 now[new] = NEW
             got[t, :k] = now
-            before2, before1 = before1, now
-        own = np.ascontiguousarray(got.T).reshape(-1)[: last - first].astype(np.int64)
+            before1 = now.view(np.int64)
+            context = context[:k] << np.uint32(16)
+            context |= now.astype(np.uint32)
+        own = np.ascontiguousarray(got.T).reshape(-1)[: last - first].astype(np.int32)
         if n_new or spelled:
             where = np.concatenate([*spelled, np.zeros(0, np.int64)])
             if len(where) != n_new:
@@ -525,11 +531,26 @@ SPLITTER = {
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
     ],
 }
-#: Letters of ASCII and Latin-1, or signs of ASCII.
-PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[!-/:-@\[-`{-~]+").fullmatch
-ID = attrgetter("id")
-#: Bytes above 127 that the library writes as other characters than their own.
-BYTE_LEVEL = {chr(b): chr(290 + k) for k, b in enumerate([*range(0x80, 0xA1), 0xAD])}
+#: Of bytes: letters of ASCII, signs of ASCII, all others.
+LETTER, SIGN, OTHER = 1, 2, 4
+KIND = np.full(256, OTHER, np.uint8)
+KIND[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = SIGN
+KIND[[*range(65, 91), *range(97, 123)]] = LETTER
+#: Of the bytes behind 0xC3 that end a letter: the one of its lower case.
+LOWER = np.zeros(256, np.uint8)
+LOWER[0x80:0xC0] = [c | 0x20 for c in range(0x80, 0x9F)] + [*range(0x9F, 0xC0)]
+LOWER[[0x97, 0xB7]] = 0  # multiplied, divided
+#: The character that the library writes for each byte of lower-case letters and signs.
+CHARACTER = np.arange(256, dtype="<u4")
+CHARACTER[65:91] += 32
+CHARACTER[[*range(0x80, 0xA1), 0xAD]] = np.arange(290, 324)
+
+
+def _bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of ``values`` starts (and the last ends) in their bytes, and these."""
+    ends, data = offsets(values), values.buffers()[2]
+    b = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.zeros(0, np.uint8)
+    return ends - ends[0], b
 
 
 class WordIds:
@@ -538,9 +559,10 @@ class WordIds:
     them): each distinct word is encoded by the library once.
 
     Where the file normalises and splits as ``NORMALIZER`` and ``SPLITTER`` say,
-    a ``PLAIN`` word is one piece that only becomes lower case: the library's
-    model gets it at once.  All other words go through the whole library, in
-    batches balanced by bytes.
+    a plain word (letters of ASCII and Latin-1, or signs of ASCII) is one piece
+    that only becomes lower case: the library's model gets many of them in one
+    text of lines, and the ends of words show in their last ids.  All other words
+    go through the whole library, in batches balanced by bytes.
     """
 
     def __init__(self, vocabulary: str):
@@ -548,64 +570,105 @@ class WordIds:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         small = self.tokenizer.get_vocab_size() <= 1 << 16
-        self.code, self.dtype = ("H", np.uint16) if small else ("I", np.uint32)
+        self.dtype = np.uint16 if small else np.uint32
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = tuple(x.encode() for x in added)
         steps = json.loads(self.tokenizer.to_str())
-        split = (steps["normalizer"], steps["pre_tokenizer"]) == (NORMALIZER, SPLITTER)
-        # an added token is no piece of the model
-        self.split = split and not any(map(PLAIN, self.whole))
-        self.model = self.tokenizer.model
-        self.known: dict[bytes, bytes] = {}
-
-    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        ids = self.tokenizer.get_vocab(with_added_tokens=False)
+        suffix = steps["model"].get("end_of_word_suffix")
+        letters = [chr(x) for x in sorted({*CHARACTER[33:].tolist()} - {127})]
+        self.split = (
+            (steps["normalizer"], steps["pre_tokenizer"]) == (NORMALIZER, SPLITTER)
+            and bool(suffix)
+            and all(x in ids and x + suffix in ids for x in letters)
+            # an added token is no piece of the model
+            and not self.plain(pack(list(self.whole))).any()
+        )
+        self.lines = Tokenizer(self.tokenizer.model)
+        self.lines.pre_tokenizer = CharDelimiterSplit("\n")
+        self.last = np.zeros(max(ids.values(), default=0) + 1, bool)  # ids that end a word
+        self.last[[n for x, n in ids.items() if suffix and x.endswith(suffix)]] = True
+        self.words = self.ids = pack([])  # those met, and the packed ids of each
+
+    @staticmethod
+    def plain(words: pa.Array) -> np.ndarray:
+        """Which of ``words`` are letters of ASCII and Latin-1 or signs of ASCII."""
+        ends, b = _bytes(words)
+        if not len(b):
+            return np.zeros(len(words), bool)
+        kind = KIND[b]
+        lead = np.flatnonzero(b[:-1] == 0xC3)
+        lead = lead[LOWER[b[lead + 1]] > 0]
+        kind[lead] = kind[lead + 1] = LETTER
+        kind = np.bitwise_or.reduceat(np.append(kind, np.uint8(OTHER)), ends)[:-1]
+        return ((kind == LETTER) | (kind == SIGN)) & (ends[1:] > ends[:-1])
+
+    def encode_plain(self, words: pa.Array) -> pa.Array:
+        """Packed ids of plain words."""
+        ends, b = _bytes(words)
+        line = np.full(len(b) + len(words), 10, np.uint8)
+        within = np.ones(len(line), bool)
+        ends = ends[1:] + np.arange(1, len(words) + 1)  # each word and a line's end
+        within[ends - 1] = False
+        line[within] = b
+        text = CHARACTER[line]
+        lead = np.flatnonzero(line[:-1] == 0xC3)
+        text[lead + 1] = CHARACTER[LOWER[line[lead + 1]]]
+        ids = []
+        stops = [0, *ends[LINES - 1 : -1 : LINES].tolist(), *ends[-1:].tolist()]
+        for i, j in zip(stops, stops[1:]):
+            run = text[i : j - 1].tobytes().decode("utf-32-le")
+            ids.append(np.array(self.lines.encode_batch_fast([run], add_special_tokens=False)[0].ids))
+        ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+        last = np.append(0, np.flatnonzero(self.last[ids]) + 1)
+        if len(last) != len(words) + 1 or last[-1] != len(ids):
+            raise RuntimeError("the ends of words do not show in their ids")
+        return packed(last * self.dtype().itemsize, ids.astype(self.dtype))
+
+    def encode_words(self, words: pa.Array) -> pa.Array:
         """Packed ids of each of ``words``."""
-        plain = [self.split and (w.isalpha() or PLAIN(w)) for w in words]
-        lower = b"\n".join(words).decode().lower().encode().decode("latin-1")
-        for own, other in BYTE_LEVEL.items():
-            lower = lower.replace(own, other)
-        pieces = lower.split("\n")
-        tokenize, ids, ends, others = self.model.tokenize, [], [0], []
-        for k, piece in enumerate(pieces if words else ()):
-            if plain[k]:
-                ids += map(ID, tokenize(piece))
-            else:
-                others.append(k)
-            ends.append(len(ids))
-        data, size = array(self.code, ids).tobytes(), self.dtype().itemsize
-        out = [data[size * a : size * b] for a, b in zip(ends, ends[1:])]
-        place = {words[k].decode(): k for k in others}
-        for run in balanced(list(place), BATCH_BYTES):
+        plain = self.plain(words) if self.split else np.zeros(len(words), bool)
+        mask = pa.array(plain)
+        ids = self.encode_plain(words.filter(mask))
+        if plain.all():
+            return ids
+        others = [x.decode() for x in words.filter(pc.invert(mask)).to_pylist()]
+        place, packed_ids = {x: k for k, x in enumerate(others)}, [b""] * len(others)
+        for run in balanced(others, BATCH_BYTES):
             encoded = self.tokenizer.encode_batch_fast(run, add_special_tokens=False)
             for word, x in zip(run, encoded):
-                out[place[word]] = array(self.code, x.ids).tobytes()
-        return out
+                packed_ids[place[word]] = np.array(x.ids, self.dtype).tobytes()
+        number = np.where(plain, np.cumsum(plain) - 1, np.cumsum(~plain) - 1 + len(ids))
+        return pa.concat_arrays([ids, pack(packed_ids)]).take(pa.array(number))
 
     def encode(self, column: pa.Array, end: int) -> list[np.ndarray]:
         """Ids of each text of ``column``, then ``end``."""
         streams: list[np.ndarray] = []
-        for texts in chunks(column, 8 << 20):
-            known = self.known
-            forget_half(known, KEPT_UNITS)
-            cut = Cut(texts, words=True, whole=self.whole)
-            long_ = {}
-            new = [w for w in cut.distinct if w not in known]
-            for word, ids in zip(new, self.encode_words(new)):
-                (known if len(word) <= LONG_UNIT else long_)[word] = ids
-            if long_:
-                ids_of = [known[w] if w in known else long_[w] for w in cut.distinct]
-            else:
-                ids_of = list(map(known.__getitem__, cut.distinct))
-            number = np.insert(cut.number, cut.first[1:], len(ids_of))
-            ids_of.append(array(self.code, [end]).tobytes())
-            ends, data = joined(ids_of, number)
+        size = self.dtype().itemsize
+        for texts in chunks(column, CUT_BYTES):
+            if len(self.words) > KEPT_WORDS:  # what is met early is what is met often
+                half = len(self.words) // 2
+                self.words, self.ids = self.words.slice(0, half), self.ids.slice(0, half)
+            cut = Units(texts, words=True, whole=self.whole)
+            coded = pa.concat_arrays([self.words, cut.units]).dictionary_encode()
+            new = coded.dictionary.slice(len(self.words))
+            new_ids = self.encode_words(new)
+            of_end = pack([np.array([end], self.dtype).tobytes()])
+            values = pa.concat_arrays([self.ids, new_ids, of_end])
+            number = coded.indices.to_numpy()[len(self.words) :]
+            number = np.insert(number, cut.first[1:], len(values) - 1)
+            kept = pa.array(np.diff(offsets(new)) <= LONG_UNIT)
+            self.words = pa.concat_arrays([self.words, new.filter(kept)])
+            self.ids = pa.concat_arrays([self.ids, new_ids.filter(kept)])
+            ends, data = joined(values, number)
             ids = np.frombuffer(data, self.dtype)
-            at = ends[cut.first + np.arange(len(cut.first))] // self.dtype().itemsize
+            at = ends[cut.first + np.arange(len(cut.first))] // size
             streams += [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
         return streams
 

@@ -55,16 +55,21 @@ def packed(ends: np.ndarray, data) -> pa.Array:
     )
 
 
-def joined(values: list[bytes], number: np.ndarray) -> tuple[np.ndarray, pa.Buffer]:
-    """The ``values`` that ``number`` names, one behind the other, and where each
-    starts (and the last ends)."""
+def pack(values: list[bytes]) -> pa.Array:
     ends = np.zeros(len(values) + 1, np.int64)
     np.cumsum(np.fromiter(map(len, values), np.int64, len(values)), out=ends[1:])
-    taken = packed(ends, b"".join(values)).take(pa.array(number))
+    return packed(ends, b"".join(values))
+
+
+def joined(values: list[bytes] | pa.Array, number: np.ndarray) -> tuple[np.ndarray, pa.Buffer]:
+    """The ``values`` that ``number`` names, one behind the other, and where each
+    starts (and the last ends)."""
+    values = values if isinstance(values, pa.Array) else pack(values)
+    taken = values.take(pa.array(number))
     return offsets(taken), taken.buffers()[2] or pa.py_buffer(b"")
 
 
-class Cut:
+class Units:
     """Units of some texts.
 
     A unit is a run without white space, with the space before it, or a run of
@@ -72,8 +77,8 @@ class Cut:
     white space alone).  A run is also cut between a letter or digit of ASCII
     or Latin-1 and an ASCII sign behind it, but not inside the strings ``whole``.
 
-    ``distinct`` has each unit once, ``number`` says which of them stands at
-    each place, and ``first`` at which place each text starts (and the last ends).
+    ``units`` has them one behind the other as a binary array, and ``first`` at
+    which place each text starts (and the last ends).
     """
 
     def __init__(self, texts: pa.Array, words: bool = False, whole: tuple[bytes, ...] = ()):
@@ -84,6 +89,7 @@ class Cut:
         text = np.zeros(len(b) + 1, bool)  # where texts start
         text[ends] = True
         space = (b == 32) | (b - np.uint8(9) < 5)
+        wide = False
         for lead, some in _WIDE_SPACES.items():
             leads = np.flatnonzero(b == lead)
             for x in some if len(leads) else ():
@@ -92,6 +98,7 @@ class Cut:
                     at = at[b[at + k] == x[k]]
                 for k in range(len(x)):
                     space[at + k] = True
+                wide = wide or len(at) > 0
         before = ((b | 32) - np.uint8(97) < 26) | (b - np.uint8(48) < 10)  # letters, digits
         start = (b - np.uint8(33) < 94) & ~before
         before = before[:-1]
@@ -99,7 +106,7 @@ class Cut:
         before[latin] = _LATIN[b[latin]]
         start[:1] = False
         start[1:] &= before
-        plain = b.tobytes() if whole else b""
+        plain = b.tobytes() if whole or words else b""
         for x in whole:
             at = plain.find(x)
             while at >= 0:
@@ -107,14 +114,14 @@ class Cut:
                 at = plain.find(x, at + 1)
         change = text[:-1].copy()
         change[1:] |= space[1:] != space[:-1]
-        edge = np.flatnonzero(change).astype(np.int32)
         if words:
-            start[edge[~space[edge]]] = True
-            word = ~space
-            first = np.searchsorted(np.flatnonzero(start), ends)
-            at = np.append(np.flatnonzero(start[word]), np.count_nonzero(word))
-            b = b[word]
+            start |= change & ~space
+            at = np.flatnonzero(start)
+            first = np.searchsorted(at, ends)
+            at = at - np.cumsum(space, dtype=np.int32)[at]  # the places without white space
+            b = b[~space] if wide else np.frombuffer(plain.translate(None, b" \t\n\v\f\r"), np.uint8)
         else:
+            edge = np.flatnonzero(change).astype(np.int32)
             start[edge] = True
             # the last white space before a word: a space belongs to the word
             own = edge[~space[edge] & ~text[edge]]
@@ -125,9 +132,17 @@ class Cut:
             start[own[b[own - 1] == 32]] = False
             at = np.flatnonzero(start)
             first = np.searchsorted(at, ends)
-            at = np.append(at, len(b))
-        coded = packed(at, np.ascontiguousarray(b)).dictionary_encode()
         self.first = first
+        self.units = packed(np.append(at, len(b)), np.ascontiguousarray(b))
+
+
+class Cut(Units):
+    """Units of some texts, each numbered: ``distinct`` has each unit once, and
+    ``number`` says which of them stands at each place."""
+
+    def __init__(self, texts: pa.Array, words: bool = False, whole: tuple[bytes, ...] = ()):
+        super().__init__(texts, words, whole)
+        coded = self.units.dictionary_encode()
         self.number = coded.indices.to_numpy()
         plain, at = coded.dictionary.buffers()[2], offsets(coded.dictionary).tolist()
         plain = plain.to_pybytes() if plain else b""

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from array import array
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -187,6 +188,36 @@ def test_damaged_block_is_refused():
         idcodec.decode_ids([(n, crc, payload[:10] + b"\x55\xaa" + payload[12:]), *rest])
 
 
+@pytest.mark.parametrize("last", [0, 2])
+def test_carries_run_through_many_words(last):
+    """Intervals around a middle leave open what their words are, until the last."""
+    ends = np.array([32767, 32769, 60000, 60000])
+    symbols = [[1] * 40 + [last], [1] * 41, [last, *[1] * 39, 2]]
+    coder = idcodec._Encoder(len(symbols))
+    for now in np.array(symbols).T:
+        start = np.append(0, ends)[now]
+        choice = (start | (ends[now] - start) << 16).astype(np.uint64)
+        coder.choose(len(now), choice, np.full(len(now), 1 << 18, np.uint64))
+    words, counts = coder.finish()
+    assert words.dtype == np.uint32 and counts.sum() == len(words)
+    coder = idcodec._Decoder(words, counts.astype(np.int64))
+    packed = [np.full(len(symbols), sum(int(x) << 16 * k for k, x in enumerate(some)), np.uint64) for some in (ends, range(4))]
+    model = SimpleNamespace(symbols=np.zeros(1, np.uint16), packed0=np.zeros(1, np.uint64), known=9)
+    got = [coder.choose(len(symbols), *packed, model)[0].tolist() for _ in symbols[0]]
+    assert got == np.array(symbols).T.tolist()
+
+
+def test_ids_of_a_task_are_one_block(monkeypatch):
+    """Models are built a few times for millions of ids, as each costs as much as its ids."""
+    rnd = np.random.default_rng(18)
+    ids = np.minimum(rnd.zipf(1.5, 5_000_000), 3000).astype(np.uint16)
+    built = []
+    monkeypatch.setattr(idcodec, "_Model", lambda *a, own=idcodec._Model: built.append(len(a[0])) or own(*a))
+    blocks = idcodec.encode_ids(ids)
+    assert len(blocks) == 1 and sum(built) < len(ids) // 2
+    assert (idcodec.decode_ids(blocks) == ids).all()
+
+
 def test_repeats_are_coded_in_little_space():
     ids = np.tile(np.arange(50, dtype=np.uint16) * 900, 80)
     assert sum(len(p) for *_, p in idcodec.encode_ids(ids)) < len(ids) // 4
@@ -238,6 +269,36 @@ def test_word_ids_equal_the_library():
     assert set(Whole.met) <= {"12", "日"}
 
 
+def test_new_words_go_to_the_model_in_lines(monkeypatch):
+    """The model gets new words alone, many at a time, also where words are forgotten."""
+    path = P.path("word_bpe_49k.json")
+    library, words = Tokenizer.from_file(path), idcodec.WordIds(path)
+
+    class Lines:
+        met: list[str] = []
+
+        def encode_batch_fast(self, run, lines=words.lines, **options):
+            self.met += run
+            return lines.encode_batch_fast(run, **options)
+
+    words.lines = Lines()
+    monkeypatch.setattr(idcodec, "LINES", 50)
+    rnd = random.Random(17)
+    some = sorted({"".join(rnd.choices("abcdeÀéßÿ", k=rnd.randint(1, 9))) for _ in range(600)})
+    texts = [" ".join(rnd.choices(some, k=40)) + " " + x for x in (*some, "&&&", "x" * 90, "日本")]
+    expected = [library.encode(x, add_special_tokens=False).ids + [2] for x in texts]
+    column = pa.array(["?", *texts]).slice(1)
+    assert [x.tolist() for x in words.encode(column, 2)] == expected
+    assert len(Lines.met) == -(-(len(some) + 2) // 50)
+    Lines.met.clear()
+    assert [x.tolist() for x in words.encode(column, 2)] == expected
+    assert Lines.met == ["x" * 90]  # too long to be kept
+    monkeypatch.setattr(idcodec, "KEPT_WORDS", 40)
+    monkeypatch.setattr(idcodec, "CUT_BYTES", 900)
+    assert [x.tolist() for x in words.encode(column, 2)] == expected
+    assert len(words.words) == len(words.ids) < 700
+
+
 def test_id_files_without_ids(spark):
     files = idcodec.write_id_files(frame(spark, [(i, t) for i, t, *_ in odd_rows()]), P.path("word_bpe_49k.json"))
     whole = sorted(map(tuple, idcodec.read_id_files(files).drop("ids").collect()), key=str)
